@@ -215,14 +215,15 @@ def _rank_sql(src: str, purpose: str, where: str = "TRUE", part: str = '"Label"'
             f"count(*) OVER (PARTITION BY {part}) AS n FROM {src} WHERE {where}")
 
 
-X1_SQL = W() + f""", r AS ({_rank_sql('flows', 'split', '"Label" IN (0, 1)')}),
-b AS (SELECT *, CAST(ceil((1.0::DOUBLE - 0.6::DOUBLE) * n) AS BIGINT) AS tmp FROM r),
-s AS (SELECT *, n - tmp AS tr, tmp - CAST(ceil((1.0::DOUBLE - 0.25::DOUBLE) * tmp) AS BIGINT)
-      AS va FROM b)
-SELECT flow_id, "Label", split FROM (
+X1_CTE = f"""x1r AS ({_rank_sql('flows', 'split', '"Label" IN (0, 1)')}),
+x1b AS (SELECT *, CAST(ceil((1.0::DOUBLE - 0.6::DOUBLE) * n) AS BIGINT) AS tmp FROM x1r),
+x1s AS (SELECT *, n - tmp AS tr, tmp - CAST(ceil((1.0::DOUBLE - 0.25::DOUBLE) * tmp) AS BIGINT)
+      AS va FROM x1b),
+x1 AS (SELECT flow_id, "Label", split FROM (
   SELECT flow_id, "Label", CASE WHEN rk <= tr THEN (CASE WHEN "Label" = 0 THEN 'train'
-         ELSE '_drop' END) WHEN rk <= tr + va THEN 'val' ELSE 'test' END AS split FROM s)
-WHERE split <> '_drop'"""
+         ELSE '_drop' END) WHEN rk <= tr + va THEN 'val' ELSE 'test' END AS split FROM x1s)
+  WHERE split <> '_drop')"""
+X1_SQL = W() + ", " + X1_CTE + ' SELECT flow_id, "Label", split FROM x1'
 
 
 @register("x1_novelty_split", X1_SQL)
@@ -341,3 +342,5 @@ def x12_per_class_sample(spark, sf):
     s = splits.sample_n(fixtures.flows(spark, sf), 1000, ["flow_id"], purpose="view",
                         group_cols=["domain", "Label"])
     return s.select("flow_id", "domain", "Label")
+
+from . import queries_stats  # noqa: E402,F401  (registers part 2)
