@@ -6,6 +6,7 @@ driver table) in full, and runs the library operator named by its ID.
 
 from __future__ import annotations
 
+import functools
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import features as feat
 from ..functions.safe import c
 from ..operators import clean, splits
-from ..session import scratch_path
+from ..session import scratch_path, shared_dir, tune_session
 from ..sources import arff, fixtures
 from . import oracle_fixtures as OF
 from .oracle_features import SQL_FEATURES, feature_select, group_select
@@ -26,7 +27,12 @@ ORACLES: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            tune_session(spark)
+            shared_dir(spark)
+            return fn(spark, sf)
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -344,3 +350,4 @@ def x12_per_class_sample(spark, sf):
     return s.select("flow_id", "domain", "Label")
 
 from . import queries_stats  # noqa: E402,F401  (registers part 2)
+from . import queries_jobs  # noqa: E402,F401  (registers part 3)

@@ -15,6 +15,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Session SQL settings the library relies on.  Constraint propagation is
+# exponential on wide projections of aliased CASE expressions under filters
+# (the feature / prep plans), and adds nothing here.
+LIBRARY_SQL_CONF = {
+    "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def tune_session(spark: SparkSession) -> SparkSession:
+    for k, v in LIBRARY_SQL_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def default_conf(cpus: int | None = None) -> dict[str, str]:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     return {
@@ -30,6 +46,7 @@ def default_conf(cpus: int | None = None) -> dict[str, str]:
         # Broadcast is decided by the library behind explicit size checks;
         # keep Spark's own automatic threshold at its modest default.
         "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+        **LIBRARY_SQL_CONF,
     }
 
 
