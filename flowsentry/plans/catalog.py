@@ -351,3 +351,4 @@ def x12_per_class_sample(spark, sf):
 
 from . import queries_stats  # noqa: E402,F401  (registers part 2)
 from . import queries_jobs  # noqa: E402,F401  (registers part 3)
+from . import queries_models  # noqa: E402,F401  (registers part 4)
