@@ -103,3 +103,36 @@ def m6_lof_novelty(spark, sf):
     rows = s.filter(c("split") != "train")
     out = model.score(rows, keep=["split", "Label"])
     return out.select("vec_id", "split", "Label", F.round("score", 6).alias("score"))
+
+
+SMOTE_SQL = f"""WITH {EMB_CTE},
+m AS (SELECT vec_id, v FROM e WHERE "Label" = 1),
+cnt AS (SELECT CAST(SUM(CASE WHEN "Label" = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n1,
+               CAST(SUM(CASE WHEN "Label" = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n0 FROM e),
+nb AS (SELECT * FROM (SELECT a.vec_id AS q, b.v AS nv, row_number() OVER (PARTITION BY a.vec_id
+         ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank
+       FROM m a JOIN m b ON a.vec_id <> b.vec_id) WHERE rank <= {K}),
+br AS (SELECT vec_id, v, row_number() OVER (ORDER BY
+         md5(concat_ws('|', '42', 'smote-base', CAST(vec_id AS VARCHAR))), vec_id) AS rk FROM m),
+cp AS (SELECT br.*, (n0 - n1) // n1 + CASE WHEN rk <= (n0 - n1) % n1 THEN 1 ELSE 0 END AS ncp
+       FROM br, cnt),
+rw AS (SELECT vec_id, v, unnest(range(ncp)) AS copy FROM cp),
+dr AS (SELECT vec_id, v, copy,
+  CAST(('0x' || substr(md5(concat_ws('|', '42', 'smote-nb', CAST(vec_id AS VARCHAR),
+       CAST(copy AS VARCHAR))), 1, 8)) AS BIGINT) % {K} + 1 AS nb_rank,
+  CAST(('0x' || substr(md5(concat_ws('|', '42', 'smote-u', CAST(vec_id AS VARCHAR),
+       CAST(copy AS VARCHAR))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM rw)
+SELECT dr.vec_id AS origin, CAST(copy AS INT) AS copy, CAST(nb_rank AS INT) AS nb_rank,
+  ROUND(u, 9) AS u, ROUND(dr.v[1] + u * (nb.nv[1] - dr.v[1]), 6) AS v_first,
+  ROUND(dr.v[64] + u * (nb.nv[64] - dr.v[64]), 6) AS v_last, 1 AS "Label"
+FROM dr JOIN nb ON nb.q = dr.vec_id AND nb.rank = dr.nb_rank"""
+
+
+@register("m9_smote", SMOTE_SQL)
+def m9_smote(spark, sf):
+    """M9: synthetic class-9 embeddings until both classes are equally large."""
+    from ..operators.smote import smote
+    s = smote(emb(spark, sf), "vec_id", "embedding", k_neighbors=K)
+    return s.select("origin", "copy", "nb_rank", F.round("u", 9).alias("u"),
+                    F.round(F.col("vec")[0], 6).alias("v_first"),
+                    F.round(F.col("vec")[63], 6).alias("v_last"), "Label")
