@@ -51,24 +51,66 @@ def pair_distances(Q: np.ndarray, R: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(D)
 
 
+def _exact_pairs(Q: np.ndarray, R: np.ndarray, qi: np.ndarray, ri: np.ndarray,
+                 metric: str) -> np.ndarray:
+    """Exact distances of selected (query, reference) pairs, same summation order
+    as ``pair_distances``."""
+    acc = np.zeros(len(qi))
+    for j in range(Q.shape[1]):
+        diff = Q[qi, j] - R[ri, j]
+        acc += np.abs(diff) if metric == "manhattan" else diff * diff
+    return acc if metric == "manhattan" else np.sqrt(acc)
+
+
 def local_topk(qk: np.ndarray, Q: np.ndarray, rk: np.ndarray, R: np.ndarray, k: int,
-               metric: str, exclude_self: bool, chunk: int = 512) -> pd.DataFrame:
+               metric: str, exclude_self: bool, chunk: int = 1024) -> pd.DataFrame:
+    """k best references per query row, ordered by (exact distance, key).
+
+    Euclidean: a BLAS pass (‖q‖² + ‖r‖² − 2q·r) finds, per row, every reference
+    whose approximate squared distance is within a rounding margin of the k-th
+    one; only those candidates get the exact distance.  The margin bounds the
+    floating-point error of the expansion, so the result equals brute force.
+    """
     outs_q, outs_r, outs_d = [], [], []
     if len(qk) == 0 or len(rk) == 0:
         return pd.DataFrame({"q": [], "r": [], "dist": []})
+    r2 = np.einsum("ij,ij->i", R, R)
+    rmax = float(r2.max()) if len(r2) else 0.0
     for s in range(0, len(qk), chunk):
-        qs = qk[s:s + chunk]
-        D = pair_distances(Q[s:s + chunk], R, metric)
-        if exclude_self:
-            D[qs[:, None] == rk[None, :]] = np.inf
-        kk = min(k, D.shape[1])
-        # order by (distance, reference key) so ties break like the SQL oracle
-        idx = np.lexsort((np.broadcast_to(rk, D.shape), D), axis=1)[:, :kk]
-        dsel = np.take_along_axis(D, idx, axis=1)
-        keep = np.isfinite(dsel)
-        outs_q.append(np.repeat(qs, kk)[keep.ravel()])
-        outs_r.append(rk[idx].ravel()[keep.ravel()])
-        outs_d.append(dsel.ravel()[keep.ravel()])
+        qs, Qc = qk[s:s + chunk], Q[s:s + chunk]
+        kk = min(k, len(rk))
+        if metric == "manhattan":
+            D = pair_distances(Qc, R, metric)
+            if exclude_self:
+                D[qs[:, None] == rk[None, :]] = np.inf
+            idx = np.lexsort((np.broadcast_to(rk, D.shape), D), axis=1)[:, :kk]
+            dsel = np.take_along_axis(D, idx, axis=1)
+            qi = np.repeat(np.arange(len(qs)), kk)
+            ri, dd = idx.ravel(), dsel.ravel()
+        else:
+            q2 = np.einsum("ij,ij->i", Qc, Qc)
+            A = np.maximum(q2[:, None] + r2[None, :] - 2.0 * (Qc @ R.T), 0.0)
+            if exclude_self:
+                A[qs[:, None] == rk[None, :]] = np.inf
+            kth = np.partition(A, kk - 1, axis=1)[:, kk - 1]
+            tol = 1e-9 * (q2 + rmax) + 1e-12
+            qi, ri = np.nonzero(A <= (kth + tol)[:, None])
+            dd = _exact_pairs(Qc, R, qi, ri, metric)
+            if exclude_self:
+                dd[qs[qi] == rk[ri]] = np.inf
+            # rank candidates per query row by (exact distance, key); keep k
+            order = np.lexsort((rk[ri], dd, qi))
+            qi, ri, dd = qi[order], ri[order], dd[order]
+            first = np.searchsorted(qi, qi, side="left")
+            pos = np.arange(len(qi)) - first
+            keep = pos < kk
+            qi, ri, dd = qi[keep], ri[keep], dd[keep]
+        fin = np.isfinite(dd)
+        outs_q.append(qs[qi[fin]])
+        outs_r.append(rk[ri[fin]])
+        outs_d.append(dd[fin])
+    if not outs_q:
+        return pd.DataFrame({"q": [], "r": [], "dist": []})
     return pd.DataFrame({"q": np.concatenate(outs_q), "r": np.concatenate(outs_r),
                          "dist": np.concatenate(outs_d)})
 

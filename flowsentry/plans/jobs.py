@@ -119,3 +119,204 @@ def run_detection(df: DataFrame, cfg: ExperimentConfig | None = None) -> Detecti
                        n_rows=n_train, seed=cfg.random_state)
     scored, conf, rep = evaluate(det, prepared, cfg)
     return DetectionResult(prepared, det, scored, rep, conf)
+
+
+# ---------------------------------------------------------------- J2 supervised
+
+
+@dataclass
+class ClassificationResult:
+    prepared: Prepared
+    model: Any
+    report: DataFrame          # A14 per split ("test", "train")
+    f1: dict                   # macro F1 per split and the train/test gap (A17)
+
+
+def classifier_prepare(df: DataFrame, cfg: ExperimentConfig) -> Prepared:
+    """S1/P1 → D48 → X2 (or X3) → filters + imputer fitted on train (no scaling)."""
+    d = feature_table(df, cfg)
+    features = clean.feature_names(d, cfg.label, exclude=cfg.meta_cols)
+    keys = list(cfg.key_cols)
+    if cfg.temporal_split:
+        s = splits.positional_split(d, list(cfg.order_cols), cfg.label, cfg.train_size,
+                                    cfg.val_ratio)
+    else:
+        s = splits.stratified_split(d, keys, cfg.label, cfg.train_size, cfg.val_ratio,
+                                    cfg.random_state)
+    s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    prep = PrepModel.fit(s.filter(c("split") == "train"), features, keys,
+                         apply_filters=cfg.apply_filters and not cfg.feature_whitelist,
+                         pca_components=cfg.pca_reduce)
+    p = prep.transform(s, keep=[*keys, cfg.label, "split"])
+    counts = {r["split"]: r["count"] for r in s.groupBy("split").count().collect()}
+    return Prepared(p, list(prep.output_columns), prep, None, counts)
+
+
+def fit_classifier(train: DataFrame, features, cfg: ExperimentConfig, params: dict | None,
+                   use_smote: bool = True):
+    """M9 (fit time only) then M8."""
+    from ..operators.boost import fit_boost
+    from ..operators.smote import oversample
+    key = cfg.key_cols[0]
+    fit_rows = oversample(train, key, features, cfg.label, seed=cfg.random_state) \
+        if use_smote else train
+    return fit_boost(fit_rows, features, cfg.label, params, seed=cfg.random_state)
+
+
+def classifier_metrics(model, rows: DataFrame, cfg: ExperimentConfig, split_name: str):
+    keep = [*cfg.key_cols, cfg.label]
+    pred = model.predict(rows, keep=keep).withColumn("split", F.lit(split_name))
+    conf = metrics.confusion(pred, cfg.label, "y_pred", [0, 1], by=["split"])
+    return conf
+
+
+def run_classification(df: DataFrame, cfg: ExperimentConfig | None = None,
+                       params: dict | None = None, use_smote: bool = True
+                       ) -> ClassificationResult:
+    """Fit SMOTE + boosted trees on train, test metrics, train/test gap.
+
+    The train F1 scores the fitted model on the (un-oversampled) training rows;
+    no second fit."""
+    cfg = cfg or ExperimentConfig(novelty=False)
+    prepared = classifier_prepare(df, cfg)
+    t = prepared.table
+    if cfg.hyper_search:
+        from .search import classifier_search
+        params = classifier_search(prepared, cfg)["params"]
+    model = fit_classifier(t.filter(c("split") == "train"), prepared.features, cfg, params,
+                           use_smote)
+    conf = classifier_metrics(model, t.filter(c("split") == "test"), cfg, "test") \
+        .unionByName(classifier_metrics(model, t.filter(c("split") == "train"), cfg, "train"))
+    conf = conf.cache()
+    rep = metrics.report(conf, by=["split"])
+    f1 = {r["split"]: r["macro_f1"] for r in metrics.macro_f1(conf, by=["split"]).collect()}
+    gap = metrics.train_test_gap(f1.get("train", 0.0), f1.get("test", 0.0))
+    return ClassificationResult(prepared, model, rep, gap)
+
+
+# ---------------------------------------------------------------- J3 – J5
+
+
+def extra_normals(extra: DataFrame, prep: PrepModel, cfg: ExperimentConfig) -> DataFrame:
+    """D48, the other table's normals (all rows when unlabelled, with a
+    warning), drop-any-missing, then the fitted prep without refitting."""
+    d = feat.add_domain_features(extra, cfg.domain_features, whitelist=cfg.feature_whitelist)
+    if cfg.label in d.columns:
+        d = d.filter(c(cfg.label) == 0)
+    else:
+        log.warning("no %s column in the extra table: every row is taken as normal", cfg.label)
+        d = d.withColumn(cfg.label, F.lit(0))
+    d = clean.drop_invalid(d)
+    return prep.transform(d, keep=[*cfg.key_cols, cfg.label])
+
+
+@dataclass
+class EnrichmentResult:
+    before: DetectionResult
+    after_report: DataFrame
+    added_rows: int
+
+
+def run_extra_normal(df: DataFrame, extra: DataFrame, cfg: ExperimentConfig | None = None
+                     ) -> EnrichmentResult:
+    """X9 rows appended to train (X10), the detector refitted, test metrics
+    before and after (the reference appends but never refits; we refit)."""
+    cfg = cfg or ExperimentConfig()
+    before = run_detection(df, cfg)
+    prep = before.prepared
+    ex = extra_normals(extra, prep.prep, cfg)
+    if prep.scaler is not None:
+        ex = prep.scaler.transform(ex)
+    ex = ex.withColumn("split", F.lit("train")).withColumn("y_det", F.lit(1))
+    cols = prep.table.columns
+    enriched = prep.table.filter(c("split") == "train").unionByName(ex.select(*cols))
+    n_added = ex.count()
+    det = fit_detector(cfg.algorithm, cfg.model_params(), enriched, prep.features,
+                       list(cfg.key_cols), n_rows=prep.counts.get("train", 0) + n_added,
+                       seed=cfg.random_state)
+    _, _, rep = evaluate(det, prep, cfg, ("test",))
+    return EnrichmentResult(before, rep, n_added)
+
+
+@dataclass
+class FewShotResult:
+    before: DataFrame          # test report before
+    after: DataFrame           # test report after refit
+    holdout: DataFrame         # holdout report after refit (scored, Q3)
+    n_few: int
+
+
+def run_fewshot_detection(df: DataFrame, target: DataFrame, cfg: ExperimentConfig | None = None
+                          ) -> FewShotResult:
+    """X7 normals of the target table join train, prep reused, refit with the
+    same parameters, test F1 before/after, holdout scored."""
+    cfg = cfg or ExperimentConfig()
+    base = run_detection(df, cfg)
+    prep = base.prepared
+    t = feat.add_domain_features(target, cfg.domain_features, whitelist=cfg.feature_whitelist)
+    t = clean.drop_empty(t)
+    parts = splits.fewshot_split(t, 0, cfg.few_shot_ratio, list(cfg.key_cols), cfg.label,
+                                 cfg.random_state)
+    pt = prep.prep.transform(parts, keep=[*cfg.key_cols, cfg.label, "part"])
+    if prep.scaler is not None:
+        pt = prep.scaler.transform(pt)
+    pt = pt.withColumn("y_det", clean.detector_label(c(cfg.label))).cache()
+    few = pt.filter(c("part") == "few").withColumn("split", F.lit("train"))
+    n_few = few.count()
+    train = prep.table.filter(c("split") == "train").unionByName(
+        few.select(*prep.table.columns))
+    det = fit_detector(cfg.algorithm, cfg.model_params(), train, prep.features,
+                       list(cfg.key_cols), n_rows=prep.counts.get("train", 0) + n_few,
+                       seed=cfg.random_state)
+    _, _, after = evaluate(det, prep, cfg, ("test",))
+    hold = pt.filter(c("part") == "holdout").withColumn("split", F.lit("holdout"))
+    scored = det.predict(hold, keep=[*cfg.key_cols, cfg.label, "split", "y_det"])
+    hconf = metrics.confusion(scored, "y_det", "y_pred", [1, -1], by=["split"])
+    before = base.report.filter(c("split") == "test")
+    return FewShotResult(before, after, metrics.report(hconf, by=["split"]), n_few)
+
+
+def run_fewshot_classification(df: DataFrame, target: DataFrame,
+                               cfg: ExperimentConfig | None = None,
+                               params: dict | None = None) -> FewShotResult:
+    """X8 attacks of the target table join train, refit, before/after, holdout."""
+    cfg = cfg or ExperimentConfig(novelty=False)
+    base = run_classification(df, cfg, params)
+    prep = base.prepared
+    t = feat.add_domain_features(target, cfg.domain_features, whitelist=cfg.feature_whitelist)
+    t = clean.drop_empty(t)
+    parts = splits.fewshot_split(t, 1, cfg.few_shot_ratio, list(cfg.key_cols), cfg.label,
+                                 cfg.random_state)
+    pt = prep.prep.transform(parts, keep=[*cfg.key_cols, cfg.label, "part"]).cache()
+    few = pt.filter(c("part") == "few").withColumn("split", F.lit("train"))
+    n_few = few.count()
+    train = prep.table.filter(c("split") == "train").unionByName(
+        few.select(*prep.table.columns))
+    model = fit_classifier(train, prep.features, cfg, params)
+    after_conf = classifier_metrics(model, prep.table.filter(c("split") == "test"), cfg, "test")
+    hold_conf = classifier_metrics(model, pt.filter(c("part") == "holdout"), cfg, "holdout")
+    return FewShotResult(base.report.filter(c("split") == "test"),
+                         metrics.report(after_conf, by=["split"]),
+                         metrics.report(hold_conf, by=["split"]), n_few)
+
+
+# ---------------------------------------------------------------- J6, J7
+
+
+def balance_report(df: DataFrame, label: str = "Label") -> dict[str, DataFrame]:
+    """Class distribution before and after P1, and the balance verdict."""
+    from ..operators import stats
+    cleaned = clean.drop_invalid(df)
+    return {"before": stats.class_distribution(df, label),
+            "after": stats.class_distribution(cleaned, label),
+            "verdict": stats.balance_verdict(cleaned, label)}
+
+
+def component_report(df: DataFrame, cfg: ExperimentConfig | None = None) -> DataFrame:
+    """Novelty split, filters and imputer fitted on train, then the full
+    explained-variance curve of the prepared training rows (A15)."""
+    from ..operators.pca import explained_variance_curve
+    cfg = cfg or ExperimentConfig()
+    prepared = prepare(df, cfg, scale=False)
+    train = prepared.table.filter(c("split") == "train")
+    return explained_variance_curve(train, prepared.features)

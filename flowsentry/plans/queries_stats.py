@@ -435,3 +435,61 @@ def h2_contamination_sweep(spark, sf):
                                       "ORDER BY macro_f1 DESC, contamination LIMIT 1"))
 def h4_best_by_f1(spark, sf):
     return metrics.best_by(_sweep(spark, sf), "macro_f1", "contamination")
+
+
+# ---------------------------------------------------------------- X9, X10, J6
+
+_FIN_DIRTY = " AND ".join(f"isfinite({q(n)})" for n in FEATS)
+
+
+def _x9_sql(tail: str) -> str:
+    cols = ", ".join(f"GREATEST({q(n)}, 0.0) AS {q(n)}" for n in FEATS)
+    return (W(OF.FLOWS_DIRTY) + ", " + TRAIN_CTE +
+            f", ex AS (SELECT flow_id, \"Label\", {cols} FROM flows_dirty WHERE domain = 'gen'"
+            f" AND \"Label\" = 0 AND {_FIN_DIRTY}) {tail}")
+
+
+def _x9(spark, sf):
+    from ..config import ExperimentConfig
+    from .jobs import extra_normals
+    model = PrepModel.fit(_train(spark, sf), FEATS, ["flow_id"], apply_filters=False)
+    extra = fixtures.flows_dirty(spark, sf).filter(c("domain") == "gen") \
+        .drop("domain", "first_day")
+    return model, extra_normals(extra, model, ExperimentConfig())
+
+
+@register("x9_extra_normals", _x9_sql("SELECT * FROM ex"))
+def x9_extra_normals(spark, sf):
+    """Normals of the target domain, cleaned, through the fitted prep (no refit)."""
+    _, ex = _x9(spark, sf)
+    return ex
+
+
+@register("x10_append", _x9_sql("SELECT flow_id, 'train' AS source FROM train UNION ALL "
+                                "SELECT flow_id, 'extra' AS source FROM ex"))
+def x10_append(spark, sf):
+    """Training rows stacked with the extra normals."""
+    from ..operators import splits as sp
+    model, ex = _x9(spark, sf)
+    train = model.transform(_train(spark, sf), keep=["flow_id", "Label"])
+    both = sp.append(train.withColumn("source", F.lit("train")),
+                     ex.withColumn("source", F.lit("extra")))
+    return both.select("flow_id", "source")
+
+
+def _j6_sql() -> str:
+    fin = " AND ".join([f"isfinite({q(n)})" for n in FEATS] + ['"Label" IS NOT NULL'])
+    dist = """SELECT '{st}' AS stage, CAST("Label" AS INT) AS class, COUNT(*) AS n,
+      ROUND(100.0 * COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS pct FROM {src} GROUP BY "Label" """
+    return (W(OF.FLOWS_DIRTY) + f", cl AS (SELECT * FROM flows_dirty WHERE {fin}) " +
+            dist.format(st="before", src="flows_dirty") + " UNION ALL " +
+            dist.format(st="after", src="cl"))
+
+
+@register("j6_balance_report", _j6_sql())
+def j6_balance_report(spark, sf):
+    """Class distribution before and after dropping invalid rows."""
+    from .jobs import balance_report
+    rep = balance_report(fixtures.flows_dirty(spark, sf))
+    return rep["before"].select(F.lit("before").alias("stage"), "class", "n", "pct") \
+        .unionByName(rep["after"].select(F.lit("after").alias("stage"), "class", "n", "pct"))
