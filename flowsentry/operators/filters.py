@@ -5,10 +5,9 @@ per task shuffled); decisions are made on the driver from ``d`` or ``d²``
 numbers, never from rows.
 
 * A4 low variance: ``var_samp`` per column (missing → 0 first).
-* A5 literal duplicates: a per-column fingerprint (count of distinct-by-hash,
-  min, max, sum and ``bit_xor`` of ``xxhash64(key, value)``) finds candidate
-  pairs in one pass; only colliding pairs are verified with ``<=>`` in a
-  second pass.
+* A5 literal duplicates: a per-column fingerprint (min, max and ``bit_xor``
+  of ``xxhash64(key, value)``) finds candidate pairs in one pass; only
+  colliding pairs are verified with ``<=>`` in a second pass.
 * A6 high correlation: ``ml.stat.Correlation`` (one Gramian tree-aggregate)
   gives the ``d×d`` matrix; column j drops if any earlier column i has
   ``|ρ| > threshold`` (even when i itself drops).
@@ -80,7 +79,7 @@ def duplicate_columns(df: DataFrame, columns: Sequence[str], key_cols: Sequence[
     exprs = []
     for i, n in enumerate(columns):
         x = _filled(n)
-        exprs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.sum(x).alias(f"s{i}"),
+        exprs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
                   F.bit_xor(F.xxhash64(*key, x)).alias(f"h{i}")]
     row = df.agg(*exprs).collect()[0]
     fp: dict[tuple, list[int]] = {}
@@ -142,7 +141,9 @@ def fit_filters(df: DataFrame, columns: Sequence[str], key_cols: Sequence[str],
         step1 = [n for n in columns if n not in lv]
         dup = duplicate_columns(df, step1, key_cols)
         step2 = [n for n in step1 if n not in dup]
-        hc = high_correlation(df, step2, correlation_threshold)
+        # fewer than two rows: every correlation is undefined (NaN), nothing drops
+        hc = high_correlation(df, step2, correlation_threshold) if df.limit(2).count() == 2 \
+            else []
         kept = [n for n in step2 if n not in hc]
     finally:
         df.unpersist()

@@ -23,11 +23,14 @@ from .filters import correlation_matrix
 def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """(mean vector, sample covariance matrix) of the given columns."""
     cols = list(columns)
-    row = df.agg(*[F.avg(c(n)).alias(f"m{i}") for i, n in enumerate(cols)],
+    row = df.agg(F.count(F.lit(1)).alias("_n"),
+                 *[F.avg(c(n)).alias(f"m{i}") for i, n in enumerate(cols)],
                  *[F.stddev_samp(c(n)).alias(f"s{i}") for i, n in enumerate(cols)]).collect()[0]
     mean = np.array([row[f"m{i}"] or 0.0 for i in range(len(cols))])
     std = np.array([row[f"s{i}"] if row[f"s{i}"] is not None and
                     not math.isnan(row[f"s{i}"]) else 0.0 for i in range(len(cols))])
+    if row["_n"] < 2:
+        return mean, np.zeros((len(cols), len(cols)))
     if len(cols) == 1:
         return mean, np.array([[std[0] ** 2]])
     rho = correlation_matrix(df, cols)

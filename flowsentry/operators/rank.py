@@ -33,19 +33,20 @@ def hash_key(key_cols: Sequence[str], seed: int | str, purpose: str) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Join a histogram-sized table: broadcast only when its row count is checked."""
-    small = small.cache()
-    n = small.count()
-    if n <= MAX_BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on=on, how="inner")
-
-
 def rank_by_hash(df: DataFrame, key_cols: Sequence[str], seed: int | str, purpose: str,
                  group_cols: Sequence[str] = (), out: str = "_rank",
                  digits: int = 4, keep_hash: bool = False) -> DataFrame:
     """Append ``out`` = 1-based rank inside ``group_cols`` by hash order."""
+    return rank_by_hash_with_counts(df, key_cols, seed, purpose, group_cols, out, digits,
+                                    keep_hash)[0]
+
+
+def rank_by_hash_with_counts(df: DataFrame, key_cols: Sequence[str], seed: int | str,
+                             purpose: str, group_cols: Sequence[str] = (), out: str = "_rank",
+                             digits: int = 4, keep_hash: bool = False
+                             ) -> tuple[DataFrame, dict]:
+    """``rank_by_hash`` plus the row count per group, read from the (cached)
+    bucket histogram, so callers need no separate counting pass."""
     group_cols = list(group_cols)
     h = hash_key(key_cols, seed, purpose)
     d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
@@ -59,11 +60,20 @@ def rank_by_hash(df: DataFrame, key_cols: Sequence[str], seed: int | str, purpos
         *group_cols, "_b",
         F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
-    joined = _join_small(d, offsets, [*group_cols, "_b"])
+    offsets = offsets.join(hist.select(*group_cols, "_b", "_cnt"), on=[*group_cols, "_b"]) \
+        .cache()
+    n_rows = offsets.count()
+    totals = offsets.groupBy(*group_cols).agg(F.sum("_cnt").alias("n")).collect()
+    counts = {tuple(r[g] for g in group_cols) if len(group_cols) != 1 else r[group_cols[0]]:
+              int(r["n"]) for r in totals}
+    small = offsets.drop("_cnt")
+    if n_rows <= MAX_BROADCAST_ROWS:
+        small = F.broadcast(small)
+    joined = d.join(small, on=[*group_cols, "_b"], how="inner")
     wb = Window.partitionBy(*group_cols, "_b").orderBy("_h", *[c(k) for k in key_cols])
     ranked = joined.withColumn(out, (F.col("_off") + F.row_number().over(wb)).cast("long"))
     drop = ["_b", "_off"] + ([] if keep_hash else ["_h"])
-    return ranked.drop(*drop)
+    return ranked.drop(*drop), counts
 
 
 def rank_by_order(df: DataFrame, order_cols: Sequence[str], out: str = "_pos",

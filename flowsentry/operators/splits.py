@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import c
-from .rank import rank_by_hash, rank_by_order
+from .rank import rank_by_hash, rank_by_hash_with_counts, rank_by_order
 
 log = logging.getLogger(__name__)
 
@@ -55,9 +55,8 @@ def novelty_split(df: DataFrame, key_cols: Sequence[str], label: str = LABEL,
                   train_size: float = 0.6, val_ratio: float = 0.25,
                   seed: int = SEED) -> DataFrame:
     """train = normals only; val/test hold both classes; 60 % of outliers dropped."""
-    counts = class_counts(df, label)
-    ranked = rank_by_hash(df.filter(c(label).isin(0, 1)), key_cols, seed, "split",
-                          group_cols=[label])
+    ranked, counts = rank_by_hash_with_counts(df.filter(c(label).isin(0, 1)), key_cols, seed,
+                                              "split", group_cols=[label])
     bounds = {}
     for y in (0, 1):
         if y not in counts:
@@ -107,10 +106,9 @@ def stratified_split(df: DataFrame, key_cols: Sequence[str], label: str = LABEL,
                      train_size: float = 0.6, val_ratio: float = 0.25,
                      seed: int = SEED) -> DataFrame:
     """Every class in every split, per-class sizes by largest remainder."""
-    counts = class_counts(df, label)
+    ranked, counts = rank_by_hash_with_counts(df.filter(c(label).isNotNull()), key_cols, seed,
+                                              "split", group_cols=[label])
     alloc = stratified_counts(counts, train_size, val_ratio)
-    ranked = rank_by_hash(df.filter(c(label).isNotNull()), key_cols, seed, "split",
-                          group_cols=[label])
     bounds = {y: (tr, tr + va) for y, (tr, va, te) in alloc.items()}
     split = _bounds_expr(F.col("_rank"), c(label), bounds, ["train", "val", "test"])
     return ranked.withColumn("split", split).drop("_rank")
@@ -170,9 +168,10 @@ def fewshot_split(df: DataFrame, cls: int, ratio: float, key_cols: Sequence[str]
                   label: str = LABEL, seed: int = SEED) -> DataFrame:
     """X7 (cls=0) / X8 (cls=1): n = max(1, int(n_cls·ratio)) rows of ``cls`` → ``few``;
     every other row → ``holdout``."""
-    n_cls = class_counts(df, label).get(cls, 0)
+    ranked, counts = rank_by_hash_with_counts(df.filter(c(label) == cls), key_cols, seed,
+                                              "fewshot")
+    n_cls = counts.get((), 0)
     n = max(1, int(n_cls * ratio)) if n_cls else 0
-    ranked = rank_by_hash(df.filter(c(label) == cls), key_cols, seed, "fewshot")
     few = ranked.withColumn("part", F.when(F.col("_rank") <= n, "few").otherwise("holdout"))
     rest = df.filter(~(c(label) == cls) | c(label).isNull()).withColumn("part", F.lit("holdout"))
     return few.drop("_rank").unionByName(rest)

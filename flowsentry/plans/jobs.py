@@ -101,7 +101,9 @@ def evaluate(det: FittedDetector, prepared: Prepared, cfg: ExperimentConfig,
     keep = [*cfg.key_cols, cfg.label, "split", "y_det"]
     rows = prepared.table.filter(c("split").isin(*splits_))
     scored = det.predict(rows, keep=keep)
-    conf = metrics.confusion(scored, "y_det", "y_pred", [1, -1], by=["split"])
+    # the confusion table has 4 rows per split; caching it lets every branch
+    # of the report read it instead of re-scoring
+    conf = metrics.confusion(scored, "y_det", "y_pred", [1, -1], by=["split"]).cache()
     return scored, conf, metrics.report(conf, by=["split"])
 
 
@@ -187,7 +189,7 @@ def run_classification(df: DataFrame, cfg: ExperimentConfig | None = None,
                            use_smote)
     conf = classifier_metrics(model, t.filter(c("split") == "test"), cfg, "test") \
         .unionByName(classifier_metrics(model, t.filter(c("split") == "train"), cfg, "train"))
-    conf = conf.cache()
+    conf = conf.cache()   # tiny; read by every branch of the report
     rep = metrics.report(conf, by=["split"])
     f1 = {r["split"]: r["macro_f1"] for r in metrics.macro_f1(conf, by=["split"]).collect()}
     gap = metrics.train_test_gap(f1.get("train", 0.0), f1.get("test", 0.0))

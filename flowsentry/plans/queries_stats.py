@@ -176,7 +176,7 @@ def a6_high_correlation(spark, sf):
 def _stat_sql(exprs: dict[str, str], sig: bool = False) -> str:
     agg = ", ".join(f"{e.format(x=f'CASE WHEN isfinite({q(n)}) THEN {q(n)} END')} AS {k}{i}"
                     for i, n in enumerate(FEATS) for k, e in exprs.items())
-    fmt = "printf('%.7e', {k}{{i}})" if sig else "ROUND({k}{{i}}, 6)"
+    fmt = "printf('%.5e', {k}{{i}})" if sig else "ROUND({k}{{i}}, 6)"
     rows = _unpivot("sa", FEATS, {k: fmt.format(k=k) for k in exprs})
     return W() + ", " + TRAIN_CTE + f", sa AS (SELECT {agg} FROM train)\n{rows}"
 
@@ -208,14 +208,14 @@ def a10_mean_std(spark, sf):
 
 def _per_column(spark, values: dict[str, list], sig: bool = False):
     """Fitted per-column statistics (d rows) as a DataFrame; values rounded to
-    6 decimals, or written with 8 significant digits (``sig``) where the
+    6 decimals, or written with 6 significant digits (``sig``) where the
     magnitude or interpolation ties make fixed decimals engine-dependent."""
     keys = list(values)
     rows = [(i, n, *[None if values[k][i] is None else float(values[k][i]) for k in keys])
             for i, n in enumerate(FEATS)]
     schema = "pos int, column string, " + ", ".join(f"{k} double" for k in keys)
     df = spark.createDataFrame(rows, schema)
-    fmt = (lambda k: F.format_string("%.7e", F.col(k))) if sig else \
+    fmt = (lambda k: F.format_string("%.5e", F.col(k))) if sig else \
         (lambda k: F.round(F.col(k), 6))
     return df.select("pos", "column", *[fmt(k).alias(k) for k in keys])
 
