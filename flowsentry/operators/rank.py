@@ -51,21 +51,28 @@ def rank_by_hash_with_counts(df: DataFrame, key_cols: Sequence[str], seed: int |
     h = hash_key(key_cols, seed, purpose)
     d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
     hist = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    # Histogram rows per group ≤ 16**digits, so this window's partitions are bounded.
-    w = Window.partitionBy(*group_cols).orderBy("_b") if group_cols else None
-    if w is None:
-        hist = hist.withColumn("_g", F.lit(0))
-        w = Window.partitionBy("_g").orderBy("_b")
-    offsets = hist.select(
-        *group_cols, "_b",
-        F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    offsets = offsets.join(hist.select(*group_cols, "_b", "_cnt"), on=[*group_cols, "_b"]) \
-        .cache()
-    n_rows = offsets.count()
-    totals = offsets.groupBy(*group_cols).agg(F.sum("_cnt").alias("n")).collect()
-    counts = {tuple(r[g] for g in group_cols) if len(group_cols) != 1 else r[group_cols[0]]:
-              int(r["n"]) for r in totals}
+    if group_cols:
+        # Histogram rows per group ≤ 16**digits, so this window's partitions are bounded.
+        w = Window.partitionBy(*group_cols).orderBy("_b")
+        offsets = hist.select(
+            *group_cols, "_b", "_cnt",
+            F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                       F.lit(0)).alias("_off")).cache()
+        n_rows = offsets.count()
+        totals = offsets.groupBy(*group_cols).agg(F.sum("_cnt").alias("n")).collect()
+        counts = {tuple(r[g] for g in group_cols) if len(group_cols) != 1
+                  else r[group_cols[0]]: int(r["n"]) for r in totals}
+    else:
+        # One group: the histogram has at most 16**digits rows by construction;
+        # its prefix sums are computed on the driver and broadcast back.
+        rows = sorted((r["_b"], int(r["_cnt"])) for r in hist.collect())
+        acc, table = 0, []
+        for b, n in rows:
+            table.append((b, n, acc))
+            acc += n
+        offsets = df.sparkSession.createDataFrame(table, "_b string, _cnt long, _off long")
+        n_rows = len(table)
+        counts = {(): acc} if table else {}
     small = offsets.drop("_cnt")
     if n_rows <= MAX_BROADCAST_ROWS:
         small = F.broadcast(small)
@@ -89,15 +96,16 @@ def rank_by_order(df: DataFrame, order_cols: Sequence[str], out: str = "_pos",
     # A reliable checkpoint (shared folder) fixes the partitions once; both the
     # counts and the numbering read the same files, also after executor loss.
     ordered = cut_lineage(ordered)
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"),
-                                         F.min("_mid").alias("_mid0"))
-    w = Window.partitionBy(F.lit(0)).orderBy("_pid")
-    offsets = counts.select(
-        "_pid", "_mid0",
-        F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    # The offsets table has exactly ``parts`` rows, a bound fixed here, so
-    # broadcasting it is safe.
+    # One row per partition (exactly ``parts`` rows): prefix sums on the driver,
+    # then broadcast back — a bound fixed here.
+    counts = sorted((int(r["_pid"]), int(r["_cnt"]), int(r["_mid0"])) for r in
+                    ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"),
+                                                F.min("_mid").alias("_mid0")).collect())
+    acc, table = 0, []
+    for pid, cnt, mid0 in counts:
+        table.append((pid, mid0, acc))
+        acc += cnt
+    offsets = spark.createDataFrame(table, "_pid int, _mid0 long, _off long")
     joined = ordered.join(F.broadcast(offsets), on=["_pid"], how="inner")
     return joined.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_mid0") + 1)
                              .cast("long")).drop("_pid", "_mid", "_mid0", "_off")
