@@ -23,19 +23,17 @@ CLASS_NAMES = {0: "normal/benign", 1: "outlier/attack"}
 
 
 def class_distribution(df: DataFrame, label: str = LABEL) -> DataFrame:
-    """A1: class, name, n, pct (missing labels not counted)."""
-    counts = (df.filter(c(label).isNotNull())
-              .groupBy(c(label).alias("class")).agg(F.count(F.lit(1)).alias("n")))
-    total = counts.agg(F.sum("n").alias("_total")).withColumn("_k", F.lit(1))
-    # ``total`` is one row: broadcasting it is bounded by construction.
-    out = counts.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
-    name = F.lit("?")
-    for k, v in CLASS_NAMES.items():
-        name = F.when(F.col("class") == k, F.lit(v)).otherwise(name)
-    return out.select(
-        F.col("class").cast("int").alias("class"), name.alias("name"),
-        F.col("n").cast("long").alias("n"),
-        F.round(F.lit(100.0) * F.col("n") / F.col("_total"), 6).alias("pct"))
+    """A1: class, name (0 normal/benign, 1 outlier/attack, else ``?``), n, pct;
+    missing labels not counted.  One aggregate; its result has one row per
+    class (bounded by the label's cardinality), so percentages are computed
+    from the collected counts."""
+    rows = (df.filter(c(label).isNotNull()).groupBy(c(label).alias("y"))
+            .agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(int(r["n"]) for r in rows)
+    out = [(int(r["y"]), CLASS_NAMES.get(int(r["y"]), "?"), int(r["n"]),
+            100.0 * int(r["n"]) / total) for r in rows]
+    res = df.sparkSession.createDataFrame(out, "class int, name string, n long, pct double")
+    return res.select("class", "name", "n", F.round("pct", 6).alias("pct"))
 
 
 def balance_verdict(df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -58,10 +58,14 @@ def cross_domain_view(train_domain: DataFrame, target: DataFrame, prep: PrepMode
                         *project(feats, comps, mean, ["pc1", "pc2"]))
     cent = pts.groupBy("domain", "class").agg(F.avg("pc1").alias("c1"), F.avg("pc2").alias("c2"),
                                               F.count(F.lit(1)).alias("n"))
-    ref = cent.filter((F.col("domain") == "train") & (F.col("class") == 0)) \
-        .select(F.lit(1).alias("_k"), F.col("c1").alias("r1"), F.col("c2").alias("r2"))
-    # ``ref`` has at most one row: broadcasting it is bounded by construction.
-    drift = cent.withColumn("_k", F.lit(1)).join(F.broadcast(ref), "_k", "left").select(
-        "domain", "class", "n", F.sqrt((F.col("c1") - F.col("r1")) ** 2 +
-                                       (F.col("c2") - F.col("r2")) ** 2).alias("centroid_dist"))
+    # one row per (domain, class): at most four rows, compared on the driver
+    cents = cent.collect()
+    ref = [r for r in cents if r["domain"] == "train" and r["class"] == 0]
+    r1, r2 = (ref[0]["c1"], ref[0]["c2"]) if ref else (None, None)
+    drift_rows = [(r["domain"], int(r["class"]), int(r["n"]),
+                   None if r1 is None else float(((r["c1"] - r1) ** 2 +
+                                                  (r["c2"] - r2) ** 2) ** 0.5))
+                  for r in cents]
+    drift = pts.sparkSession.createDataFrame(
+        drift_rows, "domain string, class int, n long, centroid_dist double")
     return PCAView(pts, ratio), drift
