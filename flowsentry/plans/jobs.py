@@ -118,7 +118,7 @@ def run_detection(df: DataFrame, cfg: ExperimentConfig | None = None) -> Detecti
         from .search import detector_search
         params = detector_search(prepared, cfg)["params"]
     det = fit_detector(cfg.algorithm, params, train, prepared.features, list(cfg.key_cols),
-                       n_rows=n_train, seed=cfg.random_state)
+                       n_rows=n_train, seed=cfg.random_state, max_fit_rows=cfg.max_fit_rows)
     scored, conf, rep = evaluate(det, prepared, cfg)
     return DetectionResult(prepared, det, scored, rep, conf)
 
@@ -305,13 +305,25 @@ def run_fewshot_classification(df: DataFrame, target: DataFrame,
 # ---------------------------------------------------------------- J6, J7
 
 
-def balance_report(df: DataFrame, label: str = "Label") -> dict[str, DataFrame]:
-    """Class distribution before and after P1, and the balance verdict."""
+def balance_report(df: DataFrame, label: str = "Label", smote_key: str | None = None,
+                   features: list[str] | None = None, arff_path: str | None = None
+                   ) -> dict[str, DataFrame]:
+    """Class distribution before and after P1, and the balance verdict;
+    optionally SMOTE-balanced rows (M9), written as ARFF (S3)."""
     from ..operators import stats
     cleaned = clean.drop_invalid(df)
-    return {"before": stats.class_distribution(df, label),
-            "after": stats.class_distribution(cleaned, label),
-            "verdict": stats.balance_verdict(cleaned, label)}
+    out = {"before": stats.class_distribution(df, label),
+           "after": stats.class_distribution(cleaned, label),
+           "verdict": stats.balance_verdict(cleaned, label)}
+    if smote_key is not None:
+        from ..operators.smote import oversample
+        feats = features or clean.feature_names(cleaned, label, exclude=[smote_key])
+        balanced = oversample(cleaned, smote_key, feats, label)
+        out["balanced"] = stats.class_distribution(balanced, label)
+        if arff_path is not None:
+            from ..sources.arff import write_arff
+            write_arff(balanced.drop(smote_key), arff_path, relation="balanced", label=label)
+    return out
 
 
 def component_report(df: DataFrame, cfg: ExperimentConfig | None = None) -> DataFrame:

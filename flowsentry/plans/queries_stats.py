@@ -493,3 +493,41 @@ def j6_balance_report(spark, sf):
     rep = balance_report(fixtures.flows_dirty(spark, sf))
     return rep["before"].select(F.lit("before").alias("stage"), "class", "n", "pct") \
         .unionByName(rep["after"].select(F.lit("after").alias("stage"), "class", "n", "pct"))
+
+
+@register("s6_result_sink", W() + ", " + PRED_CTE + """
+SELECT split, CAST(cls AS VARCHAR) AS "row", ROUND(prec, 6) AS precision, ROUND(rec, 6) AS recall,
+       ROUND(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM pcf""")
+def s6_result_sink(spark, sf):
+    """Per-class report rows written to Parquet below the shared folder and read back."""
+    from ..session import scratch_path
+    from ..sources.sinks import read_result, write_results
+    conf = metrics.confusion(_predicted(spark, sf), "y_det", "y_pred", [1, -1], by=["split"])
+    rep = metrics.report(conf, by=["split"]).filter(F.col("row").isin("1", "-1"))
+    path = scratch_path(spark, "results")
+    write_results({"report": rep.select("split", "row", *[F.round(k, 6).alias(k) for k in
+                                                          ("precision", "recall", "f1")],
+                                        "support")}, path)
+    return read_result(spark, path, "report")
+
+
+@register("j6_balance_smote_arff")
+def j6_balance_smote_arff(spark, sf):
+    """J6 with SMOTE: the cleaned flows balanced by SMOTE, written as ARFF (S3),
+    read back (S1) and its class distribution reported."""
+    from ..session import scratch_path
+    from ..sources import arff
+    from .jobs import balance_report
+    f = fixtures.flows(spark, sf).drop("first_day", "domain")
+    path = scratch_path(spark, "balanced-arff")
+    balance_report(f, smote_key="flow_id", features=FEATS, arff_path=path)
+    return stats.class_distribution(arff.read_arff(spark, path))
+
+
+@register("x11_cap_training_rows", W() + ", " + TRAIN_CTE + """ SELECT flow_id FROM (
+  SELECT flow_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', 'fit-cap',
+         CAST(flow_id AS VARCHAR))), flow_id) AS rk FROM train) WHERE rk <= 2000""")
+def x11_cap_training_rows(spark, sf):
+    """X11: the ≤ 2,000 hash-chosen training rows a capped fit would use."""
+    return splits.sample_n(_train(spark, sf), 2000, ["flow_id"], purpose="fit-cap") \
+        .select("flow_id")
