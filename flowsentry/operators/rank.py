@@ -109,3 +109,144 @@ def rank_by_order(df: DataFrame, order_cols: Sequence[str], out: str = "_pos",
     joined = ordered.join(F.broadcast(offsets), on=["_pid"], how="inner")
     return joined.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_mid0") + 1)
                              .cast("long")).drop("_pid", "_mid", "_mid0", "_off")
+
+
+# ---------------------------------------------------------------------------
+# Cuts without ranking every row
+#
+# A split or sample only needs, per group, the hash value of the row at a few
+# cut ranks: every row with a hash at or below that value is "in".  The bucket
+# histogram (one narrow pass with partial aggregation) says which bucket holds
+# each cut; only rows of those boundary buckets are ordered exactly (a shuffle
+# of ≈ n / 16**digits rows per cut), refining by longer hash prefixes while a
+# boundary bucket is still large.  The final labelling is a comparison per row:
+# no shuffle of the table.  Keys must be unique (distinct keys have distinct
+# md5 values).
+
+LOW, HIGH = "", "~"            # sentinels: below / above every hex digest
+EXACT_BUCKET_ROWS = 2_000_000  # a boundary bucket larger than this is refined
+
+
+def _group_match(group_cols: list[str], g: tuple, prefix: str) -> Column:
+    term = F.substring("_h", 1, len(prefix)) == F.lit(prefix)
+    for col, val in zip(group_cols, g):
+        term = term & (c(col) == F.lit(val))
+    return term
+
+
+def _kth_hash(d: DataFrame, group_cols: list[str], wanted: list[tuple], prefix_len: int
+              ) -> dict[tuple, str]:
+    """``wanted``: (group values, prefix, r, rows in prefix) with prefixes of length
+    ``prefix_len`` → {(group, prefix, r): hash of the r-th smallest row of that
+    group whose hash starts with ``prefix``}."""
+    out: dict[tuple, str] = {}
+    exact = [w for w in wanted if w[3] <= EXACT_BUCKET_ROWS or prefix_len + 4 > 32]
+    refine = [w for w in wanted if w not in exact]
+    if exact:
+        cond = None
+        for g, p, _, _ in exact:
+            t = _group_match(group_cols, g, p)
+            cond = t if cond is None else cond | t
+        # one window partition per (group, boundary prefix), each ≤ EXACT_BUCKET_ROWS rows
+        w = Window.partitionBy(*group_cols, F.substring("_h", 1, prefix_len)).orderBy("_h")
+        ranked = d.filter(cond).select(*group_cols, "_h") \
+            .withColumn("_r", F.row_number().over(w))
+        pick = None
+        for g, p, r, _ in exact:
+            t = _group_match(group_cols, g, p) & (F.col("_r") == F.lit(r))
+            pick = t if pick is None else pick | t
+        for row in ranked.filter(pick).collect():
+            g = tuple(row[x] for x in group_cols)
+            for gg, p, r, _ in exact:
+                if gg == g and row["_h"].startswith(p) and row["_r"] == r:
+                    out[(gg, p, r)] = row["_h"]
+    for g, prefix, r, _ in refine:
+        # the boundary bucket is still large: histogram it by 4 more hex digits
+        plen = prefix_len + 4
+        hist = sorted((row["_p"], int(row["n"])) for row in
+                      d.filter(_group_match(group_cols, g, prefix))
+                      .groupBy(F.substring("_h", 1, plen).alias("_p"))
+                      .agg(F.count(F.lit(1)).alias("n")).collect())
+        acc = 0
+        for p2, n in hist:
+            if acc + n >= r:
+                sub = _kth_hash(d, group_cols, [(g, p2, r - acc, n)], plen)
+                out[(g, prefix, r)] = sub[(g, p2, r - acc)]
+                break
+            acc += n
+    return out
+
+
+def hash_cuts(df: DataFrame, key_cols: Sequence[str], seed: int | str, purpose: str,
+              group_cols: Sequence[str], cuts_for, digits: int = 4
+              ) -> tuple[DataFrame, dict, dict]:
+    """Per group, the hash thresholds of the requested cut ranks.
+
+    ``cuts_for(counts) -> {group value: [rank, …]}`` gets the per-group row
+    counts (from the histogram) and returns 0-based cut sizes: a cut ``b`` keeps
+    the first ``b`` rows in hash order.  Returns (df with ``_h``, counts,
+    {group value: [threshold hash, …]}) where row ∈ first b ⇔ ``_h <= threshold``.
+    """
+    group_cols = list(group_cols)
+    d = df.withColumn("_h", hash_key(key_cols, seed, purpose))
+    hist_rows = (d.groupBy(*group_cols, F.substring("_h", 1, digits).alias("_b"))
+                 .agg(F.count(F.lit(1)).alias("n")).collect())   # ≤ groups · 16**digits rows
+    per_group: dict[tuple, list[tuple[str, int]]] = {}
+    for row in hist_rows:
+        per_group.setdefault(tuple(row[x] for x in group_cols), []).append(
+            (row["_b"], int(row["n"])))
+    counts = {g: sum(n for _, n in v) for g, v in per_group.items()}
+    plain = {(g[0] if len(group_cols) == 1 else g): n for g, n in counts.items()}
+    wanted_cuts = cuts_for(plain)
+    wanted, plan = [], {}
+    for g, buckets in per_group.items():
+        gk = g[0] if len(group_cols) == 1 else g
+        buckets.sort()
+        for b in wanted_cuts.get(gk, []):
+            if b <= 0:
+                plan[(g, b)] = LOW
+            elif b >= counts[g]:
+                plan[(g, b)] = HIGH
+            else:
+                acc = 0
+                for prefix, n in buckets:
+                    if acc + n >= b:
+                        wanted.append((g, prefix, b - acc, n))
+                        plan[(g, b)] = (g, prefix, b - acc)
+                        break
+                    acc += n
+    found = _kth_hash(d, group_cols, wanted, digits) if wanted else {}
+    thresholds = {}
+    for g in per_group:
+        gk = g[0] if len(group_cols) == 1 else g
+        ts = []
+        for b in wanted_cuts.get(gk, []):
+            v = plan[(g, b)]
+            ts.append(v if isinstance(v, str) else found[v])
+        thresholds[gk] = ts
+    return d, plain, thresholds
+
+
+def cut_label(group_cols: Sequence[str], thresholds: dict, names) -> Column:
+    """``names[i]`` for rows whose hash is at or below threshold i (first match),
+    ``names[len(thresholds)]`` otherwise; per group (``names`` may be a dict
+    group value → names)."""
+    expr = None
+    for g, ts in thresholds.items():
+        nm_list = names[g] if isinstance(names, dict) else names
+        inner = None
+        for t, nm in zip(ts, nm_list):
+            cond = F.col("_h") <= F.lit(t)
+            inner = F.when(cond, F.lit(nm)) if inner is None else inner.when(cond, F.lit(nm))
+        if len(nm_list) > len(ts):
+            inner = F.lit(nm_list[len(ts)]) if inner is None else inner.otherwise(
+                F.lit(nm_list[len(ts)]))
+        gv = g if isinstance(g, tuple) else (g,)
+        term = None
+        for col, val in zip(group_cols, gv):
+            t = c(col) == F.lit(val)
+            term = t if term is None else term & t
+        if term is None:
+            return inner
+        expr = F.when(term, inner) if expr is None else expr.when(term, inner)
+    return expr if expr is not None else F.lit(None).cast("string")

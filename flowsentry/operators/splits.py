@@ -1,9 +1,11 @@
 """Splits, sampling and concatenation.
 
-Membership is decided by a keyed hash order (``rank.rank_by_hash``), so a
-split is reproducible, independent of partitioning, and checkable against
-plain SQL.  Split sizes come from per-class counts: a tiny aggregate that is
-brought to the driver and turned into literal bounds.
+Membership is decided by a keyed hash order, so a split is reproducible,
+independent of partitioning, and checkable against plain SQL.  Split sizes
+come from per-class counts read off the hash-bucket histogram; the hash value
+at each cut is found exactly from the few boundary buckets
+(``rank.hash_cuts``), and every row is then labelled by comparing its hash
+with those thresholds: a narrow projection, no shuffle of the table.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import c
-from .rank import rank_by_hash, rank_by_hash_with_counts, rank_by_order
+from .rank import cut_label, hash_cuts, rank_by_order
 
 log = logging.getLogger(__name__)
 
@@ -55,27 +57,18 @@ def novelty_split(df: DataFrame, key_cols: Sequence[str], label: str = LABEL,
                   train_size: float = 0.6, val_ratio: float = 0.25,
                   seed: int = SEED) -> DataFrame:
     """train = normals only; val/test hold both classes; 60 % of outliers dropped."""
-    ranked, counts = rank_by_hash_with_counts(df.filter(c(label).isin(0, 1)), key_cols, seed,
-                                              "split", group_cols=[label])
-    bounds = {}
-    for y in (0, 1):
-        if y not in counts:
-            continue
-        tr, va, te = novelty_counts(counts[y], train_size, val_ratio)
-        if y == 0:
-            bounds[0] = (tr, tr + va)
-        else:
-            bounds[1] = (tr, tr + va)
-    names0 = ["train", "val", "test"]
-    names1 = ["_drop", "val", "test"]
-    expr = None
-    for y, bs in bounds.items():
-        nm = names0 if y == 0 else names1
-        inner = (F.when(F.col("_rank") <= bs[0], nm[0])
-                 .when(F.col("_rank") <= bs[1], nm[1]).otherwise(nm[2]))
-        expr = F.when(c(label) == y, inner) if expr is None else expr.when(c(label) == y, inner)
-    out = ranked.withColumn("split", expr if expr is not None else F.lit(None).cast("string"))
-    return out.filter(F.col("split") != "_drop").drop("_rank")
+    def cuts(counts):
+        out = {}
+        for y in (0, 1):
+            if y in counts:
+                tr, va, _ = novelty_counts(counts[y], train_size, val_ratio)
+                out[y] = [tr, tr + va]
+        return out
+    d, _, th = hash_cuts(df.filter(c(label).isin(0, 1)), key_cols, seed, "split", [label],
+                         cuts)
+    names = {0: ["train", "val", "test"], 1: ["_drop", "val", "test"]}
+    out = d.withColumn("split", cut_label([label], th, names))
+    return out.filter(F.col("split") != "_drop").drop("_h")
 
 
 def largest_remainder(total: int, counts: dict) -> dict:
@@ -106,12 +99,12 @@ def stratified_split(df: DataFrame, key_cols: Sequence[str], label: str = LABEL,
                      train_size: float = 0.6, val_ratio: float = 0.25,
                      seed: int = SEED) -> DataFrame:
     """Every class in every split, per-class sizes by largest remainder."""
-    ranked, counts = rank_by_hash_with_counts(df.filter(c(label).isNotNull()), key_cols, seed,
-                                              "split", group_cols=[label])
-    alloc = stratified_counts(counts, train_size, val_ratio)
-    bounds = {y: (tr, tr + va) for y, (tr, va, te) in alloc.items()}
-    split = _bounds_expr(F.col("_rank"), c(label), bounds, ["train", "val", "test"])
-    return ranked.withColumn("split", split).drop("_rank")
+    def cuts(counts):
+        alloc = stratified_counts(counts, train_size, val_ratio)
+        return {y: [tr, tr + va] for y, (tr, va, te) in alloc.items()}
+    d, _, th = hash_cuts(df.filter(c(label).isNotNull()), key_cols, seed, "split", [label],
+                         cuts)
+    return d.withColumn("split", cut_label([label], th, ["train", "val", "test"])).drop("_h")
 
 
 def positional_counts(n: int, train_size: float, val_ratio: float) -> tuple[int, int]:
@@ -144,14 +137,18 @@ def contamination(train: DataFrame, target: float | None, key_cols: Sequence[str
     """Keep normals, keep min(int(c·n0/(1−c)), n1) hash-chosen attacks."""
     if target is None:
         return train
-    counts = class_counts(train, label)
-    n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    need = int((target * n0) / (1 - target))
-    if need > n1:
-        log.warning("contamination %.3f needs %d attacks, only %d available", target, need, n1)
-        need = n1
-    attacks = rank_by_hash(train.filter(c(label) == 1), key_cols, seed, "contamination")
-    attacks = attacks.filter(F.col("_rank") <= need).drop("_rank")
+    n0 = train.filter(c(label) == 0).count()
+
+    def cuts(counts):
+        n1 = counts.get((), 0)
+        need = int((target * n0) / (1 - target))
+        if need > n1:
+            log.warning("contamination %.3f needs %d attacks, only %d available",
+                        target, need, n1)
+            need = n1
+        return {(): [need]}
+    d, _, th = hash_cuts(train.filter(c(label) == 1), key_cols, seed, "contamination", [], cuts)
+    attacks = d.filter(cut_label([], th, ["in", "out"]) == "in").drop("_h")
     return train.filter(c(label) == 0).unionByName(attacks)
 
 
@@ -160,21 +157,20 @@ def sample_n(df: DataFrame, n: int | None, key_cols: Sequence[str], purpose: str
     """≤ n hash-chosen rows (per group when ``group_cols``)."""
     if n is None:
         return df
-    ranked = rank_by_hash(df, key_cols, seed, purpose, group_cols=group_cols)
-    return ranked.filter(F.col("_rank") <= F.lit(int(n))).drop("_rank")
+    d, _, th = hash_cuts(df, key_cols, seed, purpose, list(group_cols),
+                         lambda counts: {g: [int(n)] for g in counts})
+    return d.filter(cut_label(list(group_cols), th, ["in", "out"]) == "in").drop("_h")
 
 
 def fewshot_split(df: DataFrame, cls: int, ratio: float, key_cols: Sequence[str],
                   label: str = LABEL, seed: int = SEED) -> DataFrame:
     """X7 (cls=0) / X8 (cls=1): n = max(1, int(n_cls·ratio)) rows of ``cls`` → ``few``;
     every other row → ``holdout``."""
-    ranked, counts = rank_by_hash_with_counts(df.filter(c(label) == cls), key_cols, seed,
-                                              "fewshot")
-    n_cls = counts.get((), 0)
-    n = max(1, int(n_cls * ratio)) if n_cls else 0
-    few = ranked.withColumn("part", F.when(F.col("_rank") <= n, "few").otherwise("holdout"))
+    d, _, th = hash_cuts(df.filter(c(label) == cls), key_cols, seed, "fewshot", [],
+                         lambda counts: {(): [max(1, int(counts.get((), 0) * ratio))]})
+    few = d.withColumn("part", cut_label([], th, ["few", "holdout"])).drop("_h")
     rest = df.filter(~(c(label) == cls) | c(label).isNull()).withColumn("part", F.lit("holdout"))
-    return few.drop("_rank").unionByName(rest)
+    return few.unionByName(rest)
 
 
 def append(train: DataFrame, extra: DataFrame) -> DataFrame:
