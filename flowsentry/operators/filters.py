@@ -8,9 +8,9 @@ numbers, never from rows.
 * A5 literal duplicates: a per-column fingerprint (min, max and ``bit_xor``
   of ``xxhash64(key, value)``) finds candidate pairs in one pass; only
   colliding pairs are verified with ``<=>`` in a second pass.
-* A6 high correlation: ``ml.stat.Correlation`` (one Gramian tree-aggregate)
-  gives the ``d×d`` matrix; column j drops if any earlier column i has
-  ``|ρ| > threshold`` (even when i itself drops).
+* A6 high correlation: one pass of per-batch cross-product sums (BLAS in
+  ``mapInPandas``, added by a ``groupBy``) gives the ``d×d`` matrix; column j
+  drops if any earlier column i has ``|ρ| > threshold`` (even when i drops).
 """
 
 from __future__ import annotations
@@ -104,23 +104,64 @@ def duplicate_columns(df: DataFrame, columns: Sequence[str], key_cols: Sequence[
     return dup
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]):
-    """Pearson matrix (numpy) via ``ml.stat.Correlation`` over filled values."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    tmp = [f"_x{i}" for i in range(len(columns))]
-    d = df.select(*[_filled(n).alias(t) for n, t in zip(columns, tmp)])
-    vec = VectorAssembler(inputCols=tmp, outputCol="_v", handleInvalid="keep").transform(d)
-    m = Correlation.corr(vec, "_v", "pearson").collect()[0][0]
-    return m.toArray()
-
-
-def high_correlation(df: DataFrame, columns: Sequence[str], threshold: float = 0.95
-                     ) -> list[str]:
+def centered_moments(df: DataFrame, exprs: Sequence[Column], shift: Sequence[float]):
+    """(n, mean vector, C = Σ (x−x̄)(x−x̄)ᵀ) of the given column expressions, in
+    one pass.  Each Arrow batch contributes its row count, Σ(x−a) and the upper
+    triangle of Σ(x−a)(x−a)ᵀ (BLAS); ``posexplode`` + ``groupBy(pos).sum`` adds
+    the partial vectors (partial aggregation leaves ≤ L rows per task).  The
+    shift ``a`` (an approximate mean) keeps the sums well conditioned."""
+    import numpy as np
+    import pandas as pd
+    d = len(exprs)
+    a = np.asarray([0.0 if v is None or not math.isfinite(v) else float(v) for v in shift])
+    iu = np.triu_indices(d)
+    names = [f"_x{i}" for i in range(d)]
+    sub = df.select(*[e.alias(nm) for e, nm in zip(exprs, names)])
+
+    def run(batches):
+        for pdf in batches:
+            X = pdf[names].to_numpy(dtype=float, na_value=0.0) - a
+            vec = np.concatenate([[float(len(X))], X.sum(axis=0), (X.T @ X)[iu]])
+            yield pd.DataFrame({"v": [vec.tolist()]})
+
+    parts = sub.mapInPandas(run, "v array<double>")
+    rows = (parts.select(F.posexplode("v").alias("pos", "x")).groupBy("pos")
+            .agg(F.sum("x").alias("s")).collect())
+    tot = np.zeros(1 + d + len(iu[0]))
+    for r in rows:
+        tot[r["pos"]] = r["s"]
+    n = tot[0]
+    if n == 0:
+        return 0, a, np.zeros((d, d))
+    s1 = tot[1:1 + d]
+    S2 = np.zeros((d, d))
+    S2[iu] = tot[1 + d:]
+    S2 = S2 + np.triu(S2, 1).T
+    C = S2 - np.outer(s1, s1) / n
+    return int(n), a + s1 / n, C
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str], shift=None):
+    """Pearson matrix (numpy) of the filled values; NaN where a variance is 0."""
+    import numpy as np
+    if shift is None:
+        row = df.agg(*[F.avg(_filled(n)).alias(f"m{i}") for i, n in enumerate(columns)]
+                     ).collect()[0]
+        shift = [row[f"m{i}"] for i in range(len(columns))]
+    _, _, C = centered_moments(df, [_filled(n) for n in columns], shift)
+    sd = np.sqrt(np.clip(np.diag(C), 0.0, None))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        R = C / np.outer(sd, sd)
+    R[np.outer(sd, sd) == 0] = np.nan
+    return R
+
+
+def high_correlation(df: DataFrame, columns: Sequence[str], threshold: float = 0.95,
+                     shift=None) -> list[str]:
     """Column j drops if any earlier column has |ρ| > threshold (NaN never drops)."""
     if len(columns) < 2:
         return []
-    m = correlation_matrix(df, columns)
+    m = correlation_matrix(df, columns, shift)
     out = []
     for j in range(len(columns)):
         for i in range(j):
@@ -131,22 +172,53 @@ def high_correlation(df: DataFrame, columns: Sequence[str], threshold: float = 0
     return out
 
 
+def column_profile(df: DataFrame, columns: Sequence[str], key_cols: Sequence[str]) -> dict:
+    """One aggregate pass: per column the sample variance and fingerprint of the
+    filled values (A4, A5) and the mean of the finite values (A8)."""
+    key = [c(k) for k in key_cols]
+    exprs = [F.count(F.lit(1)).alias("_n")]
+    for i, n in enumerate(columns):
+        x = _filled(n)
+        exprs += [F.var_samp(x).alias(f"v{i}"), F.min(x).alias(f"mn{i}"),
+                  F.max(x).alias(f"mx{i}"), F.bit_xor(F.xxhash64(*key, x)).alias(f"h{i}"),
+                  F.avg(F.when(is_finite(c(n)), c(n))).alias(f"m{i}")]
+    return df.agg(*exprs).collect()[0].asDict()
+
+
 def fit_filters(df: DataFrame, columns: Sequence[str], key_cols: Sequence[str],
-                variance_threshold: float = 0.0, correlation_threshold: float = 0.95
-                ) -> FilterModel:
-    """A4 → A5 → A6 on the training rows, column order kept."""
-    df = df.select(*[c(k) for k in key_cols], *[c(n) for n in columns]).cache()
-    try:
-        lv = low_variance(df, columns, variance_threshold)
-        step1 = [n for n in columns if n not in lv]
-        dup = duplicate_columns(df, step1, key_cols)
-        step2 = [n for n in step1 if n not in dup]
-        # fewer than two rows: every correlation is undefined (NaN), nothing drops
-        hc = high_correlation(df, step2, correlation_threshold) if df.limit(2).count() == 2 \
-            else []
-        kept = [n for n in step2 if n not in hc]
-    finally:
-        df.unpersist()
+                variance_threshold: float = 0.0, correlation_threshold: float = 0.95,
+                profile: dict | None = None) -> FilterModel:
+    """A4 → A5 → A6 on the training rows, column order kept.
+
+    Passes: one profile aggregate (variance, fingerprints), one correlation
+    pass, and a verification pass only when two fingerprints collide."""
+    columns = list(columns)
+    prof = profile or column_profile(df, columns, key_cols)
+    idx = {n: i for i, n in enumerate(columns)}
+    lv = []
+    for n in columns:
+        v = prof[f"v{idx[n]}"]
+        if v is not None and not math.isnan(v) and v <= variance_threshold:
+            lv.append(n)
+    step1 = [n for n in columns if n not in lv]
+    fp: dict[tuple, list[str]] = {}
+    for n in step1:
+        i = idx[n]
+        fp.setdefault((prof[f"mn{i}"], prof[f"mx{i}"], prof[f"h{i}"]), []).append(n)
+    pairs = [(g[a], g[b]) for g in fp.values() for a in range(len(g))
+             for b in range(a + 1, len(g))]
+    dup: dict[str, str] = {}
+    if pairs:
+        ver = df.agg(*[F.bool_and(_filled(a).eqNullSafe(_filled(b))).alias(f"e{k}")
+                       for k, (a, b) in enumerate(pairs)]).collect()[0]
+        for k, (a, b) in enumerate(pairs):
+            if ver[f"e{k}"] is not False and b not in dup:
+                dup[b] = dup.get(a, a)
+    step2 = [n for n in step1 if n not in dup]
+    # fewer than two rows: every correlation is undefined (NaN), nothing drops
+    shift = [prof[f"m{idx[n]}"] for n in step2]
+    hc = high_correlation(df, step2, correlation_threshold, shift) if prof["_n"] >= 2 else []
+    kept = [n for n in step2 if n not in hc]
     log.info("filters: %d in, %d low-variance, %d duplicate, %d correlated, %d kept",
              len(columns), len(lv), len(dup), len(hc), len(kept))
     return FilterModel(list(columns), kept, lv, list(dup), hc, dup)

@@ -1,8 +1,7 @@
 """PCA fit, explained-variance curve and views.
 
-The covariance matrix comes from one distributed pass: ``ml.stat.Correlation``
-(a Gramian tree-aggregate over the rows) and one ``stddev_samp``/``avg``
-aggregate; ``cov = ρ·σσᵀ``.  Only this ``d×d`` matrix reaches the driver,
+The covariance matrix comes from one mean aggregate and one distributed pass
+of per-batch cross-product sums (``filters.centered_moments``).  Only this ``d×d`` matrix reaches the driver,
 where ``numpy.linalg.eigh`` gives components and variances.  Projection is a
 plain linear expression per component, so scoring stays in codegen.
 """
@@ -17,27 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import c
-from .filters import correlation_matrix
+from .filters import centered_moments
 
 
 def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(mean vector, sample covariance matrix) of the given columns."""
+    """(mean vector, sample covariance matrix) of the given columns: one mean
+    aggregate for the shift, one pass of per-batch cross-product sums."""
     cols = list(columns)
-    row = df.agg(F.count(F.lit(1)).alias("_n"),
-                 *[F.avg(c(n)).alias(f"m{i}") for i, n in enumerate(cols)],
-                 *[F.stddev_samp(c(n)).alias(f"s{i}") for i, n in enumerate(cols)]).collect()[0]
-    mean = np.array([row[f"m{i}"] or 0.0 for i in range(len(cols))])
-    std = np.array([row[f"s{i}"] if row[f"s{i}"] is not None and
-                    not math.isnan(row[f"s{i}"]) else 0.0 for i in range(len(cols))])
-    if row["_n"] < 2:
+    row = df.agg(*[F.avg(c(n)).alias(f"m{i}") for i, n in enumerate(cols)]).collect()[0]
+    shift = [row[f"m{i}"] for i in range(len(cols))]
+    n, mean, C = centered_moments(df, [c(n) for n in cols], shift)
+    if n < 2:
         return mean, np.zeros((len(cols), len(cols)))
-    if len(cols) == 1:
-        return mean, np.array([[std[0] ** 2]])
-    rho = correlation_matrix(df, cols)
-    rho = np.where(np.isnan(rho), 0.0, rho)
-    np.fill_diagonal(rho, 1.0)
-    cov = rho * np.outer(std, std)
-    return mean, cov
+    return mean, C / (n - 1)
 
 
 def eigen(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import c, is_finite
 from . import stats
-from .filters import FilterModel, fit_filters
+from .filters import FilterModel, column_profile, fit_filters
 
 log = logging.getLogger(__name__)
 
@@ -63,11 +63,13 @@ class PrepModel:
                                *[F.when(is_finite(c(n)), c(n)).alias(n) for n in columns])
         fm: FilterModel | None = None
         kept = columns
+        # one pass gives the filter statistics and the means of every column
+        prof = column_profile(cleaned, columns, key_cols)
         if apply_filters:
             fm = fit_filters(cleaned, columns, key_cols, variance_threshold,
-                             correlation_threshold)
+                             correlation_threshold, profile=prof)
             kept = fm.kept_columns
-        means = stats.column_means(cleaned, kept)
+        means = {n: prof[f"m{columns.index(n)}"] for n in kept}
         empty = [n for n in kept if means[n] is None]
         if empty:
             log.warning("imputer: all-missing column(s) dropped: %s", empty)

@@ -67,9 +67,12 @@ def split_table(d: DataFrame, cfg: ExperimentConfig) -> DataFrame:
 
 
 def prepare(df: DataFrame, cfg: ExperimentConfig, scale: bool = True) -> Prepared:
-    d = feature_table(df, cfg)
+    # The cleaned feature table feeds the split's histogram, its boundary rows
+    # and every fitting pass: persisted once.  The split itself is a narrow
+    # projection over it.
+    d = feature_table(df, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     features = clean.feature_names(d, cfg.label, exclude=cfg.meta_cols)
-    s = split_table(d, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    s = split_table(d, cfg)
     train = s.filter(c("split") == "train")
     prep = PrepModel.fit(train, features, list(cfg.key_cols),
                          apply_filters=cfg.apply_filters and not cfg.feature_whitelist,
@@ -136,7 +139,7 @@ class ClassificationResult:
 
 def classifier_prepare(df: DataFrame, cfg: ExperimentConfig) -> Prepared:
     """S1/P1 → D48 → X2 (or X3) → filters + imputer fitted on train (no scaling)."""
-    d = feature_table(df, cfg)
+    d = feature_table(df, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     features = clean.feature_names(d, cfg.label, exclude=cfg.meta_cols)
     keys = list(cfg.key_cols)
     if cfg.temporal_split:
@@ -145,7 +148,6 @@ def classifier_prepare(df: DataFrame, cfg: ExperimentConfig) -> Prepared:
     else:
         s = splits.stratified_split(d, keys, cfg.label, cfg.train_size, cfg.val_ratio,
                                     cfg.random_state)
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
     prep = PrepModel.fit(s.filter(c("split") == "train"), features, keys,
                          apply_filters=cfg.apply_filters and not cfg.feature_whitelist,
                          pca_components=cfg.pca_reduce)
