@@ -162,9 +162,10 @@ def fit_classifier(train: DataFrame, features, cfg: ExperimentConfig, params: di
     from ..operators.boost import fit_boost
     from ..operators.smote import oversample
     key = cfg.key_cols[0]
-    fit_rows = oversample(train, key, features, cfg.label, seed=cfg.random_state) \
-        if use_smote else train
-    return fit_boost(fit_rows, features, cfg.label, params, seed=cfg.random_state)
+    fit_rows = (oversample(train, key, features, cfg.label, seed=cfg.random_state)
+                if use_smote else train).persist(StorageLevel.MEMORY_AND_DISK)
+    n = fit_rows.count()
+    return fit_boost(fit_rows, features, cfg.label, params, seed=cfg.random_state, n_rows=n)
 
 
 def classifier_metrics(model, rows: DataFrame, cfg: ExperimentConfig, split_name: str):
