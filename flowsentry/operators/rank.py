@@ -15,6 +15,8 @@ offsets.
 
 from __future__ import annotations
 
+import math
+
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -250,3 +252,108 @@ def cut_label(group_cols: Sequence[str], thresholds: dict, names) -> Column:
             return inner
         expr = F.when(term, inner) if expr is None else expr.when(term, inner)
     return expr if expr is not None else F.lit(None).cast("string")
+
+
+# ---------------------------------------------------------------------------
+# Positional cuts without sorting the table
+#
+# The first b rows under an order key are exactly the rows whose key is at or
+# below the b-th key.  That key is found by selection: a bounded hash sample
+# of keys proposes a lower and an upper candidate around each cut, one pass of
+# conditional counts places the cut inside the slice between them, and only
+# that slice (≈ n·margin / sample rows) is ordered exactly; a slice that is
+# still large is narrowed the same way.  Labelling is a comparison per row.
+
+SLICE_ROWS = 2_000_000
+SAMPLE_ROWS = 100_000
+
+
+def _lex(cols: Sequence[str], values: Sequence, strict: bool) -> Column:
+    """(cols) < values (strict) or ≤ values, lexicographically."""
+    expr = None
+    for i in range(len(cols) - 1, -1, -1):
+        v = F.lit(values[i])
+        here = (c(cols[i]) < v) if (strict or i < len(cols) - 1) else (c(cols[i]) <= v)
+        if expr is None:
+            expr = here
+        else:
+            expr = (c(cols[i]) < v) | ((c(cols[i]) == v) & expr)
+    return expr
+
+
+def lex_le(cols: Sequence[str], values: Sequence) -> Column:
+    return _lex(cols, values, strict=False)
+
+
+def lex_lt(cols: Sequence[str], values: Sequence) -> Column:
+    return _lex(cols, values, strict=True)
+
+
+def _select_kth(df: DataFrame, cols: list[str], wanted: list[int], n: int, lo, hi,
+                seed: int, depth: int = 0) -> dict[int, tuple]:
+    """Keys of the rows at 1-based positions ``wanted`` among the rows of ``df``
+    whose key lies in (lo, hi] (``lo``/``hi`` None = unbounded); ``n`` rows."""
+    out: dict[int, tuple] = {}
+    base = df
+    if lo is not None:
+        base = base.filter(~lex_le(cols, lo))
+    if hi is not None:
+        base = base.filter(lex_le(cols, hi))
+    if n <= SLICE_ROWS or depth > 6:
+        # the slice is small: order it exactly (bounded by SLICE_ROWS keys)
+        keys = [tuple(r) for r in base.select(*[c(x) for x in cols]).orderBy(*cols).collect()]
+        for b in wanted:
+            out[b] = keys[b - 1]
+        return out
+    p = min(1.0, SAMPLE_ROWS / n)
+    u = (F.xxhash64(F.lit(seed + depth), F.lit("order-sample"), *[c(x) for x in cols])
+         .cast("double") / F.lit(2.0 ** 64) + F.lit(0.5))
+    sample = sorted(tuple(r) for r in base.filter(u < F.lit(p)).select(*[c(x) for x in cols])
+                    .collect())
+    m = len(sample)
+    margin = int(4 * math.sqrt(max(m, 1))) + 8
+    cands = []
+    for b in wanted:
+        q = b * m / n
+        i_lo, i_hi = int(q) - margin, int(q) + margin
+        cands.append((b, sample[i_lo] if 0 <= i_lo < m else None,
+                      sample[i_hi] if 0 <= i_hi < m else None))
+    aggs = []
+    for j, (_, l, h) in enumerate(cands):
+        below = lex_le(cols, l) if l is not None else F.lit(False)
+        upto = lex_le(cols, h) if h is not None else F.lit(True)
+        aggs += [F.count_if(below).alias(f"b{j}"), F.count_if(upto).alias(f"u{j}")]
+    cnt = base.agg(*aggs).collect()[0]
+    for j, (b, l, h) in enumerate(cands):
+        nb, nu = int(cnt[f"b{j}"]), int(cnt[f"u{j}"])
+        if nb < b <= nu:
+            # the cut lies in the slice (l, h]
+            sub = _select_kth(df, cols, [b - nb], nu - nb, l if l is not None else lo,
+                              h if h is not None else hi, seed, depth + 1)
+            out[b] = sub[b - nb]
+        else:
+            # unlucky sample: search the whole range again with a new sample
+            out.update(_select_kth(df, cols, [b], n, lo, hi, seed + 101, depth + 1))
+    return out
+
+
+def order_cuts(df: DataFrame, order_cols: Sequence[str], cuts: Sequence[int], n: int,
+               seed: int = 42) -> list:
+    """For each cut b, the key tuple of the b-th row in (order_cols) order, or
+    ``LOW_KEY`` (b = 0) / ``HIGH_KEY`` (b = n).  Order keys must be unique and
+    non-null."""
+    cols = list(order_cols)
+    inner = sorted({b for b in cuts if 0 < b < n})
+    keys = _select_kth(df, cols, inner, n, None, None, seed) if inner else {}
+    return [LOW_KEY if b <= 0 else HIGH_KEY if b >= n else keys[b] for b in cuts]
+
+
+LOW_KEY, HIGH_KEY = "low", "high"
+
+
+def key_at_or_below(cols: Sequence[str], key) -> Column:
+    if key == LOW_KEY:
+        return F.lit(False)
+    if key == HIGH_KEY:
+        return F.lit(True)
+    return lex_le(cols, key)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import c
-from .rank import cut_label, hash_cuts, rank_by_order
+from .rank import cut_label, hash_cuts, key_at_or_below, order_cuts
 
 log = logging.getLogger(__name__)
 
@@ -119,10 +119,10 @@ def positional_split(df: DataFrame, order_cols: Sequence[str], label: str = LABE
     """Order kept; train first, then val, test last.  ``order_cols`` must be unique."""
     n = df.count()
     train_end, val_end = positional_counts(n, train_size, val_ratio)
-    pos = rank_by_order(df, order_cols, out="_pos")
-    split = (F.when(F.col("_pos") <= train_end, "train")
-             .when(F.col("_pos") <= val_end, "val").otherwise("test"))
-    return pos.withColumn("split", split).drop("_pos")
+    t_train, t_val = order_cuts(df, order_cols, [train_end, val_end], n)
+    split = (F.when(key_at_or_below(order_cols, t_train), "train")
+             .when(key_at_or_below(order_cols, t_val), "val").otherwise("test"))
+    return df.withColumn("split", split)
 
 
 def single_class_splits(split_df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -60,3 +60,24 @@ def test_classifier_search_small_grid(spark):
     rows = out["table"].collect()
     assert len(rows) == 2
     assert out["macro_f1"] == max(r.macro_f1 for r in rows)
+
+
+def test_lof_search_prefix_k_matches_direct_fit(spark):
+    """A smaller k read as a prefix of the k_max neighbour table must give the
+    same validation F1 as fitting LOF with that k directly."""
+    from flowsentry.operators import metrics
+    from flowsentry.operators.detect import fit_detector
+    from flowsentry.plans.search import lof_search
+    cfg = ExperimentConfig(algorithm="lof", domain_features=FEATS)
+    prepared = jobs.prepare(fixtures.flows(spark, SF_SMALL), cfg)
+    grid = {"n_neighbors": [5, 12], "metric": ["euclidean"], "contamination": [0.1]}
+    out = lof_search(prepared, cfg, grid)
+    got = {json.loads(r.params)["n_neighbors"]: r.macro_f1 for r in out["table"].collect()}
+    for k in (5, 12):
+        det = fit_detector("lof", {"n_neighbors": k, "metric": "euclidean",
+                                   "contamination": 0.1},
+                           prepared.table.filter(F.col("split") == "train"), prepared.features,
+                           ["flow_id"], n_rows=prepared.counts["train"])
+        _, conf, _ = jobs.evaluate(det, prepared, cfg, ("val",))
+        want = metrics.macro_f1(conf).collect()[0]["macro_f1"]
+        assert abs(got[k] - want) < 1e-12

@@ -63,3 +63,22 @@ def test_hash_cuts_refinement_equals_full_rank(spark, monkeypatch):
         ids.sort(key=lambda i: (hashlib.md5(f"42|t|{i}".encode()).hexdigest(), i))
         want += ids[:137]
     assert got == sorted(want)
+
+
+def test_order_cuts_sampling_path_equals_sort(spark, monkeypatch):
+    """Tiny slice/sample limits force the sampled selection and its refinement;
+    the thresholds must be the exact keys at the cut positions."""
+    from pyspark.sql import functions as F
+    from flowsentry.operators import rank
+    monkeypatch.setattr(rank, "SLICE_ROWS", 40)
+    monkeypatch.setattr(rank, "SAMPLE_ROWS", 60)
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"),
+                                  (F.col("id") % 13).alias("day"))
+    n = 5000
+    cuts = [0, 1, 1234, 3000, 4999, 5000]
+    got = rank.order_cuts(df, ["day", "k"], cuts, n)
+    rows = sorted((r.day, r.k) for r in df.collect())
+    want = [rank.LOW_KEY, rows[0], rows[1233], rows[2999], rows[4998], rank.HIGH_KEY]
+    assert got == want
+    split = df.filter(rank.key_at_or_below(["day", "k"], got[2])).count()
+    assert split == 1234
