@@ -140,7 +140,7 @@ def normalise_label(df: DataFrame, label: str | None = None, normal_text: str =
 
 def viz_prepare(df: DataFrame, columns: Sequence[str], fill: dict[str, float],
                 keep: Sequence[str] = (), label: str | None = None) -> DataFrame:
-    """P12 (without sampling, see ``splits.per_group_sample``): normalised label,
+    """P12 (per-class sampling is ``splits.sample_n`` with ``group_cols``): normalised label,
     aligned columns, non-finite → per-column fill value, clipped at 0."""
     d = normalise_label(df, label)
     d = align(d, columns, keep=[*keep, LABEL])

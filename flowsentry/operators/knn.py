@@ -24,6 +24,11 @@ from ..functions.safe import c
 
 METRICS = ("euclidean", "manhattan")
 
+# Bound on the rounding error of ‖q‖² + ‖r‖² − 2q·r relative to ‖q‖² + ‖r‖²
+# (a few hundred ulps, far above the worst case of a d-term dot product).
+REL_ERR = 1e-11
+ABS_ERR = 1e-300
+
 
 def as_vector(df: DataFrame, key: str, features: Sequence[str] | str) -> DataFrame:
     """(key, vec array<double>) from scalar feature columns or one array column."""
@@ -66,16 +71,15 @@ def local_topk(qk: np.ndarray, Q: np.ndarray, rk: np.ndarray, R: np.ndarray, k:
                metric: str, exclude_self: bool, chunk: int = 1024) -> pd.DataFrame:
     """k best references per query row, ordered by (exact distance, key).
 
-    Euclidean: a BLAS pass (‖q‖² + ‖r‖² − 2q·r) finds, per row, every reference
-    whose approximate squared distance is within a rounding margin of the k-th
-    one; only those candidates get the exact distance.  The margin bounds the
-    floating-point error of the expansion, so the result equals brute force.
+    Euclidean: a BLAS pass (‖q‖² + ‖r‖² − 2q·r) with a per-pair rounding bound
+    E finds, per row, every reference whose lower bound A − E is at most the
+    k-th smallest upper bound A + E; only those candidates get the exact
+    distance, so the result equals brute force.
     """
     outs_q, outs_r, outs_d = [], [], []
     if len(qk) == 0 or len(rk) == 0:
         return pd.DataFrame({"q": [], "r": [], "dist": []})
     r2 = np.einsum("ij,ij->i", R, R)
-    rmax = float(r2.max()) if len(r2) else 0.0
     for s in range(0, len(qk), chunk):
         qs, Qc = qk[s:s + chunk], Q[s:s + chunk]
         kk = min(k, len(rk))
@@ -89,12 +93,15 @@ def local_topk(qk: np.ndarray, Q: np.ndarray, rk: np.ndarray, R: np.ndarray, k:
             ri, dd = idx.ravel(), dsel.ravel()
         else:
             q2 = np.einsum("ij,ij->i", Qc, Qc)
-            A = np.maximum(q2[:, None] + r2[None, :] - 2.0 * (Qc @ R.T), 0.0)
+            A = q2[:, None] + r2[None, :] - 2.0 * (Qc @ R.T)
+            # |A − d²| ≤ E: rounding error of the expansion, per pair
+            E = REL_ERR * (q2[:, None] + r2[None, :]) + ABS_ERR
             if exclude_self:
                 A[qs[:, None] == rk[None, :]] = np.inf
-            kth = np.partition(A, kk - 1, axis=1)[:, kk - 1]
-            tol = 1e-9 * (q2 + rmax) + 1e-12
-            qi, ri = np.nonzero(A <= (kth + tol)[:, None])
+            # the k-th smallest upper bound caps the true k-th distance; every row
+            # whose lower bound is below that cap is a candidate
+            cap = np.partition(A + E, kk - 1, axis=1)[:, kk - 1]
+            qi, ri = np.nonzero(A - E <= cap[:, None])
             dd = _exact_pairs(Qc, R, qi, ri, metric)
             if exclude_self:
                 dd[qs[qi] == rk[ri]] = np.inf

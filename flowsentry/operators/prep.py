@@ -1,11 +1,12 @@
 """Fitted transforms (F1–F3, F7) and the ``PrepModel`` that carries them.
 
 ``PrepModel`` is the Spark counterpart of the reference's split bundle: it
-records the input columns, the filter decisions, the training means and
-optional scaler / PCA parameters, all fitted on the training split only.
+records the input columns, the filter decisions, the training means and the
+optional PCA parameters, all fitted on the training split only.
 ``transform`` is a single projection (align → non-finite to NULL → impute and
-clamp → scale → project), so scoring any table is a narrow, codegen-only
-step with the fitted numbers inlined as literals.
+clamp → project), so scoring any table is a narrow, codegen-only step with
+the fitted numbers inlined as literals.  ``Scaler`` (F2, F3) is fitted on the
+prepared training rows and applied the same way.
 """
 
 from __future__ import annotations
