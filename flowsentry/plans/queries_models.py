@@ -136,3 +136,47 @@ def m9_smote(spark, sf):
     return s.select("origin", "copy", "nb_rank", F.round("u", 9).alias("u"),
                     F.round(F.col("vec")[0], 6).alias("v_first"),
                     F.round(F.col("vec")[63], 6).alias("v_last"), "Label")
+
+
+def _emb_wide(spark, sf):
+    s = emb_split(spark, sf)
+    return s.select("vec_id", "Label", "split",
+                    *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
+
+
+EMB_FEATS = [f"e{i}" for i in range(64)]
+
+
+@register("m2_iforest_scores")
+def m2_iforest_scores(spark, sf):
+    """M1 + M2 + M3: forest fitted on the normal training embeddings, val/test
+    rows scored and thresholded at the 'auto' offset (−0.5)."""
+    from ..operators.iforest import fit_isolation_forest
+    from ..operators.metrics import predict_by_threshold
+    w = _emb_wide(spark, sf)
+    model = fit_isolation_forest(w.filter(c("split") == "train"), EMB_FEATS, ["vec_id"])
+    s = model.score(w.filter(c("split") != "train"), keep=["vec_id", "Label", "split"])
+    return s.withColumn("y_pred", predict_by_threshold(F.col("score"), -0.5))
+
+
+@register("m7_ocsvm_scores")
+def m7_ocsvm_scores(spark, sf):
+    """M7: one-class SVM (random Fourier features, ν = 0.1) fitted on the normal
+    training embeddings; decision values of the val/test rows."""
+    from ..operators.ocsvm import fit_ocsvm
+    w = _emb_wide(spark, sf)
+    model = fit_ocsvm(w.filter(c("split") == "train"), EMB_FEATS, ["vec_id"], nu=0.1)
+    s = model.score(w.filter(c("split") != "train"), keep=["vec_id", "Label", "split"])
+    return s.withColumn("y_pred", F.when(F.col("score") < 0, -1).otherwise(1))
+
+
+@register("m8_boost_predictions")
+def m8_boost_predictions(spark, sf):
+    """M8: boosted trees (reference defaults) fitted on a stratified training
+    split of the embeddings; predictions for the test rows."""
+    from ..operators.boost import fit_boost
+    e = emb(spark, sf)
+    s = splits.stratified_split(e, ["vec_id"]).select(
+        "vec_id", "Label", "split", *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
+    model = fit_boost(s.filter(c("split") == "train"), EMB_FEATS)
+    return model.predict(s.filter(c("split") == "test"), keep=["vec_id", "Label"])
