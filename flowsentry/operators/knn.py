@@ -61,9 +61,14 @@ def _exact_pairs(Q: np.ndarray, R: np.ndarray, qi: np.ndarray, ri: np.ndarray,
     """Exact distances of selected (query, reference) pairs, same summation order
     as ``pair_distances``."""
     acc = np.zeros(len(qi))
-    for j in range(Q.shape[1]):
-        diff = Q[qi, j] - R[ri, j]
-        acc += np.abs(diff) if metric == "manhattan" else diff * diff
+    step = 262_144                       # pairs per chunk: bounded temporary memory
+    for s0 in range(0, len(qi), step):
+        # gather whole rows (contiguous), then walk dimensions in order
+        D = (Q[qi[s0:s0 + step]] - R[ri[s0:s0 + step]]).T.copy()
+        a = np.zeros(D.shape[1])
+        for j in range(D.shape[0]):
+            a += np.abs(D[j]) if metric == "manhattan" else D[j] * D[j]
+        acc[s0:s0 + step] = a
     return acc if metric == "manhattan" else np.sqrt(acc)
 
 
