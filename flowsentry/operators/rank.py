@@ -264,7 +264,7 @@ def cut_label(group_cols: Sequence[str], thresholds: dict, names) -> Column:
 # that slice (≈ n·margin / sample rows) is ordered exactly; a slice that is
 # still large is narrowed the same way.  Labelling is a comparison per row.
 
-SLICE_ROWS = 2_000_000
+SLICE_ROWS = 250_000        # keys collected for one exact slice (driver memory bound)
 SAMPLE_ROWS = 100_000
 
 
