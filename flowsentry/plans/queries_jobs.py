@@ -200,3 +200,12 @@ def st1_stream_scoring(spark, sf):
     run_available_now(scored, out, ckpt)
     return spark.read.parquet(out).select("flow_id", "Label", F.round("score", 6).alias("score"),
                                           "y_pred")
+
+
+@register("h1_search_svm")
+def h1_search_svm(spark, sf):
+    """H1 over the full one-class SVM grid (20 configurations fitted together)."""
+    from .search import svm_search
+    cfg = ExperimentConfig(algorithm="svm", domain_features=FLAGSHIP_FEATURES)
+    prepared = jobs.prepare(fixtures.flows(spark, sf), cfg)
+    return svm_search(prepared, cfg)["table"]

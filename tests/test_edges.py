@@ -122,3 +122,19 @@ def test_smote_needs_more_minority_rows_than_neighbours(spark):
     df = spark.createDataFrame(rows, "k long, v array<double>, Label int")
     with pytest.raises(ValueError):
         smote(df, "k", "v", k_neighbors=5)
+
+
+def test_drop_invalid_reports_removed_count_in_the_same_job(spark):
+    df = frame(spark, [(1, NAN, 1.0, 0), (2, 1.0, 1.0, 0), (3, INF, 1.0, 1), (4, 2.0, None, 0)])
+    kept, obs = clean.drop_invalid(df, observe=True)
+    assert kept.count() == 1
+    assert obs.get == {"removed": 3, "rows_in": 4}
+
+
+def test_fit_row_cap_uses_at_most_the_cap(spark):
+    from flowsentry.operators.detect import fit_detector
+    rows = [(i, float(i % 17), float(i % 5), 0) for i in range(600)]
+    df = frame(spark, rows)
+    det = fit_detector("isolation_forest", {"n_estimators": 5}, df, ["a", "b"], ["k"],
+                       n_rows=600, max_fit_rows=100)
+    assert det.model.psi == 100          # ψ = min(256, rows actually fitted)

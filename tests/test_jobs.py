@@ -81,3 +81,19 @@ def test_lof_search_prefix_k_matches_direct_fit(spark):
         _, conf, _ = jobs.evaluate(det, prepared, cfg, ("val",))
         want = metrics.macro_f1(conf).collect()[0]["macro_f1"]
         assert abs(got[k] - want) < 1e-12
+
+
+def test_svm_grid_equals_separate_fits(spark):
+    import numpy as np
+    from flowsentry.operators.ocsvm import fit_ocsvm, fit_ocsvm_grid
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(400, 3))
+    df = spark.createDataFrame([(i, *map(float, X[i])) for i in range(400)],
+                               "k long, a double, b double, c double")
+    configs = [{"nu": 0.1, "gamma": "scale"}, {"nu": 0.2, "gamma": 0.5}]
+    grid = fit_ocsvm_grid(df, ["a", "b", "c"], configs, n_components=32, n_iter=5)
+    for p, g in zip(configs, grid):
+        one = fit_ocsvm(df, ["a", "b", "c"], ["k"], nu=p["nu"], gamma=p["gamma"],
+                        n_components=32, n_iter=5)
+        assert np.allclose(one.W, g.W) and np.allclose(one.w, g.w, atol=1e-12)
+        assert abs(one.rho - g.rho) < 1e-9
