@@ -114,3 +114,21 @@ def test_scan_prunes_columns(spark):
         .executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint" in plan
     assert "l_extendedprice" not in plan and "l_comment" not in plan
+
+
+def test_contamination_touches_train_only(spark):
+    from flowsentry.config import ExperimentConfig
+    from flowsentry.plans import jobs
+    f = fixtures.flows(spark, SF_SMALL)
+    cfg = ExperimentConfig(novelty=False, algorithm="isolation_forest", contamination=0.02)
+    with_c = jobs.split_table(f, cfg)
+    plain = splits.stratified_split(f, ["flow_id"])
+    for part in ("val", "test"):
+        a = sorted(r.flow_id for r in with_c.filter(F.col("split") == part).collect())
+        b = sorted(r.flow_id for r in plain.filter(F.col("split") == part).collect())
+        assert a == b
+    tr = with_c.filter(F.col("split") == "train")
+    n0 = tr.filter(F.col("Label") == 0).count()
+    n1 = tr.filter(F.col("Label") == 1).count()
+    assert n1 == min(int(0.02 * n0 / 0.98), plain.filter((F.col("split") == "train") &
+                                                         (F.col("Label") == 1)).count())
