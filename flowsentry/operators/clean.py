@@ -139,10 +139,16 @@ def normalise_label(df: DataFrame, label: str | None = None, normal_text: str =
 
 
 def viz_prepare(df: DataFrame, columns: Sequence[str], fill: dict[str, float],
-                keep: Sequence[str] = (), label: str | None = None) -> DataFrame:
-    """P12 (per-class sampling is ``splits.sample_n`` with ``group_cols``): normalised label,
-    aligned columns, non-finite → per-column fill value, clipped at 0."""
+                keep: Sequence[str] = (), label: str | None = None,
+                per_class: int | None = None, key_cols: Sequence[str] = (),
+                seed: int = 42) -> DataFrame:
+    """Normalised label, aligned columns, non-finite → per-column fill value,
+    clipped at 0; with ``per_class``, at most that many hash-chosen rows per
+    class (``splits.sample_n``, keyed by ``key_cols``)."""
     d = normalise_label(df, label)
+    if per_class is not None:
+        from .splits import sample_n
+        d = sample_n(d, per_class, key_cols, purpose="viz", seed=seed, group_cols=[LABEL])
     d = align(d, columns, keep=[*keep, LABEL])
     out = []
     for n in d.columns:

@@ -150,8 +150,9 @@ def _viz_sql() -> str:
         f"ROUND(GREATEST(CASE WHEN isfinite(d.{q(n)}) THEN d.{q(n)} ELSE m.{q('m_' + n)} END,"
         f" 0.0), 6) AS {q(n)}" for n in _VIZ)
     return (W(OF.FLOWS_DIRTY) + f", m AS (SELECT {means} FROM flows_dirty WHERE domain = 'train')"
-            f" SELECT d.flow_id, d.\"Label\", {cols} FROM flows_dirty d, m "
-            "WHERE d.domain = 'gen'")
+            ", g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY \"Label\" ORDER BY "
+            + HASH.format(p="viz") + ", flow_id) AS rk FROM flows_dirty WHERE domain = 'gen') "
+            f"WHERE rk <= 1000) SELECT d.flow_id, d.\"Label\", {cols} FROM g d, m")
 
 
 @register("p12_viz_prepare", _viz_sql())
@@ -160,7 +161,7 @@ def p12_viz_prepare(spark, sf):
     d = fixtures.flows_dirty(spark, sf)
     fill = stats.column_means(clean.nonfinite_to_missing(d.filter(c("domain") == "train")), _VIZ)
     out = clean.viz_prepare(d.filter(c("domain") == "gen").drop("domain", "first_day"),
-                            _VIZ, fill, keep=["flow_id"])
+                            _VIZ, fill, keep=["flow_id"], per_class=1000, key_cols=["flow_id"])
     return out.select("flow_id", "Label", *[F.round(c(n), 6).alias(n) for n in _VIZ])
 
 
