@@ -84,6 +84,7 @@ def test_lof_search_prefix_k_matches_direct_fit(spark):
 
 
 def test_svm_grid_equals_separate_fits(spark):
+    """Shared Fourier draws: each grid member equals its own single fit."""
     import numpy as np
     from flowsentry.operators.ocsvm import fit_ocsvm, fit_ocsvm_grid
     rng = np.random.default_rng(9)
