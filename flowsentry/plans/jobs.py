@@ -47,6 +47,14 @@ def feature_table(df: DataFrame, cfg: ExperimentConfig) -> DataFrame:
     return d
 
 
+def materialize(d: DataFrame, cfg: ExperimentConfig) -> DataFrame:
+    """Keep the cleaned feature table for the several fitting passes."""
+    if cfg.materialize == "checkpoint":
+        from ..session import cut_lineage
+        return cut_lineage(d)
+    return d.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def split_table(d: DataFrame, cfg: ExperimentConfig) -> DataFrame:
     keys = list(cfg.key_cols)
     if cfg.novelty or cfg.algorithm == "svm":
@@ -70,7 +78,7 @@ def prepare(df: DataFrame, cfg: ExperimentConfig, scale: bool = True) -> Prepare
     # The cleaned feature table feeds the split's histogram, its boundary rows
     # and every fitting pass: persisted once.  The split itself is a narrow
     # projection over it.
-    d = feature_table(df, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    d = materialize(feature_table(df, cfg), cfg)
     features = clean.feature_names(d, cfg.label, exclude=cfg.meta_cols)
     s = split_table(d, cfg)
     train = s.filter(c("split") == "train")
@@ -139,7 +147,7 @@ class ClassificationResult:
 
 def classifier_prepare(df: DataFrame, cfg: ExperimentConfig) -> Prepared:
     """S1/P1 → D48 → X2 (or X3) → filters + imputer fitted on train (no scaling)."""
-    d = feature_table(df, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    d = materialize(feature_table(df, cfg), cfg)
     features = clean.feature_names(d, cfg.label, exclude=cfg.meta_cols)
     keys = list(cfg.key_cols)
     if cfg.temporal_split:

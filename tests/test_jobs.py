@@ -98,3 +98,12 @@ def test_svm_grid_equals_separate_fits(spark):
                         n_components=32, n_iter=5)
         assert np.allclose(one.W, g.W) and np.allclose(one.w, g.w, atol=1e-12)
         assert abs(one.rho - g.rho) < 1e-9
+
+
+def test_checkpoint_materialization_gives_the_same_report(spark):
+    cfg_p = ExperimentConfig(domain_features=FEATS)
+    cfg_c = ExperimentConfig(domain_features=FEATS, materialize="checkpoint")
+    f = fixtures.flows(spark, SF_SMALL)
+    a = sorted(map(tuple, jobs.run_detection(f, cfg_p).report.collect()))
+    b = sorted(map(tuple, jobs.run_detection(f, cfg_c).report.collect()))
+    assert a == b
