@@ -267,7 +267,8 @@ def run_fewshot_detection(df: DataFrame, target: DataFrame, cfg: ExperimentConfi
     base = run_detection(df, cfg)
     prep = base.prepared
     t = feat.add_domain_features(target, cfg.domain_features, whitelist=cfg.feature_whitelist)
-    t = clean.drop_empty(t)
+    # kept once: the few-shot cut reads it twice and the prep once more
+    t = materialize(clean.drop_empty(t), cfg)
     parts = splits.fewshot_split(t, 0, cfg.few_shot_ratio, list(cfg.key_cols), cfg.label,
                                  cfg.random_state)
     pt = prep.prep.transform(parts, keep=[*cfg.key_cols, cfg.label, "part"])
@@ -297,7 +298,7 @@ def run_fewshot_classification(df: DataFrame, target: DataFrame,
     base = run_classification(df, cfg, params)
     prep = base.prepared
     t = feat.add_domain_features(target, cfg.domain_features, whitelist=cfg.feature_whitelist)
-    t = clean.drop_empty(t)
+    t = materialize(clean.drop_empty(t), cfg)
     parts = splits.fewshot_split(t, 1, cfg.few_shot_ratio, list(cfg.key_cols), cfg.label,
                                  cfg.random_state)
     pt = prep.prep.transform(parts, keep=[*cfg.key_cols, cfg.label, "part"]).cache()
