@@ -180,7 +180,7 @@ def _kth_hash(d: DataFrame, group_cols: list[str], wanted: list[tuple], prefix_l
 
 
 def hash_cuts(df: DataFrame, key_cols: Sequence[str], seed: int | str, purpose: str,
-              group_cols: Sequence[str], cuts_for, digits: int = 4
+              group_cols: Sequence[str], cuts_for, digits: int = 3
               ) -> tuple[DataFrame, dict, dict]:
     """Per group, the hash thresholds of the requested cut ranks.
 
@@ -191,8 +191,10 @@ def hash_cuts(df: DataFrame, key_cols: Sequence[str], seed: int | str, purpose:
     """
     group_cols = list(group_cols)
     d = df.withColumn("_h", hash_key(key_cols, seed, purpose))
+    # ≤ groups · 16**digits rows reach the driver (4,096 per group by default);
+    # a boundary bucket that is still large is refined by _kth_hash
     hist_rows = (d.groupBy(*group_cols, F.substring("_h", 1, digits).alias("_b"))
-                 .agg(F.count(F.lit(1)).alias("n")).collect())   # ≤ groups · 16**digits rows
+                 .agg(F.count(F.lit(1)).alias("n")).collect())
     per_group: dict[tuple, list[tuple[str, int]]] = {}
     for row in hist_rows:
         per_group.setdefault(tuple(row[x] for x in group_cols), []).append(
