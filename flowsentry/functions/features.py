@@ -145,13 +145,18 @@ def feature_columns(group: str | None = None) -> list[str]:
     return [f.name for f in GROUPS[group]]
 
 
-def resolve(names: Iterable[str] | None, whitelist: Iterable[str] | None = None
-            ) -> list[str]:
+def resolve(names: Iterable[str] | None, whitelist: Iterable[str] | None = None,
+            strict: bool = False) -> list[str]:
     """Names (groups, single features, or ``all``) → ordered feature list.
 
-    Unknown names warn and are ignored.  A whitelist pulls in the features it
-    names.  Order follows the catalogue.
+    Unknown names warn and are ignored (``strict``: raise, as the jobs do).  A
+    whitelist pulls in the features it names.  Order follows the catalogue.
     """
+    if strict:
+        bad = [n for n in (names or []) if n != "all" and n not in GROUPS and n not in FEATURES]
+        if bad:
+            raise ValueError(f"unknown domain features or groups: {bad}. "
+                             f"Groups: {list(GROUPS)}; features: {list(FEATURES)}")
     wanted: set[str] = set()
     for n in list(names or []) + [w for w in (whitelist or []) if w in FEATURES]:
         if n == "all":
@@ -166,14 +171,15 @@ def resolve(names: Iterable[str] | None, whitelist: Iterable[str] | None = None
 
 
 def add_domain_features(df: DataFrame, features: Iterable[str] | None,
-                        whitelist: Iterable[str] | None = None) -> DataFrame:
+                        whitelist: Iterable[str] | None = None, strict: bool = False
+                        ) -> DataFrame:
     """Append the requested engineered features in one projection.
 
     A feature whose source columns are absent is skipped with a warning.  An
     input column is never replaced or dropped (a feature named like an input
     column is skipped).
     """
-    order = resolve(features, whitelist)
+    order = resolve(features, whitelist, strict)
     if not order:
         return df
     have = set(df.columns)

@@ -40,13 +40,29 @@ def feature_table(df: DataFrame, cfg: ExperimentConfig) -> DataFrame:
     """P1 → P4 → D48 → P5: the cleaned flow table with engineered features."""
     d = clean.drop_invalid(df)
     d = clean.trim_by_feature(d, "Active Max", cfg.max_active_time)
-    d = feat.add_domain_features(d, cfg.domain_features, whitelist=cfg.feature_whitelist)
+    d = feat.add_domain_features(d, cfg.domain_features, whitelist=cfg.feature_whitelist,
+                                 strict=True)
     if cfg.feature_whitelist:
         d = clean.whitelist(d, list(cfg.feature_whitelist), cfg.label,
                             keep=[k for k in cfg.meta_cols if k in d.columns])
     return d
 
 
+def split_counts(s: DataFrame, cfg: ExperimentConfig) -> dict:
+    """Rows per split from one (split, class) aggregate; warns (A16) when a
+    split that should hold both classes holds one (a novelty train split is
+    normals-only by design)."""
+    per: dict = {}
+    for r in s.groupBy("split", c(cfg.label).alias("y")).count().collect():
+        per.setdefault(r["split"], {})[r["y"]] = r["count"]
+    novelty_train = cfg.novelty or cfg.algorithm == "svm"
+    for name, by_class in per.items():
+        if len(by_class) < 2 and not (name == "train" and novelty_train):
+            log.warning("split %r has a single class %s: unstable metrics", name,
+                        sorted(by_class))
+    return {name: sum(v.values()) for name, v in per.items()}
+
+
 def materialize(d: DataFrame, cfg: ExperimentConfig) -> DataFrame:
     """Keep the cleaned feature table for the several fitting passes."""
     if cfg.materialize == "checkpoint":
@@ -88,7 +104,7 @@ def prepare(df: DataFrame, cfg: ExperimentConfig, scale: bool = True) -> Prepare
     keep = [*cfg.key_cols, cfg.label, "split"]
     p = prep.transform(s, keep=keep)
     feats = list(prep.output_columns)
-    counts = {r["split"]: r["count"] for r in s.groupBy("split").count().collect()}
+    counts = split_counts(s, cfg)
     scaler = None
     if scale:
         exact = counts.get("train", 0) <= metrics.EXACT_PERCENTILE_MAX_ROWS
@@ -160,7 +176,7 @@ def classifier_prepare(df: DataFrame, cfg: ExperimentConfig) -> Prepared:
                          apply_filters=cfg.apply_filters and not cfg.feature_whitelist,
                          pca_components=cfg.pca_reduce)
     p = prep.transform(s, keep=[*keys, cfg.label, "split"])
-    counts = {r["split"]: r["count"] for r in s.groupBy("split").count().collect()}
+    counts = split_counts(s, cfg)
     return Prepared(p, list(prep.output_columns), prep, None, counts)
 
 
@@ -246,7 +262,7 @@ def run_extra_normal(df: DataFrame, extra: DataFrame, cfg: ExperimentConfig | No
     n_added = ex.count()
     det = fit_detector(cfg.algorithm, cfg.model_params(), enriched, prep.features,
                        list(cfg.key_cols), n_rows=prep.counts.get("train", 0) + n_added,
-                       seed=cfg.random_state)
+                       seed=cfg.random_state, max_fit_rows=cfg.max_fit_rows)
     _, _, rep = evaluate(det, prep, cfg, ("test",))
     return EnrichmentResult(before, rep, n_added)
 
@@ -281,7 +297,7 @@ def run_fewshot_detection(df: DataFrame, target: DataFrame, cfg: ExperimentConfi
         few.select(*prep.table.columns))
     det = fit_detector(cfg.algorithm, cfg.model_params(), train, prep.features,
                        list(cfg.key_cols), n_rows=prep.counts.get("train", 0) + n_few,
-                       seed=cfg.random_state)
+                       seed=cfg.random_state, max_fit_rows=cfg.max_fit_rows)
     _, _, after = evaluate(det, prep, cfg, ("test",))
     hold = pt.filter(c("part") == "holdout").withColumn("split", F.lit("holdout"))
     scored = det.predict(hold, keep=[*cfg.key_cols, cfg.label, "split", "y_det"])

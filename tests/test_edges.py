@@ -138,3 +138,14 @@ def test_fit_row_cap_uses_at_most_the_cap(spark):
     det = fit_detector("isolation_forest", {"n_estimators": 5}, df, ["a", "b"], ["k"],
                        n_rows=600, max_fit_rows=100)
     assert det.model.psi == 100          # ψ = min(256, rows actually fitted)
+
+
+def test_jobs_reject_unknown_feature_names(spark):
+    from flowsentry.config import ExperimentConfig
+    from flowsentry.plans import jobs
+    from flowsentry.sources import fixtures
+    f = fixtures.flows(spark, "/root/testdata/sf0.001")
+    with pytest.raises(ValueError):
+        jobs.feature_table(f, ExperimentConfig(domain_features=("Eng_Flow_Rates", "nope")))
+    # the operator itself only warns and skips
+    assert "pkt_rate" in add_domain_features(f, ["Eng_Flow_Rates", "nope"]).columns
