@@ -85,6 +85,8 @@ def local_topk(qk: np.ndarray, Q: np.ndarray, rk: np.ndarray, R: np.ndarray, k:
     if len(qk) == 0 or len(rk) == 0:
         return pd.DataFrame({"q": [], "r": [], "dist": []})
     r2 = np.einsum("ij,ij->i", R, R)
+    rk_order = np.argsort(rk, kind="stable")
+    rk_sorted = rk[rk_order]
     for s in range(0, len(qk), chunk):
         qs, Qc = qk[s:s + chunk], Q[s:s + chunk]
         kk = min(k, len(rk))
@@ -98,15 +100,24 @@ def local_topk(qk: np.ndarray, Q: np.ndarray, rk: np.ndarray, R: np.ndarray, k:
             ri, dd = idx.ravel(), dsel.ravel()
         else:
             q2 = np.einsum("ij,ij->i", Qc, Qc)
-            A = q2[:, None] + r2[None, :] - 2.0 * (Qc @ R.T)
-            # |A − d²| ≤ E: rounding error of the expansion, per pair
-            E = REL_ERR * (q2[:, None] + r2[None, :]) + ABS_ERR
+            A = Qc @ R.T                      # squared distances by expansion, in place
+            A *= -2.0
+            A += r2[None, :]
+            A += q2[:, None]
             if exclude_self:
-                A[qs[:, None] == rk[None, :]] = np.inf
-            # the k-th smallest upper bound caps the true k-th distance; every row
-            # whose lower bound is below that cap is a candidate
-            cap = np.partition(A + E, kk - 1, axis=1)[:, kk - 1]
-            qi, ri = np.nonzero(A - E <= cap[:, None])
+                # the query's own column, found by sorted search (no dense compare)
+                pos = np.searchsorted(rk_sorted, qs)
+                pos = np.minimum(pos, len(rk_sorted) - 1)
+                hit = rk_sorted[pos] == qs
+                A[np.flatnonzero(hit), rk_order[pos[hit]]] = np.inf
+            # |A − d²| ≤ E = REL_ERR·(‖q‖² + ‖r‖²) + ABS_ERR.  Over the k smallest A
+            # the largest A + E bounds the true k-th distance from above; a row is
+            # a candidate iff its lower bound A − E is below that cap.
+            S = np.argpartition(A, kk - 1, axis=1)[:, :kk]
+            AS = np.take_along_axis(A, S, axis=1)
+            cap = (AS + REL_ERR * (q2[:, None] + r2[S]) + ABS_ERR).max(axis=1)
+            B = A - (REL_ERR * r2)[None, :]
+            qi, ri = np.nonzero(B <= (cap + REL_ERR * q2 + ABS_ERR)[:, None])
             dd = _exact_pairs(Qc, R, qi, ri, metric)
             if exclude_self:
                 dd[qs[qi] == rk[ri]] = np.inf
