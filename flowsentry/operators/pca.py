@@ -8,7 +8,6 @@ plain linear expression per component, so scoring stays in codegen.
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 import numpy as np

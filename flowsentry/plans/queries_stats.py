@@ -222,7 +222,6 @@ def _per_column(spark, values: dict[str, list], sig: bool = False):
 
 # ---------------------------------------------------------------- F1–F3, F7
 
-_R6 = ", ".join
 
 
 def _imputed_sql(src_cte: str, where: str, cols, extra: str = "") -> str:
