@@ -183,15 +183,26 @@ _LUMPS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _ODD = re.compile(r"[^\S \n]|\s\s")
 
 
+# letters, then marks: always cut between them, as around a line feed before them
+_PROSE = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?|)\\]\"-]*)")
+
+
 class _Memo(dict):
-    """Encoded pieces of text, at most ``limit`` of them."""
+    """Encoded pieces of text, at most ``limit`` of them; ``bare`` holds those without prefix."""
 
-    def __init__(self, encode, prefix: str, limit: int):
-        self.encode, self.prefix, self.limit = encode, prefix, limit
+    def __init__(self, encode, prefix: str, limit: int, bare: "_Memo | None" = None):
+        self.encode, self.prefix, self.limit, self.bare = encode, prefix, limit, bare
 
     def __missing__(self, piece: str) -> bytes:
-        text = piece if piece[:1] == "\n" else self.prefix + piece
-        out = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+        cut = _PROSE.fullmatch(piece)
+        bare = self if self.bare is None else self.bare
+        if cut and cut[1]:
+            out = bare["\n"] + bare[cut[2] + cut[3]]
+        elif cut and cut[3]:
+            out = self[cut[2]] + bare[cut[3]]
+        else:
+            text = piece if piece[:1] == "\n" else self.prefix + piece
+            out = np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
         if len(self) < self.limit and len(piece) <= 64:
             self[piece] = out
         return out
@@ -205,7 +216,7 @@ class Encoder:
     encoded on their own and remembered.  Other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
@@ -215,8 +226,8 @@ class Encoder:
         self.apart = not spec.get("normalizer") and not spec.get("post_processor") and not spec.get("truncation") \
             and not spec.get("padding") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) \
             and not pre.get("add_prefix_space")
-        self.after = _Memo(self.tok.encode, " ", limit)
         self.bare = _Memo(self.tok.encode, "", limit // 4)
+        self.after = _Memo(self.tok.encode, " ", limit, self.bare)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
