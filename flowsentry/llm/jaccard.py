@@ -13,6 +13,7 @@ links.  Pairs inside a group are never listed:
    star) with the range of sizes and the best position.  A list whose entries all belong to
    one component is skipped whole; the rest of a list is cut into blocks by size, only blocks
    of compatible sizes meet, and entries whose positions leave too few shingles are skipped.
+   Before any exact comparison a parity table of 1,024 bits bounds the overlap from above.
 4. Stars that still meet are compared by their centres.  The answers of the members follow from
    the centres' answer: |x & y| <= |a & b| + |x \\ a| + |y \\ b|.  Only members whose bound
    reaches the threshold are compared themselves, a few at first and then more, until the two
@@ -41,6 +42,7 @@ BLOCK_BYTES = 1 << 20
 SKETCH = 16          # minimum hashes per set
 BANDS = 4            # of them propose a centre
 AGREE = 9            # so many of all must agree with the centre's
+CELLS = 1024         # bits of the parity table of a set
 HEAVY = 1 << 16      # most frequent shingles that go last in the order
 _ODD = [int(x) | 1 for x in mix(np.arange(1, SKETCH + 1).astype(np.uint64))]
 
@@ -77,6 +79,24 @@ def _fingerprints(x: np.ndarray, edges: np.ndarray):
     return out
 
 
+def _parities(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For each set, ``CELLS`` bits: is the number of its shingles hashed to the cell odd?
+
+    Each shingle that two sets do not share changes one bit at most, so the bits in which two
+    sets differ are a lower bound of |x \\ y| + |y \\ x|.
+    """
+    rows = len(edges) - 1
+    out = np.zeros((rows, CELLS // 64), np.int64)
+    cell = (mix(x ^ np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(40)).astype(np.int64) % CELLS
+    for i in range(0, rows, 1024):
+        j = min(i + 1024, rows)
+        a, b = edges[i], edges[j]
+        at = np.repeat(np.arange(j - i), np.diff(edges[i:j + 1])) * CELLS + cell[a:b]
+        odd = (np.bincount(at, minlength=(j - i) * CELLS) & 1).astype(np.uint8).reshape(j - i, CELLS)
+        out[i:j] = np.packbits(odd, axis=1).view(np.int64)
+    return out
+
+
 def _blocks(batch: pa.RecordBatch, words: WordHasher, n: int):
     data, offsets = utf8(batch.column(1))
     for i, j in slices(offsets, BLOCK_BYTES):
@@ -129,18 +149,20 @@ class Join:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(fa), pa.array(fb),
                          pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * SKETCH), flat),
-                         pa.nulls(j - i, pa.int64())], names=["id", "n", "fa", "fb", "mins", "tok"])
+                         pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * (CELLS // 64)), pa.array(_parities(x, edges).ravel())),
+                         pa.nulls(j - i, pa.int64())], names=["id", "n", "fa", "fb", "mins", "bits", "tok"])
             top = sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:8192]
             if top:
                 m = len(top)
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(m, id_type), pa.array([c for _, c in top], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                     pa.nulls(m, pa.list_(pa.int64())), pa.array(np.array([t for t, _ in top], np.uint64).view(np.int64))],
-                    names=["id", "n", "fa", "fb", "mins", "tok"])
+                     pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64())),
+                     pa.array(np.array([t for t, _ in top], np.uint64).view(np.int64))],
+                    names=["id", "n", "fa", "fb", "mins", "bits", "tok"])
 
         from pyspark.sql.pandas.types import to_arrow_type
         id_type = to_arrow_type(self.docs.schema["id"].dataType)
-        return self.docs.mapInArrow(run, f"id {self.kind}, n long, fa long, fb long, mins array<long>, tok long")
+        return self.docs.mapInArrow(run, f"id {self.kind}, n long, fa long, fb long, mins array<long>, bits array<long>, tok long")
 
     def prefixes(self, heavy) -> DataFrame:
         """(id, n, fa, fb, prefix): each document's prefix, rarest shingle first."""
@@ -203,14 +225,26 @@ class Join:
         return self.ws.save(df, f"{name}-{self.round}")
 
     def compare(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """(a, b, na, nb, overlap) of pairs of classes (a, b), exactly."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid")
-        sets = self.save(self.sets_of(wanted).dropDuplicates(["cid"]) if self.repeats else self.sets_of(wanted), "sets")
+        """(a, b, na, nb, overlap) of pairs of classes (a, b).
+
+        The overlap is exact wherever the parity tables leave it possible that the two link;
+        elsewhere it is the upper bound that the tables give, which is too small for a link.
+        """
+        side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits_" + x))
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        bounded = self.save(pairs.join(side("a"), "a").join(side("b"), "b").select(
+            "a", "b", "na", "nb", F.floor((F.col("na") + F.col("nb") - differ) / 2).cast("long").alias("overlap")), "bounded")
+        open_ = self.linked(bounded).select("a", "b")
+        wanted = open_.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep", "fa", "fb"), "cid")
+        sets = self.sets_of(wanted)
+        sets = self.save(sets.dropDuplicates(["cid"]) if self.repeats else sets, "sets")
         one = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
         two = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa"))
-        return pairs.join(one, "b").join(two, "a").select(
+        exact = open_.join(one, "b").join(two, "a").select(
             "a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"),
             F.size(F.array_intersect("sa", "sb")).cast("long").alias("overlap"))
+        rest = bounded.filter(~reaches(F.col("overlap"), F.col("na"), F.col("nb"), self.percent))
+        return self.save(exact.unionByName(rest), "compared")
 
     def linked(self, compared: DataFrame) -> DataFrame:
         return compared.filter(reaches(F.col("overlap"), F.col("na"), F.col("nb"), self.percent))
@@ -239,9 +273,9 @@ class Join:
                 return labels
 
     def classes(self, documents: DataFrame) -> DataFrame:
-        """(cid, n, fa, fb, rep, mins): distinct sets, each with its smallest id."""
+        """(cid, n, fa, fb, rep, mins, bits): distinct sets, each with its smallest id."""
         return self.save(documents.filter("n > 0 and id is not null").groupBy("n", "fa", "fb")
-                         .agg(F.min("id").alias("rep"), F.first("mins").alias("mins"))
+                         .agg(F.min("id").alias("rep"), F.first("mins").alias("mins"), F.first("bits").alias("bits"))
                          .withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def stars(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -253,7 +287,7 @@ class Join:
         agree = F.aggregate(F.zip_with("mins", "ma", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         near = pairs.dropDuplicates(["a", "b"]).join(centre, "a") \
             .filter((100 * F.least("n", "na") >= self.percent * F.greatest("n", "na")) & (agree >= AGREE)).select("a", "b")
-        met = self.save(self.linked(self.compare(self.save(near, "near"), classes)), "star-links")
+        met = self.linked(self.compare(near, classes))
         member = met.groupBy(F.col("b").alias("cid")).agg(F.min(F.struct("a", (F.col("nb") - F.col("overlap")).alias("off"))).alias("s")) \
             .select("cid", F.col("s.a").alias("star"), F.col("s.off").alias("off"))
         return member, met.select("a", "b")
@@ -306,8 +340,8 @@ class Join:
                 .filter(100 * F.least("na", "nb") >= p * F.greatest("na", "nb")) \
                 .filter(reaches(F.col("overlap") + F.col("oa") + F.col("ob"), F.col("na"), F.col("nb"), p)) \
                 .select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
-            found = self.linked(self.compare(self.save(pairs, "pairs"), classes))
-            comps = self.unite(comps, self.save(found.select("a", "b"), "links"))
+            found = self.linked(self.compare(pairs, classes))
+            comps = self.unite(comps, found.select("a", "b"))
             low, high = high, high * 8
 
     def unite(self, comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -336,7 +370,7 @@ class Join:
                           .select("cid", F.coalesce("comp", "cid").alias("comp")), "comps")
         info = self.save(classes.select("cid", "n").join(member, "cid", "left").join(comps, "cid").select(
             "cid", "n", F.coalesce("star", "cid").alias("star"), F.coalesce("off", F.lit(0)).cast("long").alias("off"), "comp"), "info")
-        met = self.save(self.compare(self.save(self.lists(classes, info, heavy), "meetings"), classes), "met")
+        met = self.compare(self.lists(classes, info, heavy), classes)
         comps = self.unite(comps, self.linked(met).select("a", "b"))
         comps = self.members(met, info, comps, classes)
         smallest = classes.join(comps, "cid").groupBy("comp").agg(F.min("rep").alias("component"))
