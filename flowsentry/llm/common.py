@@ -164,6 +164,7 @@ def worker_cache(key: tuple, make):
     import sys
     store = sys.__dict__.setdefault("_flowsentry_worker_cache", {})
     if key not in store:
+        store.clear()  # one at a time: memory of a worker stays bounded
         store[key] = make()
     return store[key]
 

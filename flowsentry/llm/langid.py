@@ -153,7 +153,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, *, buckets: int = 1 <<
     def count(batches):
         counts: dict[str, np.ndarray] = {}
         docs_of: dict[str, int] = {}
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
                 own = [t for t, x in zip(texts, langs) if x == lang and _LETTER.search(t)]
@@ -229,13 +229,14 @@ def predict(spark: SparkSession, docs: DataFrame, text_col: str, model: Language
 
     def score(batches):
         m = shared.value
-        for batch in batches:
-            lang, post, mean = m.score(batch.column(at).to_pylist())
-            fits = (lang != UND) & (mean > m.background)
-            cols = [batch.column(i) for i in range(at)]
-            yield pa.RecordBatch.from_arrays(
-                cols + [pa.array(lang, pa.string()), pa.array(post, pa.float64()),
-                        pa.array(np.asarray(fits, bool))],
-                names=[*batch.schema.names[:at], lang_out, score_out, fits_out])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):  # texts of one slice at a time
+                batch = whole.slice(i, 1024)
+                lang, post, mean = m.score(batch.column(at).to_pylist())
+                fits = (lang != UND) & (mean > m.background)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(k) for k in range(at)]
+                    + [pa.array(lang, pa.string()), pa.array(post, pa.float64()), pa.array(np.asarray(fits, bool))],
+                    names=[*batch.schema.names[:at], lang_out, score_out, fits_out])
 
     return staged.mapInArrow(score, schema)

@@ -16,7 +16,7 @@ Two kinds of model, as the model file says:
   merge ranks, would not give them.)
 
 A pair of characters that stands inside no piece is a boundary on every path.  Texts are cut
-there, and the ids of a cut part are remembered (at most ``limit`` parts).
+there, and the ids of a cut part are remembered (at most ``limit`` words and as many segments).
 
 Defined cases: null is encoded like an empty text (no ids); characters without a piece become
 byte pieces, or the unknown id where the model has none; U+2581 counts as a space, as in the
@@ -149,7 +149,7 @@ class Lattice:
                 if ok is None:
                     j = i - n
                     ok = m.valid(text[j - back[j]:j] if j else self.left, piece)
-                    if len(known) < 2_000_000:
+                    if len(known) < 500_000:
                         known[left << 32 | number] = ok
                 if ok:
                     back.append(n)
@@ -238,7 +238,7 @@ class _Parts(dict):
 class Coder:
     """Encodes and decodes texts with one model."""
 
-    def __init__(self, model: PieceModel, limit: int = 500_000):
+    def __init__(self, model: PieceModel, limit: int = 250_000):
         self.model, self.limit = model, limit
         self.words = _Parts(self, SPACE)
         self.segments: dict[str, bytes] = {}
@@ -283,7 +283,7 @@ class Coder:
 
 
 def with_ids(docs: DataFrame, text_col: str, model_path: str, *, out: str = "ids", only: tuple[str, ...] | None = None,
-             digests: bool = False, limit: int = 500_000) -> DataFrame:
+             digests: bool = False, limit: int = 250_000) -> DataFrame:
     """``only`` columns (default all) plus ``out`` (array of ids); with ``digests``, instead of the
     ids: n_tokens, ids_crc32 (ids as little-endian 32-bit integers), decoded_chars, round_trip."""
     keep = list(docs.columns if only is None else only)
