@@ -34,6 +34,7 @@ class Prepared:
     prep: PrepModel
     scaler: Scaler | None
     counts: dict = field(default_factory=dict)   # rows per split
+    unscaled: DataFrame | None = None            # the table before scaling, for refits
 
 
 def feature_table(df: DataFrame, cfg: ExperimentConfig) -> DataFrame:
@@ -105,13 +106,14 @@ def prepare(df: DataFrame, cfg: ExperimentConfig, scale: bool = True) -> Prepare
     p = prep.transform(s, keep=keep)
     feats = list(prep.output_columns)
     counts = split_counts(s, cfg)
+    unscaled = p.withColumn("y_det", clean.detector_label(c(cfg.label)))
     scaler = None
     if scale:
         exact = counts.get("train", 0) <= metrics.EXACT_PERCENTILE_MAX_ROWS
         scaler = Scaler.fit(p.filter(c("split") == "train"), feats, "robust", exact=exact)
         p = scaler.transform(p)
     p = p.withColumn("y_det", clean.detector_label(c(cfg.label)))
-    return Prepared(p, feats, prep, scaler, counts)
+    return Prepared(p, feats, prep, scaler, counts, unscaled)
 
 
 @dataclass
@@ -121,6 +123,7 @@ class DetectionResult:
     scored: DataFrame           # key, Label, split, y_det, score, y_pred
     report: DataFrame           # A14 per split (val, test)
     confusion: DataFrame        # A12 per split
+    params: dict                # what the detector was fitted with (searched, if asked for)
 
 
 def evaluate(det: FittedDetector, prepared: Prepared, cfg: ExperimentConfig,
@@ -147,7 +150,7 @@ def run_detection(df: DataFrame, cfg: ExperimentConfig | None = None) -> Detecti
     det = fit_detector(cfg.algorithm, params, train, prepared.features, list(cfg.key_cols),
                        n_rows=n_train, seed=cfg.random_state, max_fit_rows=cfg.max_fit_rows)
     scored, conf, rep = evaluate(det, prepared, cfg)
-    return DetectionResult(prepared, det, scored, rep, conf)
+    return DetectionResult(prepared, det, scored, rep, conf, params)
 
 
 # ---------------------------------------------------------------- J2 supervised
@@ -159,6 +162,7 @@ class ClassificationResult:
     model: Any
     report: DataFrame          # A14 per split ("test", "train")
     f1: dict                   # macro F1 per split and the train/test gap (A17)
+    params: dict | None = None  # what the model was fitted with
 
 
 def classifier_prepare(df: DataFrame, cfg: ExperimentConfig) -> Prepared:
@@ -220,7 +224,7 @@ def run_classification(df: DataFrame, cfg: ExperimentConfig | None = None,
     rep = metrics.report(conf, by=["split"])
     f1 = {r["split"]: r["macro_f1"] for r in metrics.macro_f1(conf, by=["split"]).collect()}
     gap = metrics.train_test_gap(f1.get("train", 0.0), f1.get("test", 0.0))
-    return ClassificationResult(prepared, model, rep, gap)
+    return ClassificationResult(prepared, model, rep, gap, params)
 
 
 # ---------------------------------------------------------------- J3 – J5
@@ -239,6 +243,29 @@ def extra_normals(extra: DataFrame, prep: PrepModel, cfg: ExperimentConfig) -> D
     return prep.transform(d, keep=[*cfg.key_cols, cfg.label])
 
 
+def tag_keys(d: DataFrame, cfg: ExperimentConfig, source: str) -> DataFrame:
+    """Prefix the first key with its table's name: keys of two tables never collide."""
+    key = cfg.key_cols[0]
+    return d.withColumn(key, F.concat(F.lit(source + "|"), c(key).cast("string")))
+
+
+def refit_enriched(base: DetectionResult, added: DataFrame, n_added: int, cfg: ExperimentConfig
+                   ) -> tuple[FittedDetector, Scaler | None, Prepared]:
+    """Scaler and detector fitted anew on train plus ``added`` (unscaled), with the
+    parameters of the evaluated model; the scaled table to evaluate on."""
+    prep = base.prepared
+    rows = tag_keys(prep.unscaled, cfg, "base")
+    train = rows.filter(c("split") == "train").unionByName(
+        tag_keys(added, cfg, "added").select(*rows.columns))
+    scaler, n = None, prep.counts.get("train", 0) + n_added
+    if prep.scaler is not None:
+        scaler = Scaler.fit(train, prep.features, "robust", exact=n <= metrics.EXACT_PERCENTILE_MAX_ROWS)
+        rows, train = scaler.transform(rows), scaler.transform(train)
+    det = fit_detector(cfg.algorithm, base.params, train, prep.features, list(cfg.key_cols),
+                       n_rows=n, seed=cfg.random_state, max_fit_rows=cfg.max_fit_rows)
+    return det, scaler, Prepared(rows, prep.features, prep.prep, scaler, prep.counts, prep.unscaled)
+
+
 @dataclass
 class EnrichmentResult:
     before: DetectionResult
@@ -253,17 +280,11 @@ def run_extra_normal(df: DataFrame, extra: DataFrame, cfg: ExperimentConfig | No
     cfg = cfg or ExperimentConfig()
     before = run_detection(df, cfg)
     prep = before.prepared
-    ex = extra_normals(extra, prep.prep, cfg)
-    if prep.scaler is not None:
-        ex = prep.scaler.transform(ex)
-    ex = ex.withColumn("split", F.lit("train")).withColumn("y_det", F.lit(1))
-    cols = prep.table.columns
-    enriched = prep.table.filter(c("split") == "train").unionByName(ex.select(*cols))
+    ex = extra_normals(extra, prep.prep, cfg) \
+        .withColumn("split", F.lit("train")).withColumn("y_det", F.lit(1))
     n_added = ex.count()
-    det = fit_detector(cfg.algorithm, cfg.model_params(), enriched, prep.features,
-                       list(cfg.key_cols), n_rows=prep.counts.get("train", 0) + n_added,
-                       seed=cfg.random_state, max_fit_rows=cfg.max_fit_rows)
-    _, _, rep = evaluate(det, prep, cfg, ("test",))
+    det, _, refitted = refit_enriched(before, ex, n_added, cfg)
+    _, _, rep = evaluate(det, refitted, cfg, ("test",))
     return EnrichmentResult(before, rep, n_added)
 
 
@@ -287,19 +308,15 @@ def run_fewshot_detection(df: DataFrame, target: DataFrame, cfg: ExperimentConfi
     t = materialize(clean.drop_empty(t), cfg)
     parts = splits.fewshot_split(t, 0, cfg.few_shot_ratio, list(cfg.key_cols), cfg.label,
                                  cfg.random_state)
-    pt = prep.prep.transform(parts, keep=[*cfg.key_cols, cfg.label, "part"])
-    if prep.scaler is not None:
-        pt = prep.scaler.transform(pt)
-    pt = pt.withColumn("y_det", clean.detector_label(c(cfg.label))).cache()
+    pt = prep.prep.transform(parts, keep=[*cfg.key_cols, cfg.label, "part"]) \
+        .withColumn("y_det", clean.detector_label(c(cfg.label))).cache()
     few = pt.filter(c("part") == "few").withColumn("split", F.lit("train"))
     n_few = few.count()
-    train = prep.table.filter(c("split") == "train").unionByName(
-        few.select(*prep.table.columns))
-    det = fit_detector(cfg.algorithm, cfg.model_params(), train, prep.features,
-                       list(cfg.key_cols), n_rows=prep.counts.get("train", 0) + n_few,
-                       seed=cfg.random_state, max_fit_rows=cfg.max_fit_rows)
-    _, _, after = evaluate(det, prep, cfg, ("test",))
-    hold = pt.filter(c("part") == "holdout").withColumn("split", F.lit("holdout"))
+    det, scaler, refitted = refit_enriched(base, few, n_few, cfg)
+    _, _, after = evaluate(det, refitted, cfg, ("test",))
+    hold = tag_keys(pt.filter(c("part") == "holdout"), cfg, "added").withColumn("split", F.lit("holdout"))
+    if scaler is not None:
+        hold = scaler.transform(hold)
     scored = det.predict(hold, keep=[*cfg.key_cols, cfg.label, "split", "y_det"])
     hconf = metrics.confusion(scored, "y_det", "y_pred", [1, -1], by=["split"])
     before = base.report.filter(c("split") == "test")
@@ -320,9 +337,9 @@ def run_fewshot_classification(df: DataFrame, target: DataFrame,
     pt = prep.prep.transform(parts, keep=[*cfg.key_cols, cfg.label, "part"]).cache()
     few = pt.filter(c("part") == "few").withColumn("split", F.lit("train"))
     n_few = few.count()
-    train = prep.table.filter(c("split") == "train").unionByName(
-        few.select(*prep.table.columns))
-    model = fit_classifier(train, prep.features, cfg, params)
+    train = tag_keys(prep.table.filter(c("split") == "train"), cfg, "base").unionByName(
+        tag_keys(few, cfg, "added").select(*prep.table.columns))
+    model = fit_classifier(train, prep.features, cfg, base.params)
     after_conf = classifier_metrics(model, prep.table.filter(c("split") == "test"), cfg, "test")
     hold_conf = classifier_metrics(model, pt.filter(c("part") == "holdout"), cfg, "holdout")
     return FewShotResult(base.report.filter(c("split") == "test"),

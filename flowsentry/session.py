@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,7 +57,9 @@ def default_conf(cpus: int | None = None) -> dict[str, str]:
 def get_spark(master: str | None = None, app: str = "flowsentry",
               cpus: int | None = None) -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
+    builder = SparkSession.builder.appName(app)
+    if master or not SparkConf().contains("spark.master"):  # spark-submit has named one already
+        builder = builder.master(master or f"local[{cpus}]")
     for k, v in default_conf(cpus).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -73,7 +76,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Only reached when the session names no shared folder (local tests).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="flowsentry-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)

@@ -33,11 +33,6 @@ def test_stream_scoring_equals_batch(spark):
     assert streamed == batch and len(batch) == target.count()
 
 
-def test_parameter_grid_order():
-    g = parameter_grid({"b": [1, 2], "a": ["x", "y"]})
-    assert g == [{"a": "x", "b": 1}, {"a": "x", "b": 2}, {"a": "y", "b": 1}, {"a": "y", "b": 2}]
-
-
 def test_iforest_search_small_grid(spark):
     cfg = ExperimentConfig(domain_features=FEATS)
     prepared = jobs.prepare(fixtures.flows(spark, SF_SMALL), cfg)
@@ -107,3 +102,28 @@ def test_checkpoint_materialization_gives_the_same_report(spark):
     a = sorted(map(tuple, jobs.run_detection(f, cfg_p).report.collect()))
     b = sorted(map(tuple, jobs.run_detection(f, cfg_c).report.collect()))
     assert a == b
+
+
+def test_grid_keeps_declared_order_with_contamination_innermost():
+    from flowsentry.plans.search import parameter_grid
+    grid = {"n": [2, 1], "contamination": [0.1, 0.2], "a": ["x", "y"]}
+    got = [(p["n"], p["a"], p["contamination"]) for p in parameter_grid(grid)]
+    assert got == [(n, a, k) for n in (2, 1) for a in ("x", "y") for k in (0.1, 0.2)]
+
+
+def test_enrichment_refits_searched_parameters_and_keeps_colliding_keys(spark, monkeypatch):
+    from flowsentry.config import ExperimentConfig
+    from flowsentry.plans import jobs, search
+    from flowsentry.sources import fixtures
+    flows = fixtures.flows(spark, "/root/testdata/sf0.001")
+    found = {"n_neighbors": 7, "metric": "euclidean", "contamination": 0.1}
+    monkeypatch.setattr(search, "detector_search", lambda prepared, cfg: {"params": found})
+    seen = []
+    real = jobs.fit_detector
+    monkeypatch.setattr(jobs, "fit_detector", lambda a, p, t, *x, **k: (seen.append((dict(p), t)), real(a, p, t, *x, **k))[1])
+    cfg = ExperimentConfig(algorithm="lof", hyper_search=True)
+    res = jobs.run_extra_normal(flows, flows, cfg)  # the second table repeats every key
+    assert [p for p, _ in seen] == [found, found]
+    train = seen[1][1]
+    assert train.count() == train.select("flow_id").distinct().count() == seen[0][1].count() + res.added_rows
+    assert res.after_report.count() > 0
