@@ -15,6 +15,7 @@ from typing import Any
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..config import ExperimentConfig
 from ..functions import features as feat
@@ -243,10 +244,15 @@ def extra_normals(extra: DataFrame, prep: PrepModel, cfg: ExperimentConfig) -> D
     return prep.transform(d, keep=[*cfg.key_cols, cfg.label])
 
 
-def tag_keys(d: DataFrame, cfg: ExperimentConfig, source: str) -> DataFrame:
-    """Prefix the first key with its table's name: keys of two tables never collide."""
+def tag_keys(d: DataFrame, cfg: ExperimentConfig, source: int) -> DataFrame:
+    """Make the first key tell its table (0 or 1), so keys of two tables never collide.
+
+    Whole-number keys become 2 k + source (the neighbour search needs numbers), others get a
+    prefix."""
     key = cfg.key_cols[0]
-    return d.withColumn(key, F.concat(F.lit(source + "|"), c(key).cast("string")))
+    if isinstance(d.schema[key].dataType, IntegralType):
+        return d.withColumn(key, c(key).cast("long") * 2 + source)
+    return d.withColumn(key, F.concat(F.lit(f"{source}|"), c(key).cast("string")))
 
 
 def refit_enriched(base: DetectionResult, added: DataFrame, n_added: int, cfg: ExperimentConfig
@@ -254,9 +260,9 @@ def refit_enriched(base: DetectionResult, added: DataFrame, n_added: int, cfg: E
     """Scaler and detector fitted anew on train plus ``added`` (unscaled), with the
     parameters of the evaluated model; the scaled table to evaluate on."""
     prep = base.prepared
-    rows = tag_keys(prep.unscaled, cfg, "base")
+    rows = tag_keys(prep.unscaled, cfg, 0)
     train = rows.filter(c("split") == "train").unionByName(
-        tag_keys(added, cfg, "added").select(*rows.columns))
+        tag_keys(added, cfg, 1).select(*rows.columns))
     scaler, n = None, prep.counts.get("train", 0) + n_added
     if prep.scaler is not None:
         scaler = Scaler.fit(train, prep.features, "robust", exact=n <= metrics.EXACT_PERCENTILE_MAX_ROWS)
@@ -314,7 +320,7 @@ def run_fewshot_detection(df: DataFrame, target: DataFrame, cfg: ExperimentConfi
     n_few = few.count()
     det, scaler, refitted = refit_enriched(base, few, n_few, cfg)
     _, _, after = evaluate(det, refitted, cfg, ("test",))
-    hold = tag_keys(pt.filter(c("part") == "holdout"), cfg, "added").withColumn("split", F.lit("holdout"))
+    hold = tag_keys(pt.filter(c("part") == "holdout"), cfg, 1).withColumn("split", F.lit("holdout"))
     if scaler is not None:
         hold = scaler.transform(hold)
     scored = det.predict(hold, keep=[*cfg.key_cols, cfg.label, "split", "y_det"])
@@ -337,8 +343,8 @@ def run_fewshot_classification(df: DataFrame, target: DataFrame,
     pt = prep.prep.transform(parts, keep=[*cfg.key_cols, cfg.label, "part"]).cache()
     few = pt.filter(c("part") == "few").withColumn("split", F.lit("train"))
     n_few = few.count()
-    train = tag_keys(prep.table.filter(c("split") == "train"), cfg, "base").unionByName(
-        tag_keys(few, cfg, "added").select(*prep.table.columns))
+    train = tag_keys(prep.table.filter(c("split") == "train"), cfg, 0).unionByName(
+        tag_keys(few, cfg, 1).select(*prep.table.columns))
     model = fit_classifier(train, prep.features, cfg, base.params)
     after_conf = classifier_metrics(model, prep.table.filter(c("split") == "test"), cfg, "test")
     hold_conf = classifier_metrics(model, pt.filter(c("part") == "holdout"), cfg, "holdout")
