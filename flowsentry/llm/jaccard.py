@@ -5,8 +5,8 @@ Documents are sets of distinct word shingles; two link when their Jaccard simila
 links.  Pairs inside a group are never listed:
 
 1. Equal sets form classes (a class is one set from here on).
-2. *Set relations.*  Classes that agree in many of 16 minimum hashes with the first class of a
-   common minimum are compared with it exactly; those that link form a star around it, and
+2. *Set relations.*  Classes that agree in many of 16 minimum hashes with one of a few classes
+   of a common minimum are compared with it exactly; those that link form a star around it, and
    each member keeps |x \\ centre|.  Nothing is decided by the minimum hashes: they only propose.
 3. *Inverted index with skipping.*  Each class posts its prefix (its rarest n - ceil(t n) + 1
    shingles; two sets that link share one).  Postings are folded to one entry per (shingle,
@@ -41,6 +41,7 @@ from .common import SPACE_WORDS, WordHasher, Workspace, mix, slices, utf8
 BLOCK_BYTES = 1 << 20
 SKETCH = 16          # minimum hashes per set
 BANDS = 4            # of them propose a centre
+CENTRES = 3          # classes of a common minimum that the others are compared with
 AGREE = 9            # so many of all must agree with the centre's
 CELLS = 1024         # bits of the parity table of a set
 HEAVY = 1 << 16      # most frequent shingles that go last in the order
@@ -281,14 +282,17 @@ class Join:
     def stars(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Stars (cid, star, off = |x without centre|) and their links (a centre, b member)."""
         band = classes.select("cid", "n", "mins", F.posexplode(F.slice("mins", 1, BANDS)).alias("k", "m"))
-        heads = band.groupBy("k", "m").agg(F.min("cid").alias("a"), F.count("*").alias("c")).filter("c > 1").drop("c")
+        # a few centres, by hash: a large family rarely has all its members near one of them
+        picks = [F.min(F.struct(F.xxhash64("cid", F.lit(i)).alias("h"), "cid")).alias(f"p{i}") for i in range(CENTRES)]
+        heads = band.groupBy("k", "m").agg(F.count("*").alias("c"), *picks).filter("c > 1") \
+            .select("k", "m", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.cid") for i in range(CENTRES)]))).alias("a"))
         pairs = band.join(heads, ["k", "m"]).filter("cid <> a").select("a", F.col("cid").alias("b"), "n", "mins")
         centre = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma"))
         agree = F.aggregate(F.zip_with("mins", "ma", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         near = pairs.dropDuplicates(["a", "b"]).join(centre, "a") \
             .filter((100 * F.least("n", "na") >= self.percent * F.greatest("n", "na")) & (agree >= AGREE)).select("a", "b")
         met = self.linked(self.compare(near, classes))
-        member = met.groupBy(F.col("b").alias("cid")).agg(F.min(F.struct("a", (F.col("nb") - F.col("overlap")).alias("off"))).alias("s")) \
+        member = met.groupBy(F.col("b").alias("cid")).agg(F.min(F.struct((F.col("nb") - F.col("overlap")).alias("off"), "a")).alias("s")) \
             .select("cid", F.col("s.a").alias("star"), F.col("s.off").alias("off"))
         return member, met.select("a", "b")
 
@@ -320,9 +324,10 @@ class Join:
         """Links between members of stars whose centres do not link, until none can be missed."""
         p = self.percent
         ranked = self.save(info.withColumn("at", F.row_number().over(Window.partitionBy("star").orderBy(F.desc("off"), "cid"))), "ranked")
-        extent = ranked.groupBy("star").agg(F.max("off").alias("off"), F.min("n").alias("low"), F.max("at").alias("many"))
-        side = lambda x: extent.select(F.col("star").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("off", "low", "many")])
-        open_ = met.join(side("a"), "a").join(side("b"), "b").filter((F.col("a_many") > 1) | (F.col("b_many") > 1)) \
+        extent = ranked.groupBy("star").agg(F.max("off").alias("off"), F.min("n").alias("low"), F.max("at").alias("many"),
+                                                F.max(F.col("cid") != F.col("star")).alias("others"))
+        side = lambda x: extent.select(F.col("star").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("off", "low", "many", "others")])
+        open_ = met.join(side("a"), "a").join(side("b"), "b").filter(F.col("a_others") | F.col("b_others")) \
             .filter(reaches(F.col("overlap") + F.col("a_off") + F.col("b_off"), F.col("a_low"), F.col("b_low"), p)) \
             .select("a", "b", "overlap", F.greatest("a_many", "b_many").alias("many"))
         open_ = self.save(open_, "open")
