@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Shared, Workspace
+from .common import Shared, Workspace, low_hashes
 
 BLOCK = 4096
 
@@ -42,16 +42,18 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
 
 
-def clean_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec array<double>): one usable vector per id."""
+def clean_vectors(rows: DataFrame, id_col: str, vector_col: str, size: int | None = None) -> DataFrame:
+    """(id, vec array<double>): one usable vector per id, of ``size`` or the most common length."""
     v = F.col("vec")
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
     # x - x is 0 for finite numbers alone
     good = rows.filter(F.col("id").isNotNull() & v.isNotNull()) \
         .filter(F.forall(v, lambda x: F.coalesce(x - x == 0, F.lit(False))) & F.exists(v, lambda x: x != 0))
     good = good.groupBy("id").agg(F.min("vec").alias("vec"))
-    common = good.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.filter(F.size("vec") == F.lit(common["n"] if common else 0))
+    if size is None:
+        common = good.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        size = common["n"] if common else 0
+    return good.filter(F.size("vec") == F.lit(size))
 
 
 # ---------------------------------------------------------------- fitting on the sample
@@ -193,7 +195,6 @@ def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, *, id_col:
     """
     ws = Workspace(spark, "ann")
     vectors = ws.save(clean_vectors(rows, id_col, vector_col), "vectors")
-    asked = clean_vectors(queries, id_col, vector_col)
     total = vectors.count()
     kind = dict(vectors.dtypes)["id"]
     shape = f"query_id {kind}, rank int, vec_id {kind}, score double, parts int"
@@ -202,8 +203,12 @@ def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, *, id_col:
     # equal vectors: the smallest k + 1 ids (the query itself may be one of them)
     same = Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("id")
     stored = vectors.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n")
-    head = vectors.select(F.xxhash64("id").alias("h"), "id", "vec").orderBy("h", "id").limit(sample_rows).collect()
+    hashed = vectors.select(F.xxhash64("id").alias("h"), "id", "vec")
+    head = low_hashes(hashed, "h", sample_rows).orderBy("h", "id").limit(sample_rows).collect()
+    if not head:  # fewer low hashes than any sample can expect: take the lowest
+        head = hashed.orderBy("h", "id").limit(1).collect()
     sample = np.array([r["vec"] for r in head], float)
+    asked = clean_vectors(queries, id_col, vector_col, sample.shape[1])
     sample = np.unique(sample, axis=0)
     parts = int(min(max_parts, max(1, total // part_rows), max(1, len(sample) // 8)))
     if parts > 1:

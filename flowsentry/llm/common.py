@@ -53,6 +53,16 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def low_hashes(rows: DataFrame, hash_col: str, limit: int) -> DataFrame:
+    """The rows of low 64-bit hashes, about 1.2 x ``limit`` of them (all rows, if there are few).
+
+    Ordering these instead of all rows keeps what a bounded sample sends to one place bounded:
+    the plain top rows would send ``limit`` rows of every partition.
+    """
+    share = 1.2 * (limit + 200) / max(rows.count(), 1)
+    return rows if share >= 1 else rows.filter(F.col(hash_col) < F.lit(int(share * 2.0 ** 64) - (1 << 63)))
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and the offsets of its rows; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
