@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_WORDS, Shared, WordHasher, fresh_name, mix, slices, utf8
+from .common import SPACE_WORDS, Shared, WordHasher, fresh_name, low_hashes, mix, slices, utf8
 
 BLOCK_BYTES = 1 << 20
 FEATURES = ("chars", "words", "mean_word", "long_word", "upper", "digit", "punct", "symbol",
@@ -220,9 +220,9 @@ def label_table(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 def fit_sample(rows: DataFrame, features: str, label: str, key: str, *, max_rows: int = 20_000,
                **options) -> QualityModel:
     """Fit on the ``max_rows`` rows of lowest hashed key: a bounded, repeatable sample."""
-    got = rows.select(F.xxhash64(F.col(key).cast("string")).alias("_h"), F.col(key).cast("string").alias("_k"),
-                      F.col(features).alias("_x"), F.col(label).alias("_y")) \
-        .orderBy("_h", "_k").limit(max_rows).collect()
+    hashed = rows.select(F.xxhash64(F.col(key).cast("string")).alias("_h"), F.col(key).cast("string").alias("_k"),
+                         F.col(features).alias("_x"), F.col(label).alias("_y"))
+    got = low_hashes(hashed, "_h", max_rows).orderBy("_h", "_k").limit(max_rows).collect()
     x = np.array([r["_x"] for r in got], float).reshape(len(got), len(FEATURES))
     return fit(x, np.array([r["_y"] for r in got], int), **options)
 
