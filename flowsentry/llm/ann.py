@@ -6,7 +6,9 @@
 3. A small classifier (one hidden layer) learns the parts of a vector's neighbours.
 4. Every vector is stored in its most probable part.  A query goes to its most probable
    parts, as many as it takes to reach ``mass`` of the probability, at least ``least_parts``,
-   and is compared with every vector stored there.
+   and is compared with every vector stored there.  The ``first_parts`` most probable ones come
+   first; their k-th best score is a floor, and the other parts hand on only vectors that reach
+   it, so what a query gathers does not grow with the number of parts.
 
 Parts are split into blocks of bounded size before queries meet them, so a hot part is many
 tasks.  Equal vectors are stored once with the smallest k + 1 of their ids: a query of k
@@ -163,7 +165,7 @@ def train_router(sample: np.ndarray, graph: np.ndarray, part: np.ndarray, parts:
 
 
 def _routed(vectors: DataFrame, router, mass: float, least: int, top_only: bool) -> DataFrame:
-    """Rows repeated for each part they go to (``top_only``: the most probable one)."""
+    """Rows repeated for each part they go to, the most probable at place 0 (``top_only``: that one)."""
     kind = dict(vectors.dtypes)["id"]
 
     def run(batches):
@@ -176,17 +178,68 @@ def _routed(vectors: DataFrame, router, mass: float, least: int, top_only: bool)
                 sums = np.cumsum(np.take_along_axis(p, order, 1), axis=1)
                 n = np.ones(len(p), int) if top_only else np.minimum(np.maximum((sums < mass).sum(axis=1) + 1, least), p.shape[1])
                 row = np.repeat(np.arange(len(p)), n)
-                part = np.concatenate([o[:k] for o, k in zip(order, n)]) if len(p) else np.zeros(0, int)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(row)), piece.column(1).take(pa.array(row)), pa.array(part.astype(np.int32))],
-                    names=["id", "vec", "part"])
+                    [piece.column(0).take(pa.array(row)), piece.column(1).take(pa.array(row)),
+                     pa.array(order[row, place].astype(np.int32)), pa.array(place.astype(np.int32))],
+                    names=["id", "vec", "part", "place"])
 
-    return vectors.mapInArrow(run, f"id {kind}, vec array<double>, part int")
+    return vectors.mapInArrow(run, f"id {kind}, vec array<double>, part int, place int")
+
+
+def _search(spark: SparkSession, index: DataFrame, routed: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
+    """(query_id, vec_id, score): for each routed row (id, vec, part, floor) the k best of its part
+    that reach its floor (null: none)."""
+    kind = dict(index.dtypes)["id"]
+    loads = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    grid = [(p, -(-sizes[p] // BLOCK), -(-loads[p] // BLOCK)) for p in sorted(sizes.keys() & loads.keys())]
+    blocks = F.broadcast(spark.createDataFrame(grid, "part int, cand_blocks int, query_blocks int"))
+    # each block of a part's vectors meets each block of its queries in one task
+    mine = F.pmod(F.xxhash64("id"), F.col("cand_blocks")).cast("int")
+    ours = F.pmod(F.xxhash64("id"), F.col("query_blocks")).cast("int")
+    left = index.join(blocks, "part").select("part", mine.alias("cb"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), "id", "vec")
+    right = routed.join(blocks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("cand_blocks") - 1)).alias("cb"), ours.alias("qb"),
+                                               "id", "vec", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+
+    def meet(cand: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
+        if not len(cand) or not len(query):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        c, ids = np.stack(cand["vec"].to_numpy()), cand["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        c, ids = c[order], ids[order]
+        out = []
+        for i in range(0, len(query), 512):
+            q, qids = np.stack(query["vec"].to_numpy()[i:i + 512]), query["id"].to_numpy()[i:i + 512]
+            floor = query["floor"].to_numpy(float)[i:i + 512]
+            s = q @ c.T
+            s[qids[:, None] == ids[None, :]] = -np.inf
+            m = min(k, s.shape[1])
+            kth = np.maximum(-np.partition(-s, m - 1, axis=1)[:, m - 1], floor)
+            # the product's rounding depends on the place in the block: take a margin, sum anew row by row
+            margin = 1e-12 * (np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max() + np.abs(np.where(np.isfinite(kth), kth, 0)))
+            r, j = np.nonzero((s >= (kth - margin)[:, None]) & (s > -np.inf))
+            exact = (q[r] * c[j]).sum(axis=1)
+            high = exact >= floor[r]
+            r, j, exact = r[high], j[high], exact[high]
+            best = np.lexsort((ids[j], -exact, r))
+            r, j, exact = r[best], j[best], exact[best]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            keep = place < k
+            out.append(pd.DataFrame({"query_id": qids[r[keep]], "vec_id": ids[j[keep]], "score": exact[keep]}))
+        return pd.concat(out)
+
+    return left.groupBy("part", "cb", "qb").cogroup(right.groupBy("part", "cb", "qb")) \
+        .applyInPandas(meet, f"query_id {kind}, vec_id {kind}, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
 def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, k: int = 20,
             sample_rows: int = 10_000, part_rows: int = 1000, max_parts: int = 512, mass: float = 0.95,
-            least_parts: int = 4, graph_k: int = 20) -> DataFrame:
+            least_parts: int = 4, first_parts: int = 8, graph_k: int = 20) -> DataFrame:
     """The k nearest rows found for each query row: query_id, rank, vec_id, score, parts.
 
     ``queries`` has the same columns as ``rows``; a query is not its own candidate.  The graph
@@ -222,42 +275,10 @@ def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, *, id_col:
     index = ws.save(_routed(stored, shared, mass, least_parts, True), "index")
     routed = ws.save(_routed(asked, shared, mass, least_parts, False), "routed")
     sizes = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    loads = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    grid = [(p, -(-sizes[p] // BLOCK), -(-loads[p] // BLOCK)) for p in sorted(sizes.keys() & loads.keys())]
-    blocks = F.broadcast(spark.createDataFrame(grid, "part int, cand_blocks int, query_blocks int"))
-    # each block of a part's vectors meets each block of its queries in one task
-    mine = F.pmod(F.xxhash64("id"), F.col("cand_blocks")).cast("int")
-    ours = F.pmod(F.xxhash64("id"), F.col("query_blocks")).cast("int")
-    left = index.join(blocks, "part").select("part", mine.alias("cb"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), "id", "vec")
-    right = routed.join(blocks, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("cand_blocks") - 1)).alias("cb"), ours.alias("qb"), "id", "vec")
-
-    def meet(cand: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        if not len(cand) or not len(query):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        c, ids = np.stack(cand["vec"].to_numpy()), cand["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        c, ids = c[order], ids[order]
-        out = []
-        for i in range(0, len(query), 512):
-            q, qids = np.stack(query["vec"].to_numpy()[i:i + 512]), query["id"].to_numpy()[i:i + 512]
-            s = q @ c.T
-            s[qids[:, None] == ids[None, :]] = -np.inf
-            m = min(k, s.shape[1])
-            kth = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-            # the product's rounding depends on the place in the block: take a margin, sum anew row by row
-            margin = 1e-12 * (1 + np.abs(kth))
-            r, j = np.nonzero((s >= (kth - margin)[:, None]) & (s > -np.inf))
-            exact = (q[r] * c[j]).sum(axis=1)
-            best = np.lexsort((ids[j], -exact, r))
-            r, j, exact = r[best], j[best], exact[best]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            keep = place < k
-            out.append(pd.DataFrame({"query_id": qids[r[keep]], "vec_id": ids[j[keep]], "score": exact[keep]}))
-        return pd.concat(out)
-
-    found = left.groupBy("part", "cb", "qb").cogroup(right.groupBy("part", "cb", "qb")) \
-        .applyInPandas(meet, f"query_id {kind}, vec_id {kind}, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    near = routed.filter(F.col("place") < first_parts).withColumn("floor", F.lit(None).cast("double"))
+    near = ws.save(_best(_search(spark, index, near, sizes, k), k).drop("rank"), "near")
+    floor = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    rest = ws.save(routed.filter(F.col("place") >= first_parts).join(floor, "id", "left"), "rest")
+    ranked = _best(near.unionByName(_search(spark, index, rest, sizes, k)), k)
     sent = routed.groupBy("id").agg(F.count("*").cast("int").alias("parts")).withColumnRenamed("id", "query_id")
     return ranked.join(sent, "query_id").select("query_id", F.col("rank").cast("int"), "vec_id", "score", "parts")
