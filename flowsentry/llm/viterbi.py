@@ -238,7 +238,7 @@ class _Parts(dict):
 class Coder:
     """Encodes and decodes texts with one model."""
 
-    def __init__(self, model: PieceModel, limit: int = 250_000):
+    def __init__(self, model: PieceModel, limit: int = 1_000_000):
         self.model, self.limit = model, limit
         self.words = _Parts(self, SPACE)
         self.segments: dict[str, bytes] = {}
@@ -283,7 +283,7 @@ class Coder:
 
 
 def with_ids(docs: DataFrame, text_col: str, model_path: str, *, out: str = "ids", only: tuple[str, ...] | None = None,
-             digests: bool = False, limit: int = 250_000) -> DataFrame:
+             digests: bool = False, limit: int = 1_000_000) -> DataFrame:
     """``only`` columns (default all) plus ``out`` (array of ids); with ``digests``, instead of the
     ids: n_tokens, ids_crc32 (ids as little-endian 32-bit integers), decoded_chars, round_trip."""
     keep = list(docs.columns if only is None else only)
