@@ -7,13 +7,15 @@ links.  Pairs inside a group are never listed:
 1. Equal sets form classes (a class is one set from here on).
 2. *Set relations.*  Classes that agree in many of 16 minimum hashes with one of a few classes
    of a common minimum are compared with it exactly; those that link form a star around it, and
-   each member keeps |x \\ centre|.  Nothing is decided by the minimum hashes: they only propose.
+   each member keeps |x \\ centre|.  Then the components of a common further minimum are compared
+   with the largest of them, a few members of each.  Nothing is decided by the minimum hashes:
+   they only propose.
 3. *Inverted index with skipping.*  Each class posts its prefix (its rarest n - ceil(t n) + 1
    shingles; two sets that link share one).  Postings are folded to one entry per (shingle,
    star) with the range of sizes and the best position.  A list whose entries all belong to
    one component is skipped whole; the rest of a list is cut into blocks by size, only blocks
    of compatible sizes meet, and entries whose positions leave too few shingles are skipped.
-   Before any exact comparison a parity table of 1,024 bits bounds the overlap from above.
+   Before any exact comparison parity tables (four bits a shingle) bound the overlap from above.
 4. Stars that still meet are compared by their centres.  The answers of the members follow from
    the centres' answer: |x & y| <= |a & b| + |x \\ a| + |y \\ b|.  Only members whose bound
    reaches the threshold are compared themselves, a few at first and then more, until the two
@@ -40,10 +42,12 @@ from .common import SPACE_WORDS, WordHasher, Workspace, mix, slices, utf8
 
 BLOCK_BYTES = 1 << 20
 SKETCH = 16          # minimum hashes per set
-BANDS = 4            # of them propose a centre
+BANDS = 4            # of them propose a centre, as many more propose links of components
 CENTRES = 3          # classes of a common minimum that the others are compared with
 AGREE = 9            # so many of all must agree with the centre's
-CELLS = 1024         # bits of the parity table of a set
+MARKS = 8            # low bits of each minimum hash that are kept to count agreements
+CELLS = 1024         # least bits of the parity table of a set: four a shingle, a power of two
+MOST_CELLS = 1 << 20  # and most; the bound of larger sets is weaker, they are compared exactly
 HEAVY = 1 << 16      # most frequent shingles that go last in the order
 _ODD = [int(x) | 1 for x in mix(np.arange(1, SKETCH + 1).astype(np.uint64))]
 
@@ -80,22 +84,25 @@ def _fingerprints(x: np.ndarray, edges: np.ndarray):
     return out
 
 
-def _parities(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """For each set, ``CELLS`` bits: is the number of its shingles hashed to the cell odd?
+def _parities(x: np.ndarray, edges: np.ndarray):
+    """(words, offsets): for each set a table of bits, is the number of its shingles in the cell odd?
 
     Each shingle that two sets do not share changes one bit at most, so the bits in which two
-    sets differ are a lower bound of |x \\ y| + |y \\ x|.
+    sets differ are a lower bound of |x \\ y| + |y \\ x|.  A table of twice the size folds onto
+    the smaller one by the exclusive or of its halves.
     """
-    rows = len(edges) - 1
-    out = np.zeros((rows, CELLS // 64), np.int64)
-    cell = (mix(x ^ np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(40)).astype(np.int64) % CELLS
-    for i in range(0, rows, 1024):
-        j = min(i + 1024, rows)
+    size = np.diff(edges)
+    cells = np.int64(1) << np.ceil(np.log2(np.clip(4 * size, CELLS, MOST_CELLS))).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(cells)])
+    cell = (mix(x ^ np.uint64(0x8CB92BA72F3D8DD7)) >> np.uint64(40)).astype(np.int64)
+    out = [np.zeros(0, np.int64)]
+    for i, j in slices(ends, MOST_CELLS):
         a, b = edges[i], edges[j]
-        at = np.repeat(np.arange(j - i), np.diff(edges[i:j + 1])) * CELLS + cell[a:b]
-        odd = (np.bincount(at, minlength=(j - i) * CELLS) & 1).astype(np.uint8).reshape(j - i, CELLS)
-        out[i:j] = np.packbits(odd, axis=1).view(np.int64)
-    return out
+        row = np.repeat(np.arange(i, j), size[i:j])
+        at = ends[row] - ends[i] + (cell[a:b] & (cells[row] - 1))
+        odd = (np.bincount(at, minlength=ends[j] - ends[i]) & 1).astype(np.uint8)
+        out.append(np.packbits(odd, bitorder="little").view(np.int64))
+    return np.concatenate(out), (ends // 64).astype(np.int32)
 
 
 def _blocks(batch: pa.RecordBatch, words: WordHasher, n: int):
@@ -127,8 +134,8 @@ class Join:
     # ------------------------------------------------------------ passes over the texts
 
     def signatures(self) -> DataFrame:
-        """One row per document (id, n, fa, fb, mins), and rows of frequent shingles (tok, n)."""
-        n = self.n
+        """One row per document (id, n, fa, fb, mins, marks, bits), and rows of frequent shingles (tok, n)."""
+        n, names = self.n, ["id", "n", "fa", "fb", "mins", "marks", "bits", "tok"]
 
         def run(batches):
             words, seen = WordHasher(SPACE_WORDS), {}
@@ -146,24 +153,25 @@ class Join:
                         seen[t] = seen.get(t, 0) + m
                     if len(seen) > 400_000:  # keep the frequent half; the counts are hints
                         seen = dict(sorted(seen.items(), key=lambda kv: -kv[1])[:200_000])
-                    flat = pa.array(mins.view(np.int64).ravel())
+                    kept = pa.array(mins[:, :2 * BANDS].view(np.int64).ravel())
+                    marks = pa.array((mins & np.uint64((1 << MARKS) - 1)).astype(np.uint8).view(np.int8).ravel())
+                    bits, ends = _parities(x, edges)
+                    rows = np.arange(j - i + 1, dtype=np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(fa), pa.array(fb),
-                         pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * SKETCH), flat),
-                         pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * (CELLS // 64)), pa.array(_parities(x, edges).ravel())),
-                         pa.nulls(j - i, pa.int64())], names=["id", "n", "fa", "fb", "mins", "bits", "tok"])
+                         pa.ListArray.from_arrays(pa.array(rows * 2 * BANDS), kept), pa.ListArray.from_arrays(pa.array(rows * SKETCH), marks),
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(bits)), pa.nulls(j - i, pa.int64())], names=names)
             top = sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:8192]
             if top:
                 m = len(top)
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(m, id_type), pa.array([c for _, c in top], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                     pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64())),
-                     pa.array(np.array([t for t, _ in top], np.uint64).view(np.int64))],
-                    names=["id", "n", "fa", "fb", "mins", "bits", "tok"])
+                     pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int8())), pa.nulls(m, pa.list_(pa.int64())),
+                     pa.array(np.array([t for t, _ in top], np.uint64).view(np.int64))], names=names)
 
         from pyspark.sql.pandas.types import to_arrow_type
         id_type = to_arrow_type(self.docs.schema["id"].dataType)
-        return self.docs.mapInArrow(run, f"id {self.kind}, n long, fa long, fb long, mins array<long>, bits array<long>, tok long")
+        return self.docs.mapInArrow(run, f"id {self.kind}, n long, fa long, fb long, mins array<long>, marks array<byte>, bits array<long>, tok long")
 
     def prefixes(self, heavy) -> DataFrame:
         """(id, n, fa, fb, prefix): each document's prefix, rarest shingle first."""
@@ -230,9 +238,18 @@ class Join:
 
         The overlap is exact wherever the parity tables leave it possible that the two link;
         elsewhere it is the upper bound that the tables give, which is too small for a link.
+        Only the classes that occur in pairs are shuffled with their tables.
         """
+        pairs = self.save(pairs, "pairs")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        classes = self.save(classes.select("cid", "n", "rep", "fa", "fb", "bits").join(ids, "cid", "left_semi"), "sides")
         side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits_" + x))
-        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        half = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2 + 1).cast("int"), (F.size(c) / 2).cast("int")),
+                                    lambda x, y: x.bitwiseXOR(y))
+        fold = lambda c, other: F.when(F.size(c) == 2 * F.size(other), half(c)).otherwise(F.col(c))
+        bits = F.aggregate(F.zip_with(fold("bits_a", "bits_b"), fold("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                           F.lit(0), lambda t, x: t + x)  # null where one table is four times the other or more
+        differ = F.greatest(F.abs(F.col("na") - F.col("nb")), bits.cast("long"))
         bounded = self.save(pairs.join(side("a"), "a").join(side("b"), "b").select(
             "a", "b", "na", "nb", F.floor((F.col("na") + F.col("nb") - differ) / 2).cast("long").alias("overlap")), "bounded")
         open_ = self.linked(bounded).select("a", "b")
@@ -274,21 +291,22 @@ class Join:
                 return labels
 
     def classes(self, documents: DataFrame) -> DataFrame:
-        """(cid, n, fa, fb, rep, mins, bits): distinct sets, each with its smallest id."""
+        """(cid, n, fa, fb, rep, mins, marks, bits): distinct sets, each with its smallest id."""
         return self.save(documents.filter("n > 0 and id is not null").groupBy("n", "fa", "fb")
-                         .agg(F.min("id").alias("rep"), F.first("mins").alias("mins"), F.first("bits").alias("bits"))
+                         .agg(F.min("id").alias("rep"), F.first(F.struct("mins", "marks", "bits")).alias("s"))
+                         .select("n", "fa", "fb", "rep", "s.*")
                          .withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def stars(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Stars (cid, star, off = |x without centre|) and their links (a centre, b member)."""
-        band = classes.select("cid", "n", "mins", F.posexplode(F.slice("mins", 1, BANDS)).alias("k", "m"))
+        band = classes.select("cid", "n", "marks", F.posexplode(F.slice("mins", 1, BANDS)).alias("k", "m"))
         # a few centres, by hash: a large family rarely has all its members near one of them
         picks = [F.min(F.struct(F.xxhash64("cid", F.lit(i)).alias("h"), "cid")).alias(f"p{i}") for i in range(CENTRES)]
         heads = band.groupBy("k", "m").agg(F.count("*").alias("c"), *picks).filter("c > 1") \
             .select("k", "m", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.cid") for i in range(CENTRES)]))).alias("a"))
-        pairs = band.join(heads, ["k", "m"]).filter("cid <> a").select("a", F.col("cid").alias("b"), "n", "mins")
-        centre = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma"))
-        agree = F.aggregate(F.zip_with("mins", "ma", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        pairs = band.join(heads, ["k", "m"]).filter("cid <> a").select("a", F.col("cid").alias("b"), "n", "marks")
+        centre = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma"))
+        agree = F.aggregate(F.zip_with("marks", "ma", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         near = pairs.dropDuplicates(["a", "b"]).join(centre, "a") \
             .filter((100 * F.least("n", "na") >= self.percent * F.greatest("n", "na")) & (agree >= AGREE)).select("a", "b")
         met = self.linked(self.compare(near, classes))
@@ -296,6 +314,33 @@ class Join:
             .select("cid", F.col("s.a").alias("star"), F.col("s.off").alias("off"))
         return member, met.select("a", "b")
 
+    def attach(self, classes: DataFrame, comps: DataFrame) -> DataFrame:
+        """``comps`` after comparing components of a common minimum with the largest one there.
+
+        Of each component four members, picked by hash, stand for it; so a list of c components
+        gives 4 (c - 1) pairs at most, whatever the sizes.  Rounds with other picks follow as
+        long as one joins a hundredth of the components that share lists.
+        """
+        band = classes.select("cid", F.posexplode(F.slice("mins", BANDS + 1, BANDS)).alias("k", "m")).join(comps, "cid")
+        mixed = band.groupBy("k", "m").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("k", "m")
+        band = self.save(band.join(mixed, ["k", "m"]).select("k", "m", "cid"), "band")
+        left, turn = None, 0
+        while True:
+            salts = [F.xxhash64("k", F.lit(4 * turn + i)) for i in range(4)]
+            part = band.join(comps, "cid").groupBy("k", "m", "comp").agg(
+                F.count("*").alias("c"), *[F.min(F.col("cid").bitwiseXOR(x)).alias(f"p{i}") for i, x in enumerate(salts)])
+            part = self.save(part.select("k", "m", "comp", "c", F.array(*[F.col(f"p{i}").bitwiseXOR(x) for i, x in enumerate(salts)]).alias("some")), "parts")
+            big = part.groupBy("k", "m").agg(F.max(F.struct("c", "comp", "some")).alias("big"), F.count("*").alias("parts")).filter("parts > 1")
+            met = self.save(part.join(big, ["k", "m"]), "met")
+            waiting = met.agg(F.count_distinct("comp")).first()[0]
+            if not waiting or (left is not None and 100 * waiting > 99 * left):
+                return comps
+            pairs = met.filter("comp <> big.comp") \
+                .select(F.explode(F.arrays_zip(F.col("big.some").alias("x"), F.col("some").alias("y"))).alias("p")) \
+                .select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).distinct()
+            comps = self.unite(comps, self.linked(self.compare(pairs, classes)).select("a", "b"))
+            left, turn = waiting, turn + 1
+
     def lists(self, classes: DataFrame, info: DataFrame, heavy) -> DataFrame:
         """Pairs of stars (a < b) of different components that meet in some posting list."""
         prefix = self.prefixes(heavy).join(classes.select("cid", F.col("rep").alias("id"), "fa", "fb", "n"), ["id", "fa", "fb", "n"])
@@ -373,6 +418,7 @@ class Join:
         labels = self.components(links)
         comps = self.save(classes.select("cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
                           .select("cid", F.coalesce("comp", "cid").alias("comp")), "comps")
+        comps = self.attach(classes, comps)
         info = self.save(classes.select("cid", "n").join(member, "cid", "left").join(comps, "cid").select(
             "cid", "n", F.coalesce("star", "cid").alias("star"), F.coalesce("off", F.lit(0)).cast("long").alias("off"), "comp"), "info")
         met = self.compare(self.lists(classes, info, heavy), classes)

@@ -90,13 +90,28 @@ def test_parity_bound_never_undercuts():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
     sets = [np.unique(rng.choice(pool, rng.integers(1, 900))) for _ in range(40)]
-    bits = jaccard._parities(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    words, ends = jaccard._parities(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    tables = [words[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    assert {len(t) for t in tables} == {16, 32, 64}
     for i in range(40):
         for j in range(40):
-            differ = sum(bin(int(x) & (2 ** 64 - 1)).count("1") for x in bits[i] ^ bits[j])
+            x, y = sorted((tables[i], tables[j]), key=len)
+            while len(y) > len(x):
+                y = y[:len(y) // 2] ^ y[len(y) // 2:]
+            differ = sum(bin(int(w) & (2 ** 64 - 1)).count("1") for w in x ^ y)
             assert len(np.intersect1d(sets[i], sets[j])) <= (len(sets[i]) + len(sets[j]) - differ) / 2
 
 
+def test_groups_of_sizes_around_a_table_step(spark):
+    """Sets of 240 to 290 shingles: their parity tables have 1,024 or 2,048 bits."""
+    words = [f"w{i}" for i in range(294)]
+    rows = [(i, " ".join(words[:243 + 10 * i])) for i in range(6)] + [(10, " ".join(words[50:])), (11, " ".join(words[:294 - 20]))]
+    rows += [(20 + i, " ".join(f"v{i}-{j}" for j in range(200 + 30 * i))) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: (r.n, r.component) for r in jaccard.groups(spark, docs, "doc_id", "text", n=4, percent=85).collect()}
+    assert got == brute_groups(rows, 4, 85)
+
+
 # ---------------------------------------------------------------- decontamination
 
 
