@@ -10,23 +10,22 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Exact percentiles keep every value of the group in one buffer; above this
-# many rows the approximate sketch is used instead.
-EXACT_PERCENTILE_MAX_ROWS = 2_000_000
+from .quantile import percentiles
 
 
-def score_percentile(scores: DataFrame, col: str, fractions: Sequence[float],
-                     exact: bool = True, accuracy: int = 100000) -> list[float]:
-    """Linear-interpolated percentiles of a score column (train scores)."""
-    x = F.col(col)
-    if exact:
-        agg = F.percentile(x, F.array(*[F.lit(float(f)) for f in fractions]))
-    else:
-        agg = F.percentile_approx(x, list(fractions), accuracy)
-    return list(scores.agg(agg.alias("p")).collect()[0]["p"])
+def score_percentile(scores: DataFrame, col: str, fractions: Sequence[float]) -> list[float]:
+    """Linear-interpolated percentiles of a score column (train scores), exact at
+    every size.  The scores are kept for its passes, so rows are scored once."""
+    x = scores.select(F.col(col).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    found = percentiles(x, {"x": F.col("x")}, [float(f) for f in fractions])["x"]
+    x.unpersist()
+    if found is None:
+        raise ValueError(f"no {col} to take percentiles of")
+    return found
 
 
 def predict_by_threshold(score: Column, offset: float) -> Column:
@@ -111,16 +110,15 @@ def report(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def sweep(scored: DataFrame, score: str, y_det: str, train_scores: DataFrame,
-          contaminations: Sequence[float], exact: bool = True) -> DataFrame:
+          contaminations: Sequence[float]) -> DataFrame:
     """H2: one fit, many thresholds.
 
-    Offsets are the train-score percentiles at each contamination (one
-    aggregate).  All K confusion tables then come from a single pass of
+    Offsets are the train-score percentiles at each contamination.  All K confusion tables then come from a single pass of
     ``4·K`` conditional counts (no row replication); the one aggregate row is
     turned into the long confusion table with ``inline``.
     Returns contamination, offset, macro_f1.
     """
-    offs = score_percentile(train_scores, score, contaminations, exact=exact)
+    offs = score_percentile(train_scores, score, contaminations)
     x, y = F.col(score), F.col(y_det)
     counts, cells = [], []
     for k, (cval, off) in enumerate(zip(contaminations, offs)):

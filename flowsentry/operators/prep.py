@@ -134,10 +134,9 @@ class Scaler:
     params: dict[str, list[float]]
 
     @classmethod
-    def fit(cls, train: DataFrame, columns: Sequence[str], kind: str = "robust",
-            exact: bool = True) -> "Scaler":
+    def fit(cls, train: DataFrame, columns: Sequence[str], kind: str = "robust") -> "Scaler":
         if kind == "robust":
-            qs = stats.quartiles(train, columns, exact=exact)
+            qs = stats.quartiles(train, columns)
             return cls(kind, {n: list(qs[n]) for n in columns})
         ms = stats.mean_std(train, columns)
         return cls(kind, {n: list(ms[n]) for n in columns})

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import c, is_finite
+from .quantile import percentiles
 
 LABEL = "Label"
 
@@ -84,16 +85,10 @@ def variances(df: DataFrame, columns: Sequence[str], fill_missing: float | None
     return {n: r[n] for n in columns}
 
 
-def quartiles(df: DataFrame, columns: Sequence[str], exact: bool = True,
-              accuracy: int = 10000) -> dict[str, tuple[float, float, float]]:
-    """Linear-interpolated 25/50/75 % per column (``percentile``), or
-    ``percentile_approx`` for very large inputs."""
-    def p(n):
-        x = F.when(is_finite(c(n)), c(n))
-        if exact:
-            return F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n)
-        return F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(n)
-    r = _one_row(df, [p(n) for n in columns])
+def quartiles(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
+    """Linear-interpolated 25/50/75 % of the finite values per column, exact at every
+    size."""
+    r = percentiles(df, {n: F.when(is_finite(c(n)), c(n)) for n in columns}, [0.25, 0.5, 0.75])
     return {n: tuple(r[n]) if r[n] is not None else (None, None, None) for n in columns}
 
 

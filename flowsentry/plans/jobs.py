@@ -110,8 +110,7 @@ def prepare(df: DataFrame, cfg: ExperimentConfig, scale: bool = True) -> Prepare
     unscaled = p.withColumn("y_det", clean.detector_label(c(cfg.label)))
     scaler = None
     if scale:
-        exact = counts.get("train", 0) <= metrics.EXACT_PERCENTILE_MAX_ROWS
-        scaler = Scaler.fit(p.filter(c("split") == "train"), feats, "robust", exact=exact)
+        scaler = Scaler.fit(p.filter(c("split") == "train"), feats, "robust")
         p = scaler.transform(p)
     p = p.withColumn("y_det", clean.detector_label(c(cfg.label)))
     return Prepared(p, feats, prep, scaler, counts, unscaled)
@@ -265,7 +264,7 @@ def refit_enriched(base: DetectionResult, added: DataFrame, n_added: int, cfg: E
         tag_keys(added, cfg, 1).select(*rows.columns))
     scaler, n = None, prep.counts.get("train", 0) + n_added
     if prep.scaler is not None:
-        scaler = Scaler.fit(train, prep.features, "robust", exact=n <= metrics.EXACT_PERCENTILE_MAX_ROWS)
+        scaler = Scaler.fit(train, prep.features, "robust")
         rows, train = scaler.transform(rows), scaler.transform(train)
     det = fit_detector(cfg.algorithm, base.params, train, prep.features, list(cfg.key_cols),
                        n_rows=n, seed=cfg.random_state, max_fit_rows=cfg.max_fit_rows)
