@@ -17,7 +17,8 @@ name of their own attempt and then moved, so a repeated task leaves one file.
 
 Defined cases: a null text is empty, an empty text has the end id alone, null document ids
 come first, repeated rows are written each (equal ids in order of their text), an empty table
-writes no file.
+writes no file; ids are those of the library's ``encode`` with ``add_special_tokens=False``, so
+a text that holds the content of an added token gets that token's id.
 """
 
 from __future__ import annotations
@@ -224,18 +225,23 @@ class Encoder:
     A byte-level tokenizer with the usual splitting pattern and no normaliser always cuts
     before a space that a word follows, and around a single line feed, so such pieces are
     encoded on their own and remembered.  Other tokenizers get whole texts.
+
+    With ``added`` the result is the library's plain ``encode``: the content of an added token
+    (such as ``<|endoftext|>``) becomes that token, and texts that may hold one are encoded
+    whole.  Without it special tokens are read as text (``encode_special_tokens``).
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 700_000, added: bool = False):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not added
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.apart = not spec.get("normalizer") and not spec.get("post_processor") and not spec.get("truncation") \
             and not spec.get("padding") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) \
             and not pre.get("add_prefix_space")
+        self.marks = [t["content"] for t in spec.get("added_tokens") or [] if t.get("content") and (added or not t.get("special"))]
         self.bare = _Memo(self.tok.encode, "", limit // 4)
         self.after = _Memo(self.tok.encode, " ", limit, self.bare)
 
@@ -243,7 +249,7 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
-        if not self.apart:
+        if not self.apart or any(m in text for m in self.marks):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _ODD.search(text):
             return b"".join(map(self.bare.__getitem__, _LUMPS.findall(text)))
@@ -263,7 +269,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str,
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        enc = worker_cache(("encoder", tokenizer), lambda: Encoder(tokenizer))
+        enc = worker_cache(("encoder", tokenizer), lambda: Encoder(tokenizer, added=True))
         part, writer, docs_n = TaskContext.get().partitionId(), None, 0
         fs, root = pafs.FileSystem.from_uri(folder)
         name = f"{root}/ids-{part:06d}.tok"

@@ -239,6 +239,20 @@ def test_encoder_equals_the_library(spark):
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_token_files_hold_added_tokens(spark):
+    from tokenizers import Tokenizer
+    path = vocabulary("byte_bpe_50k.json")
+    lib, mine = Tokenizer.from_file(path), tokenbin.Encoder(path, added=True)
+    texts = ["hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|>\n b", "plain <|endoftext |> text"]
+    for t in texts + odd_texts(3000, 7):
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tokenbin.round_trip(spark, docs, "doc_id", "text", path).collect(), key=lambda r: r.doc_id)
+    ids = [np.array(lib.encode(t, add_special_tokens=False).ids + [0], "<u4") for t in texts]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(i), zlib.crc32(i.tobytes())) for i in ids]
+    assert [r.start for r in got] == np.cumsum([0] + [len(i) for i in ids[:-1]]).tolist()
+
+
 def test_token_files_hold_the_corpus(spark):
     from tokenizers import Tokenizer
     lib = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
