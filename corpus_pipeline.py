@@ -59,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key, bad = fresh_name(docs, "row_digest"), fresh_name(docs, "bad_digest")
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.coalesce("text", F.lit(""))))
     found = decontam.contamination(spark, docs.select(digest.alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key",
-                                   text_col="text", item_id="item_id", item_text="text", window=10)
+                                   text_col="text", item_id="item_id", item_text="text", window=10, unnamed=True)
     hit = found.filter(F.size("items") > 0).select(F.col("id").alias(bad)).distinct()
     return docs.withColumn(key, digest).join(hit, F.col(key) == F.col(bad), "left_anti").drop(key)
 

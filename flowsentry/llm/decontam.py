@@ -15,7 +15,9 @@ document.
 
 Defined cases: null and empty texts have no words and no hits; items without words match
 nothing; repeated items count once per item id; repeated documents are judged each; an item
-shorter than the window is one window; empty tables give no rows or no hits.
+shorter than the window is one window; empty tables give no rows or no hits; items with a
+null id are left out unless ``unnamed``, then they are searched and stand together as one null
+at the end of a document's items.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_WORDS, WordHasher, Workspace, slices, utf8
 
+_by_name = lambda item: (item is None, item or "")
+
 BLOCK_BYTES = 1 << 22
 GAP = 64  # empty positions between documents; windows plus slop must be shorter
 
@@ -161,7 +165,7 @@ def search(spark: SparkSession, index: DataFrame, phrases, rank: dict[int, int],
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column("block")[b].as_py()] * n, pa.string()), pa.array(range(n), pa.int32()), ids,
                      pa.array(words, pa.int64()),
-                     pa.array([sorted(items.get(r, ())) for r in range(n)], pa.list_(pa.string())),
+                     pa.array([sorted(items.get(r, ()), key=_by_name) for r in range(n)], pa.list_(pa.string())),
                      pa.array([spans.get(r, []) for r in range(n)],
                               pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))],
                     names=["block", "row", "id", "n_words", "items", "spans"])
@@ -186,23 +190,24 @@ def _united(found: DataFrame) -> DataFrame:
 
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str,
                   item_id: str, item_text: str, window: int = 10, slop: int = 0, max_terms: int = 2_000_000,
-                  group_bytes: int = 64 << 20) -> DataFrame:
+                  group_bytes: int = 64 << 20, unnamed: bool = False) -> DataFrame:
     """One row per document: id, n_words, items (found item ids as strings, sorted), spans.
 
     ``group_bytes`` bounds the test text that is broadcast at once; ``max_terms`` bounds the
-    broadcast list of indexed terms (8 bytes each).
+    broadcast list of indexed terms (8 bytes each); ``unnamed`` searches items of a null id too.
     """
     if window + 2 * slop >= GAP:
         raise ValueError(f"window + 2 * slop must be below {GAP}")
     ws = Workspace(spark, "decontam")
     tests = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")) \
-        .filter("item is not null and text is not null").dropDuplicates()
+        .filter(F.col("text").isNotNull() & (F.lit(unnamed) | F.col("item").isNotNull())).dropDuplicates()
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    part = F.pmod(F.xxhash64("item"), F.lit(groups))
+    part = F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(groups))
 
     def group(g):
-        return phrases_of(sorted((r["item"], r["text"]) for r in tests.filter(part == g).collect()), window)
+        return phrases_of(sorted(((r["item"], r["text"]) for r in tests.filter(part == g).collect()),
+                                 key=lambda r: (_by_name(r[0]), r[1])), window)
 
     known, terms = group(0) if groups == 1 else None, None
     if groups == 1:

@@ -126,7 +126,7 @@ SELECT d.doc_id, coalesce(len(d.ws), 0) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), id_col="doc_id",
-                                   text_col="text", item_id="item_id", item_text="text", window=10)
+                                   text_col="text", item_id="item_id", item_text="text", window=10, unnamed=True)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"])
     return found.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))

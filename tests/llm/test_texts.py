@@ -145,6 +145,24 @@ def test_contamination_matches_brute_force(spark, group_bytes, max_terms):
     assert mine == sorted((str(i), *brute_hits(t, known, 4)) for i, t in docs)
 
 
+@pytest.mark.parametrize("group_bytes", [64 << 20, 8])
+def test_items_without_an_id_are_searched(spark, tmp_path, group_bytes):
+    docs = [(0, "x alpha beta y"), (1, "gamma delta"), (2, "alpha beta, gamma delta eta"), (3, "eta alpha")]
+    items = [(None, "alpha beta"), (None, "gamma delta"), (5, "delta eta")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(spark, d, b, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window=2,
+                                 group_bytes=group_bytes, unnamed=True).collect()
+    assert {r.id: list(r["items"]) for r in got} == {0: [None], 1: [None], 2: ["5", None], 3: []}
+    assert {r.id: sum(s.last - s.first for s in r.spans) for r in got} == {i: brute_hits(t, items, 2)[1] for i, t in docs}
+    sf = str(tmp_path)
+    d.write.parquet(f"{sf}/documents.parquet")
+    b.write.parquet(f"{sf}/benchmark.parquet")
+    hit = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in QUERIES["op8_decontaminate"](spark, sf).collect()}
+    assert hit == {0: (2, 1, True), 1: (2, 1, True), 2: (5, 2, True), 3: (0, 0, False)}
+    assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["decontamination"](spark, d, sf).collect()] == [3]
+
+
 def test_proximity_and_empty(spark):
     d = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha x y z beta gamma"), (3, "gamma")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
