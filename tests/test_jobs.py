@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from flowsentry.config import ExperimentConfig
 from flowsentry.plans import jobs
 from flowsentry.plans.search import classifier_search, iforest_search, parameter_grid

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from flowsentry.operators import splits
 from flowsentry.operators.pca import explained_variance_curve, fit_pca, project
 from flowsentry.operators.prep import PrepModel
