@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, langid, quality, sharding, tokenbin, urlfilter, viterbi
+from . import ann, chat, decontam, jaccard, langid, quality, resample, sharding, tokenbin, urlfilter, viterbi
 from .common import Workspace, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,35 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_url_filter")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, keep=("page_id",))
+
+
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex({0}), 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB has no crc32: the bitwise definition over the text's UTF-8 bytes."""
+    return f"xor({_CRC.format(text)}, 4294967295)"
+
+
+@register("op13_importance_resampling", rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+sw AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM d) GROUP BY w),
+tw AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY w),
+c AS (SELECT w, {crc32_sql('w')} % 10000 AS k FROM (SELECT w FROM sw UNION SELECT w FROM tw)),
+s AS (SELECT k, sum(n) AS s FROM sw JOIN c USING (w) GROUP BY k),
+t AS (SELECT k, sum(n) AS t FROM tw JOIN c USING (w) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM sw) + 10000)::DOUBLE
+        / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM tw) + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM (SELECT DISTINCT k FROM c) LEFT JOIN s USING (k) LEFT JOIN t USING (k)),
+f AS (SELECT doc_id, n, weight, weight + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE)
+        / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM (SELECT d.doc_id, coalesce(len(ws), 0) AS n, coalesce((SELECT sum(gain) FROM (SELECT unnest(ws) AS w) JOIN c USING (w) JOIN g USING (k)), 0)::BIGINT AS weight
+            FROM d)),
+r AS (SELECT *, CASE WHEN n >= 20 THEN row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS FIRST) END AS r FROM f)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN r <= 10 * (SELECT count(*) FROM f WHERE n >= 20) // 100 THEN r END AS rank FROM r""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resample.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), id_col="doc_id", text_col="text",
+                            target_text="text", seed="2024", percent=10, min_words=20, buckets=10_000, max_run=1)
+    return got.withColumnRenamed("id", "doc_id")
