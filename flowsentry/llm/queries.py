@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, langid, quality, resample, sharding, tokenbin, urlfilter, viterbi
+from . import ann, chat, decontam, jaccard, langid, quality, repeats, resample, sharding, tokenbin, urlfilter, viterbi
 from .common import Workspace, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +166,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, keep=("page_id",))
 
 
+@register("op12_repetition_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, limits = F.col("rules"), repeats.Limits()
+    got = repeats.with_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", spans=False)
+    failed = repeats.base_failed(rules, limits)
+    return got.select("doc_id", *[rules[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+                      failed.alias("base_failed"), (~failed & repeats.verdict(rules, limits)).alias("kept"),
+                      *[rules[c].alias(c) for c in ("n_covered", "longest", "n_repeats")])
+
+
 _CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex({0}), 2 * i - 1, 2))::BIGINT)),
     lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))"""
 
