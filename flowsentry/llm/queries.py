@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, langid, quality, repeats, resample, sharding, tokenbin, urlfilter, viterbi
+from . import ann, chat, decontam, jaccard, langid, quality, repeats, resample, sharding, tokenbin, trie, urlfilter, viterbi
 from .common import Workspace, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +167,49 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, keep=("page_id",))
 
 
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex({0}), 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB has no crc32: the bitwise definition over the text's UTF-8 bytes."""
+    return f"xor({_CRC.format(text)}, 4294967295)"
+
+
+def rebuilt(rows: DataFrame, convs: DataFrame) -> DataFrame:
+    """Each conversation's first h turns are those of conversation c - c % 5; h = crc32(c) % 9."""
+    h = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    own = rows.filter(F.col("pos") >= h)
+    base = rows.filter((F.col("conv") % 5 == 0) & (F.col("pos") < 8)).withColumnRenamed("conv", "base")
+    lent = convs.withColumn("base", F.col("conv") - F.col("conv") % 5).join(base, "base").filter(F.col("pos") < h)
+    return own.select("conv", "pos", "digest", "bytes").unionByName(lent.select("conv", "pos", "digest", "bytes"))
+
+
+@register("op11_conversation_trie", f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) - 1 AS p, g, b
+           FROM (SELECT conv_id, turn, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS g,
+                        strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL)),
+i AS (SELECT c, c - c % 5 AS base, {crc32_sql('c::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+u AS (SELECT c, p, g, b FROM t JOIN i USING (c) WHERE p >= h UNION ALL SELECT i.c, p, g, b FROM i JOIN t ON t.c = i.base WHERE p < h),
+l AS (SELECT i.c, coalesce(gs, []::VARCHAR[]) AS gs, bs FROM i LEFT JOIN (SELECT c, list(g ORDER BY p) AS gs, list(b ORDER BY p) AS bs FROM u GROUP BY c) USING (c)),
+n AS (SELECT c, d, len(gs) AS size, array_to_string(gs[1:d], '') AS k, CASE WHEN d = 0 THEN 0 ELSE bs[d] END AS b
+      FROM (SELECT *, unnest(range(0, len(gs) + 1)) AS d FROM l)),
+m AS (SELECT k, min(c) AS conv_id, min(d) AS depth, count(*) AS n_convs, min(b) AS b, count(*) FILTER (d = size) AS stopped,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = size), '')) AS ends_sha256 FROM n GROUP BY k),
+s AS (SELECT n.k, count(*) FILTER (n.d = m.depth - 1) AS n_children, count(*) FILTER (stopped = n_convs) AS n_leaves,
+             sum((n_convs - 1) * m.b) AS saved_tokens FROM m JOIN n ON n.c = m.conv_id AND n.d <= m.depth GROUP BY n.k)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, s.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN s USING (k) LEFT JOIN n ON n.c = m.conv_id AND n.d = m.depth - 1 LEFT JOIN m p ON p.k = n.k""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "conversations")
+    rows = ws.save(trie.turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text"), "turns")
+    convs = rows.filter("pos = 0").select("conv")
+    built = trie.build(spark, rebuilt(rows, convs), convs)
+    got = built.nodes.join(built.end_digests(), "node", "left")
+    return got.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+                      F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))
+
+
 @register("op12_repetition_rules")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, limits = F.col("rules"), repeats.Limits()
@@ -176,15 +220,6 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
                       *[rules[c].alias(c) for c in ("n_covered", "longest", "n_repeats")])
 
 
-_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda i: ('0x' || substr(hex({0}), 2 * i - 1, 2))::BIGINT)),
-    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))"""
-
-
-def crc32_sql(text: str) -> str:
-    """DuckDB has no crc32: the bitwise definition over the text's UTF-8 bytes."""
-    return f"xor({_CRC.format(text)}, 4294967295)"
-
-
 @register("op13_importance_resampling", rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
