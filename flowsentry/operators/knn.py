@@ -1,13 +1,25 @@
-"""Exact k-nearest neighbours as a distributed block join (M4).
-
-Query rows and reference rows are hash-assigned to ``Bq`` and ``Br`` blocks
-of at most ``block_rows`` rows (uniform by construction, so no hot block).
-Each query block meets each reference block in one ``cogroup`` task that
-computes the exact distances with numpy in row chunks and keeps only the k
-best per query row; the ``Br·k`` candidates of a query row are then cut to k
-by a window partitioned by the query key.  Exact kNN costs |Q|·|R| distance
-evaluations whatever the plan; this keeps memory per task bounded and moves
-only ``k`` candidates per (row, block) through the shuffle, never all pairs.
+"""k-nearest neighbours (M4): exact by pivots, or approximate by random projections.
+
+Both modes work on *points*: equal vectors are one point that lists its k + 1 smallest keys, so a
+vector shared by half of all rows is met once, and its rows get their neighbours by a join.
+
+Exact mode.  Up to ``MAX_PIVOTS`` points are pivots.  Every reference point belongs to the cell of
+its nearest pivot; large cells are cut into rings by distance to the pivot, rings that are
+still larger than ``block_rows`` into blocks by hash.  For a query the triangle inequality
+bounds its distance to a whole ring from below, by the ring's distances to its pivot and by the
+two pivots' distances.  A first round searches the most promising ring of each query and so
+bounds its k-th distance from above; the second searches just the rings whose lower bound does
+not exceed that.  Rings are skipped without looking at their points, and no neighbour is lost.
+
+Every search is a ``cogroup`` of at most ``block_rows`` queries with at most ``block_rows``
+points; it keeps the k best of each query, which a window by query merges.
+
+Approximate mode: see ``lsh.py``.
+
+Defined cases: rows with a null key take no part, nor do vectors that are null or hold a null,
+NaN or infinite component (they are neither queries nor neighbours); keys must be integers;
+rows that repeat a key are one neighbour each; ties go to the smaller key; with fewer than k
+candidates all of them are returned.
 """
 
 from __future__ import annotations
@@ -17,10 +29,12 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import c
+from ..session import cut_lineage
 
 METRICS = ("euclidean", "manhattan")
 
@@ -29,18 +43,31 @@ METRICS = ("euclidean", "manhattan")
 REL_ERR = 1e-11
 ABS_ERR = 1e-300
 
+CELL_ROWS = 4096     # points of a cell, about, while that needs no more than MAX_PIVOTS
+MAX_PIVOTS = 1024
+MAX_RINGS = 64
+SLACK = 1e-9         # relative slack of the triangle bounds, far above rounding errors
+
 
 def as_vector(df: DataFrame, key: str, features: Sequence[str] | str) -> DataFrame:
-    """(key, vec array<double>) from scalar feature columns or one array column."""
+    """(key, vec array<double>) of the rows that can take part."""
+    if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"neighbour search needs an integer key, {key} is {df.schema[key].dataType.simpleString()}")
     if isinstance(features, str):
         vec = c(features).cast("array<double>")
     else:
         vec = F.array(*[c(f).cast("double") for f in features])
-    return df.select(c(key).cast("long").alias("key"), vec.alias("vec"))
+    rows = df.select(c(key).cast("long").alias("key"), vec.alias("vec"))
+    finite = F.forall("vec", lambda x: F.coalesce((x - x) == F.lit(0.0), F.lit(False)))
+    return rows.filter(F.col("key").isNotNull() & F.coalesce(finite, F.lit(False)))
 
 
-def _block(key: Column, n_blocks: int, seed: int, side: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(side), key), F.lit(n_blocks)).cast("int")
+def points(rows: DataFrame, copies: int) -> DataFrame:
+    """(pid, vec, keys): each distinct vector with its smallest key and its ``copies`` smallest keys."""
+    at = Window.partitionBy("vec").orderBy("key")
+    first = rows.withColumn("_n", F.row_number().over(at)).filter(F.col("_n") <= copies)
+    return first.groupBy("vec").agg(F.min("key").alias("pid"), F.sort_array(F.collect_list("key")).alias("keys")) \
+        .select("pid", "vec", "keys")
 
 
 def pair_distances(Q: np.ndarray, R: np.ndarray, metric: str) -> np.ndarray:
@@ -138,39 +165,205 @@ def local_topk(qk: np.ndarray, Q: np.ndarray, rk: np.ndarray, R: np.ndarray, k:
                          "dist": np.concatenate(outs_d)})
 
 
-def knn(query: DataFrame, ref: DataFrame, k: int, metric: str = "euclidean",
-        exclude_self: bool = False, block_rows: int = 20000, seed: int = 42,
-        n_query: int | None = None, n_ref: int | None = None) -> DataFrame:
-    """Exact k nearest reference rows for every query row.
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list<double> column as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def search_blocks(queries: DataFrame, refs: DataFrame, block: str, k: int, metric: str) -> DataFrame:
+    """(q, p, r, dist): the k best rows of each block for each of its queries.
+
+    ``queries`` is (block, pid, vec), ``refs`` (block, pid, vec, keys).  The k best rows lie among
+    the k best points by (distance, smallest key).
+    """
+    names = ["q", "p", "r", "dist"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"q": pa.array([], pa.int64()), "p": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        _, qk, Q = (x.combine_chunks() for x in left.columns)
+        _, rk, R, keys = (x.combine_chunks() for x in right.columns)
+        qk, rk = qk.to_numpy(), rk.to_numpy()
+        best = local_topk(qk, matrix(Q), rk, matrix(R), k, metric, False)
+        q, p, dist = (best[n].to_numpy() for n in ("q", "r", "dist"))
+        ends = keys.offsets.to_numpy()
+        flat = keys.values.to_numpy()
+        by = np.argsort(rk, kind="stable")
+        at = by[np.searchsorted(rk[by], p.astype(np.int64))]
+        copies = (ends[1:] - ends[:-1])[at]
+        if len(copies) and copies.max() > 1:  # a point stands for its rows
+            inner = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            r = flat[np.repeat(ends[at], copies) + inner]
+            q, p, dist = (np.repeat(x, copies) for x in (q, p, dist))
+            order = np.lexsort((r, dist, q))
+            q, p, r, dist = q[order], p[order], r[order], dist[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+            q, p, r, dist = q[keep], p[keep], r[keep], dist[keep]
+        else:
+            r = flat[ends[at]]
+        return pa.table([pa.array(x, t) for x, t in zip((q.astype(np.int64), p.astype(np.int64), r, dist), (pa.int64(),) * 3 + (pa.float64(),))], names=names)
+
+    # both sides may come from one table: new names keep their columns apart
+    left = queries.select(F.col(block).alias("q_block"), F.col("pid").alias("q_pid"), F.col("vec").alias("q_vec"))
+    right = refs.select(F.col(block).alias("r_block"), F.col("pid").alias("r_pid"), F.col("vec").alias("r_vec"), F.col("keys").alias("r_keys"))
+    return left.groupBy("q_block").cogroup(right.groupBy("r_block")).applyInArrow(run, "q long, p long, r long, dist double")
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The k best (q, p, r, dist) of each query with their rank."""
+    w = Window.partitionBy("q").orderBy("dist", "r")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _plain(query: DataFrame, ref: DataFrame, nq: int, nr: int, k: int, metric: str, block_rows: int) -> DataFrame:
+    """One cell: every block of queries meets every block of points."""
+    bq, br = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
+    mine = F.pmod(F.xxhash64("pid"), F.lit(bq)) * br
+    theirs = F.pmod(F.xxhash64("pid"), F.lit(br))
+    q = query.withColumn("block", F.explode(F.sequence(mine, mine + (br - 1))))
+    r = ref.withColumn("block", F.explode(F.sequence(theirs, theirs + (bq - 1) * br, F.lit(br).cast("long"))))
+    return merged(search_blocks(q, r, "block", k, metric), k)
+
 
-    Inputs are ``(key long, vec array<double>)``.  Returns ``(q, r, dist, rank)``
-    with rank 1..k ordered by (dist, r).  ``exclude_self`` drops ``q == r`` pairs
-    (fitting on the reference set itself).
+class PivotSearch:
+    """Exact search of ``query`` points among ``ref`` points by pivots and rings.
+
+    ``visits`` counts the (query, ring) pairs that were searched, ``pairs`` all of them.
     """
+
+    def __init__(self, query: DataFrame, ref: DataFrame, n_ref: int, k: int, metric: str, block_rows: int, seed: int,
+                 cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS):
+        self.spark, self.k, self.metric, self.block_rows = ref.sparkSession, k, metric, block_rows
+        n = min(max_pivots, math.ceil(n_ref / cell_rows))
+        drawn = ref.orderBy(F.xxhash64(F.lit(seed), "pid"), "pid").limit(n).select("vec").collect()
+        self.pivots = np.array([r["vec"] for r in drawn], float)
+        ref, query = cut_lineage(self._placed(ref)), cut_lineage(query.select("pid", "vec"))
+        ref = self._ringed(ref)
+        self.rings = sorted(tuple(r) for r in ref.groupBy("cell", "ring").agg(
+            F.min("away").alias("lo"), F.max("away").alias("hi"), F.count("*").alias("points"), F.sum(F.size("keys")).alias("rows")).collect())
+        self.ref = ref.join(F.broadcast(self._numbers()), ["cell", "ring"]) \
+            .withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")))
+        self.pairs = query.count() * len(self.rings)
+        first = cut_lineage(merged(self._round(query, None), k))
+        known = first.groupBy("q").agg(F.max(F.when(F.col("rank") == k, F.col("dist"))).alias("bound"))
+        rest = self._round(query.join(known, F.col("pid") == F.col("q"), "left").drop("q"), "bound")
+        self.entries = merged(first.drop("rank").unionByName(rest), k)
+
+    def _placed(self, ref: DataFrame) -> DataFrame:
+        pivots, metric = self.spark.sparkContext.broadcast(self.pivots), self.metric
+
+        def run(batches):
+            for batch in batches:
+                X = matrix(batch.column(1))
+                D = pair_distances(X, pivots.value, metric)
+                cell = D.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(D[np.arange(len(X)), cell])],
+                                                 names=[*batch.schema.names, "cell", "away"])
+
+        return ref.select("pid", "vec", "keys").mapInArrow(run, "pid long, vec array<double>, keys array<long>, cell int, away double")
+
+    def _ringed(self, ref: DataFrame) -> DataFrame:
+        """Rings of about ``CELL_ROWS`` points, at most MAX_RINGS to a cell, by quantiles of the distance to the pivot."""
+        share = [i / MAX_RINGS for i in range(1, MAX_RINGS)]
+        cells = ref.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("away", share, 10_000).alias("cuts")).collect()
+        table = []
+        for r in cells:
+            rings = min(MAX_RINGS, math.ceil(r["n"] / (2 * CELL_ROWS)))
+            table.append((r["cell"], sorted({r["cuts"][MAX_RINGS * i // rings - 1] for i in range(1, rings)})))
+        cuts = self.spark.createDataFrame(table, "cell int, cuts array<double>")
+        above = F.size(F.filter("cuts", lambda x: F.col("away") > x))
+        return ref.join(F.broadcast(cuts), "cell").withColumn("ring", above).drop("cuts")
+
+    def _numbers(self) -> DataFrame:
+        rows = [(i, r[0], r[1], math.ceil(r[4] / self.block_rows)) for i, r in enumerate(self.rings)]
+        return self.spark.createDataFrame(rows, "unit int, cell int, ring int, parts int")
+
+    def _round(self, query: DataFrame, bound: str | None) -> DataFrame:
+        """Search the promising rings (no ``bound``), or all others within each query's ``bound``."""
+        rings = self.rings
+        sent = self.spark.sparkContext.broadcast((self.pivots, np.array([r[0] for r in rings]), np.array([r[2] for r in rings]),
+                                                  np.array([r[3] for r in rings]), np.array([r[5] for r in rings])))
+        k, metric = self.k, self.metric
+
+        def run(batches):
+            pivots, cell, lo, hi, held = sent.value
+            step = max(1, 4_000_000 // len(cell))
+            for batch in batches:
+                for s in range(0, len(batch), step):
+                    part = batch.slice(s, step)
+                    D = pair_distances(matrix(part.column(1)), pivots, metric)
+                    away = D[:, cell]
+                    low = np.maximum(np.maximum(lo - away, away - hi), (away - D.min(axis=1)[:, None]) / 2)
+                    home = _promising(low, away, held, k)
+                    if bound is None:
+                        q, unit = np.nonzero(home)
+                    else:
+                        most = part.column(2).to_numpy(zero_copy_only=False).astype(float)
+                        most = np.where(np.isnan(most), np.inf, most)[:, None]
+                        q, unit = np.nonzero((low * (1 - SLACK) <= most * (1 + SLACK)) & ~home)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q)), part.column(1).take(pa.array(q)),
+                                                      pa.array(unit.astype(np.int32))], names=["pid", "vec", "unit"])
+
+        asked = query.select("pid", "vec", *([bound] if bound else [])).mapInArrow(run, "pid long, vec array<double>, unit int")
+        asked = cut_lineage(asked)
+        counts = asked.groupBy("unit").agg(F.count("*").alias("n")).collect()
+        self.visits = getattr(self, "visits", 0) + sum(r["n"] for r in counts)
+        parts = {i: math.ceil(r[4] / self.block_rows) for i, r in enumerate(rings)}
+        size = self.spark.createDataFrame([(r["unit"], math.ceil(r["n"] / self.block_rows), parts[r["unit"]]) for r in counts],
+                                          "unit int, q_parts int, r_parts int")
+        q = asked.join(F.broadcast(size), "unit").withColumn("q_part", F.pmod(F.xxhash64("pid"), F.col("q_parts"))) \
+            .withColumn("r_part", F.explode(F.sequence(F.lit(0), F.col("r_parts") - 1)))
+        r = self.ref.join(F.broadcast(size.select("unit", "q_parts")), "unit") \
+            .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))).withColumnRenamed("part", "r_part")
+        block = F.struct(F.col("unit"), F.col("q_part").cast("long").alias("qp"), F.col("r_part").cast("long").alias("rp")).alias("block")
+        return search_blocks(q.select(block, "pid", "vec"), r.select(block, "pid", "vec", "keys"), "block", k, metric)
+
+
+def _promising(low: np.ndarray, away: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
+    """Per query the rings of least lower bound (then nearest pivot) that hold k rows together."""
+    home = np.zeros(low.shape, bool)
+    best = np.lexsort((away, low), axis=1)[:, 0] if low.shape[1] <= 256 else low.argmin(axis=1)
+    home[np.arange(len(low)), best] = True
+    for i in np.flatnonzero(held[best] < k):
+        order = np.lexsort((away[i], low[i]))
+        home[i, order[:1 + int(np.searchsorted(np.cumsum(held[order]), k))]] = True
+    return home
+
+
+def entries(query: DataFrame, ref: DataFrame, k: int, metric: str, n_query: int, n_ref: int, block_rows: int = 20000, seed: int = 42,
+            mode: str = "exact", recall: float = 0.95) -> DataFrame:
+    """(q, p, r, dist, rank): the k nearest rows r (of point p) of each query point; see ``points``."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    if mode == "approx":
+        from .lsh import ProjectionSearch
+        return ProjectionSearch(query, ref, n_ref, k, metric, block_rows=block_rows, seed=seed, recall=recall).entries
+    if mode != "exact":
+        raise ValueError("mode must be exact or approx")
+    if n_ref <= CELL_ROWS:
+        return _plain(query, ref, n_query, n_ref, k, metric, block_rows)
+    return PivotSearch(query, ref, n_ref, k, metric, block_rows, seed).entries
+
+
+def knn(query: DataFrame, ref: DataFrame, k: int, metric: str = "euclidean",
+        exclude_self: bool = False, block_rows: int = 20000, seed: int = 42,
+        n_query: int | None = None, n_ref: int | None = None, mode: str = "exact", recall: float = 0.95) -> DataFrame:
+    """k nearest reference rows for every query row.
+
+    Inputs are ``(key long, vec array<double>)`` (see ``as_vector``).  Returns ``(q, r, dist,
+    rank)`` with rank 1..k ordered by (dist, r).  ``exclude_self`` drops ``q == r`` pairs
+    (fitting on the reference set itself).  ``mode="approx"`` finds about ``recall`` of them.
+    """
     nq = n_query if n_query is not None else query.count()
     nr = n_ref if n_ref is not None else ref.count()
-    bq = max(1, math.ceil(nq / block_rows))
-    br = max(1, math.ceil(nr / block_rows))
-    q = query.select(F.col("key"), F.col("vec"), _block(F.col("key"), bq, seed, "q").alias("qb"))
-    r = ref.select(F.col("key"), F.col("vec"), _block(F.col("key"), br, seed, "r").alias("rb"))
-    # every query block meets every reference block once
-    q_rep = q.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1))))
-    r_rep = r.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-
-    def run(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({"q": pd.Series([], dtype="int64"),
-                                 "r": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        Q = np.stack(qpdf["vec"].to_numpy()).astype(float)
-        R = np.stack(rpdf["vec"].to_numpy()).astype(float)
-        return local_topk(qpdf["key"].to_numpy(np.int64), Q, rpdf["key"].to_numpy(np.int64),
-                          R, k, metric, exclude_self)
-
-    cand = (q_rep.groupBy("qb", "rb")
-            .cogroup(r_rep.groupBy("qb", "rb"))
-            .applyInPandas(run, "q long, r long, dist double"))
-    w = Window.partitionBy("q").orderBy("dist", "r")
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    most = k + 1 if exclude_self else k
+    rp = points(ref, most)
+    qp = rp if query is ref else points(query, 1)
+    near = entries(qp, rp, most, metric, nq, nr, block_rows, seed, mode, recall)
+    lists = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("dist", "r"))).alias("near"))
+    mine = F.filter("near", lambda x: x["r"] != F.col("key")) if exclude_self else F.col("near")
+    rows = query.join(qp.select("pid", F.col("vec").alias("at")), F.col("vec") == F.col("at")) \
+        .join(lists, F.col("pid") == F.col("q")).select("key", F.slice(mine, 1, k).alias("near"))
+    return rows.select(F.col("key").alias("q"), F.posexplode("near").alias("i", "x")) \
+        .select("q", F.col("x")["r"].alias("r"), F.col("x")["dist"].alias("dist"), (F.col("i") + 1).alias("rank"))
