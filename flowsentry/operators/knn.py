@@ -10,6 +10,8 @@ bounds its distance to a whole ring from below, by the ring's distances to its p
 two pivots' distances.  A first round searches the most promising ring of each query and so
 bounds its k-th distance from above; the second searches just the rings whose lower bound does
 not exceed that.  Rings are skipped without looking at their points, and no neighbour is lost.
+Where the counted visits show that half of all pairs or more remain (data without structure),
+every block of queries meets every block of points instead, which moves fewer copies.
 
 Every search is a ``cogroup`` of at most ``block_rows`` queries with at most ``block_rows``
 points; it keeps the k best of each query, which a window by query merges.
@@ -43,8 +45,9 @@ METRICS = ("euclidean", "manhattan")
 REL_ERR = 1e-11
 ABS_ERR = 1e-300
 
-CELL_ROWS = 4096     # points of a cell, about, while that needs no more than MAX_PIVOTS
-MAX_PIVOTS = 1024
+PLAIN_ROWS = 16384   # so few rows are searched without pivots
+RING_ROWS = 1024     # least points of a ring, about
+MAX_PIVOTS = 1024    # at most; otherwise the square root of the rows
 MAX_RINGS = 64
 SLACK = 1e-9         # relative slack of the triangle bounds, far above rounding errors
 
@@ -229,26 +232,32 @@ def _plain(query: DataFrame, ref: DataFrame, nq: int, nr: int, k: int, metric: s
 class PivotSearch:
     """Exact search of ``query`` points among ``ref`` points by pivots and rings.
 
-    ``visits`` counts the (query, ring) pairs that were searched, ``pairs`` all of them.
+    ``visits`` counts the (query, ring) pairs that the bounds leave, ``pairs`` all of them;
+    ``pruned`` says whether that is less than half of the (query, point) pairs.
     """
 
-    def __init__(self, query: DataFrame, ref: DataFrame, n_ref: int, k: int, metric: str, block_rows: int, seed: int,
-                 cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS):
+    def __init__(self, query: DataFrame, ref: DataFrame, n_ref: int, k: int, metric: str, block_rows: int, seed: int):
         self.spark, self.k, self.metric, self.block_rows = ref.sparkSession, k, metric, block_rows
-        n = min(max_pivots, math.ceil(n_ref / cell_rows))
+        n = min(MAX_PIVOTS, math.ceil(math.sqrt(n_ref)))
         drawn = ref.orderBy(F.xxhash64(F.lit(seed), "pid"), "pid").limit(n).select("vec").collect()
         self.pivots = np.array([r["vec"] for r in drawn], float)
-        ref, query = cut_lineage(self._placed(ref)), cut_lineage(query.select("pid", "vec"))
-        ref = self._ringed(ref)
-        self.rings = sorted(tuple(r) for r in ref.groupBy("cell", "ring").agg(
+        query, self.ref = cut_lineage(query.select("pid", "vec")), cut_lineage(self._ringed(cut_lineage(self._placed(ref))))
+        self.rings = sorted(tuple(r) for r in self.ref.groupBy("cell", "ring").agg(
             F.min("away").alias("lo"), F.max("away").alias("hi"), F.count("*").alias("points"), F.sum(F.size("keys")).alias("rows")).collect())
-        self.ref = ref.join(F.broadcast(self._numbers()), ["cell", "ring"]) \
+        self.ref = self.ref.join(F.broadcast(self._numbers()), ["cell", "ring"]) \
             .withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")))
-        self.pairs = query.count() * len(self.rings)
-        first = cut_lineage(merged(self._round(query, None), k))
+        n_query = query.count()
+        self.pairs, self.visits = n_query * len(self.rings), 0
+        first = cut_lineage(merged(self._round(query, None, self._counts(query, None)), k))
         known = first.groupBy("q").agg(F.max(F.when(F.col("rank") == k, F.col("dist"))).alias("bound"))
-        rest = self._round(query.join(known, F.col("pid") == F.col("q"), "left").drop("q"), "bound")
-        self.entries = merged(first.drop("rank").unionByName(rest), k)
+        bounded = cut_lineage(query.join(known, F.col("pid") == F.col("q"), "left").drop("q"))
+        counts = self._counts(bounded, "bound")
+        met = sum(n * self.rings[u][4] for u, n in counts.items())
+        self.pruned = 2 * met < n_query * sum(r[4] for r in self.rings)
+        if self.pruned:
+            self.entries = merged(first.drop("rank").unionByName(self._round(bounded, "bound", counts)), k)
+        else:
+            self.entries = _plain(query, self.ref.select("pid", "vec", "keys"), n_query, n_ref, k, metric, block_rows)
 
     def _placed(self, ref: DataFrame) -> DataFrame:
         pivots, metric = self.spark.sparkContext.broadcast(self.pivots), self.metric
@@ -264,12 +273,12 @@ class PivotSearch:
         return ref.select("pid", "vec", "keys").mapInArrow(run, "pid long, vec array<double>, keys array<long>, cell int, away double")
 
     def _ringed(self, ref: DataFrame) -> DataFrame:
-        """Rings of about ``CELL_ROWS`` points, at most MAX_RINGS to a cell, by quantiles of the distance to the pivot."""
+        """Rings of ``RING_ROWS`` points or more, at most MAX_RINGS to a cell, by quantiles of the distance to the pivot."""
         share = [i / MAX_RINGS for i in range(1, MAX_RINGS)]
         cells = ref.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("away", share, 10_000).alias("cuts")).collect()
         table = []
         for r in cells:
-            rings = min(MAX_RINGS, math.ceil(r["n"] / (2 * CELL_ROWS)))
+            rings = min(MAX_RINGS, math.ceil(r["n"] / (2 * RING_ROWS)))
             table.append((r["cell"], sorted({r["cuts"][MAX_RINGS * i // rings - 1] for i in range(1, rings)})))
         cuts = self.spark.createDataFrame(table, "cell int, cuts array<double>")
         above = F.size(F.filter("cuts", lambda x: F.col("away") > x))
@@ -279,8 +288,8 @@ class PivotSearch:
         rows = [(i, r[0], r[1], math.ceil(r[4] / self.block_rows)) for i, r in enumerate(self.rings)]
         return self.spark.createDataFrame(rows, "unit int, cell int, ring int, parts int")
 
-    def _round(self, query: DataFrame, bound: str | None) -> DataFrame:
-        """Search the promising rings (no ``bound``), or all others within each query's ``bound``."""
+    def _asked(self, query: DataFrame, bound: str | None, counting: bool) -> DataFrame:
+        """(pid, vec, unit) of the promising rings (no ``bound``) or of all others within it; or (unit, n) per batch."""
         rings = self.rings
         sent = self.spark.sparkContext.broadcast((self.pivots, np.array([r[0] for r in rings]), np.array([r[2] for r in rings]),
                                                   np.array([r[3] for r in rings]), np.array([r[5] for r in rings])))
@@ -295,29 +304,40 @@ class PivotSearch:
                     D = pair_distances(matrix(part.column(1)), pivots, metric)
                     away = D[:, cell]
                     low = np.maximum(np.maximum(lo - away, away - hi), (away - D.min(axis=1)[:, None]) / 2)
-                    home = _promising(low, away, held, k)
-                    if bound is None:
-                        q, unit = np.nonzero(home)
-                    else:
+                    need = home = _promising(low, away, held, k)
+                    if bound is not None:
                         most = part.column(2).to_numpy(zero_copy_only=False).astype(float)
                         most = np.where(np.isnan(most), np.inf, most)[:, None]
-                        q, unit = np.nonzero((low * (1 - SLACK) <= most * (1 + SLACK)) & ~home)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q)), part.column(1).take(pa.array(q)),
-                                                      pa.array(unit.astype(np.int32))], names=["pid", "vec", "unit"])
-
-        asked = query.select("pid", "vec", *([bound] if bound else [])).mapInArrow(run, "pid long, vec array<double>, unit int")
-        asked = cut_lineage(asked)
-        counts = asked.groupBy("unit").agg(F.count("*").alias("n")).collect()
-        self.visits = getattr(self, "visits", 0) + sum(r["n"] for r in counts)
-        parts = {i: math.ceil(r[4] / self.block_rows) for i, r in enumerate(rings)}
-        size = self.spark.createDataFrame([(r["unit"], math.ceil(r["n"] / self.block_rows), parts[r["unit"]]) for r in counts],
-                                          "unit int, q_parts int, r_parts int")
-        q = asked.join(F.broadcast(size), "unit").withColumn("q_part", F.pmod(F.xxhash64("pid"), F.col("q_parts"))) \
-            .withColumn("r_part", F.explode(F.sequence(F.lit(0), F.col("r_parts") - 1)))
+                        need = (low * (1 - SLACK) <= most * (1 + SLACK)) & ~home
+                    q, unit = np.nonzero(need)
+                    if counting:
+                        n = np.bincount(unit, minlength=len(cell))
+                        u = np.flatnonzero(n)
+                        yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(n[u])], names=["unit", "n"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(q)), part.column(1).take(pa.array(q)),
+                                                          pa.array(unit.astype(np.int32))], names=["pid", "vec", "unit"])
+
+        return query.select("pid", "vec", *([bound] if bound else [])).mapInArrow(
+            run, "unit int, n long" if counting else "pid long, vec array<double>, unit int")
+
+    def _counts(self, query: DataFrame, bound: str | None) -> dict[int, int]:
+        """Queries of each ring (one number per ring reaches the driver)."""
+        counts = {r["unit"]: r["n"] for r in self._asked(query, bound, True).groupBy("unit").agg(F.sum("n").alias("n")).collect()}
+        self.visits += sum(counts.values())
+        return counts
+
+    def _round(self, query: DataFrame, bound: str | None, counts: dict[int, int]) -> DataFrame:
+        """Search the asked rings, in blocks of at most ``block_rows`` queries and points."""
+        size = self.spark.createDataFrame(
+            [(u, math.ceil(n / self.block_rows), math.ceil(self.rings[u][4] / self.block_rows)) for u, n in counts.items()],
+            "unit int, q_parts long, r_parts long")
+        q = self._asked(query, bound, False).join(F.broadcast(size), "unit").withColumn("qp", F.pmod(F.xxhash64("pid"), F.col("q_parts"))) \
+            .withColumn("rp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r_parts") - 1)))
         r = self.ref.join(F.broadcast(size.select("unit", "q_parts")), "unit") \
-            .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))).withColumnRenamed("part", "r_part")
-        block = F.struct(F.col("unit"), F.col("q_part").cast("long").alias("qp"), F.col("r_part").cast("long").alias("rp")).alias("block")
-        return search_blocks(q.select(block, "pid", "vec"), r.select(block, "pid", "vec", "keys"), "block", k, metric)
+            .withColumn("qp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts") - 1))).withColumn("rp", F.col("part").cast("long"))
+        block = F.struct("unit", "qp", "rp").alias("block")
+        return search_blocks(q.select(block, "pid", "vec"), r.select(block, "pid", "vec", "keys"), "block", self.k, self.metric)
 
 
 def _promising(low: np.ndarray, away: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
@@ -341,7 +361,7 @@ def entries(query: DataFrame, ref: DataFrame, k: int, metric: str, n_query: int,
         return ProjectionSearch(query, ref, n_ref, k, metric, block_rows=block_rows, seed=seed, recall=recall).entries
     if mode != "exact":
         raise ValueError("mode must be exact or approx")
-    if n_ref <= CELL_ROWS:
+    if n_ref <= PLAIN_ROWS:
         return _plain(query, ref, n_query, n_ref, k, metric, block_rows)
     return PivotSearch(query, ref, n_ref, k, metric, block_rows, seed).entries
 

@@ -61,6 +61,15 @@ def m4_knn_exact(spark, sf):
                      F.round("dist", 6).alias("dist"))
 
 
+@register("m4_knn_approx")
+def m4_knn_approx(spark, sf):
+    """M4, approximate mode: neighbours of every embedding by calibrated random projections."""
+    v = as_vector(emb(spark, sf), "vec_id", "embedding")
+    nb = knn(v, v, K, "euclidean", exclude_self=True, mode="approx", recall=0.95)
+    return nb.select("q", "r", F.col("rank").cast("long").alias("rank"),
+                     F.round("dist", 6).alias("dist"))
+
+
 def _lof_sql(tail: str) -> str:
     return f"""WITH {EMB_CTE}, {novelty_cte('e', 'vec_id')},
 tr AS (SELECT e.* FROM e JOIN ns USING (vec_id) WHERE ns.split = 'train'),
