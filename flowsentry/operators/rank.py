@@ -1,16 +1,8 @@
-"""Distributed ranks without a single-task window.
-
-``rank_by_hash`` gives every row its 1-based position inside its group when
-rows are ordered by ``md5(seed|purpose|key)`` (ties broken by the key).  A
-window over the whole group would put a whole class on one task; instead the
-hash prefix splits each group into ``16**digits`` buckets that are uniform by
-construction, the tiny per-bucket histogram is prefix-summed and joined back,
-and ``row_number`` runs inside (group, bucket) only.
-
-``rank_by_order`` does the same for an explicit order (positional splits):
-range partitioning on the full order key (so a hot value of the first order
-column is still split across tasks), a checkpoint, per-partition counts,
-offsets.
+"""Ranks, cuts and draws in hash order or in an explicit order, without a single-task window.
+
+Rows of a group are ordered by ``md5(seed|purpose|key)``, ties broken by the key.  Neither the
+table is sorted nor a class put on one task: ``hash_cuts`` and ``order_cuts`` find the keys at a
+few ranks, ``rows_at`` fetches the rows at many ranks.
 """
 
 from __future__ import annotations
@@ -19,15 +11,14 @@ import math
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import c
 from ..session import cut_lineage
 
-# Offsets tables at or below this many rows are broadcast; above, a shuffle join.
-MAX_BROADCAST_ROWS = 2_000_000
-
 
 def hash_key(key_cols: Sequence[str], seed: int | str, purpose: str) -> Column:
     """Hex md5 of ``seed|purpose|key…``; identical in Spark SQL and DuckDB."""
@@ -35,82 +26,66 @@ def hash_key(key_cols: Sequence[str], seed: int | str, purpose: str) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def rank_by_hash(df: DataFrame, key_cols: Sequence[str], seed: int | str, purpose: str,
-                 group_cols: Sequence[str] = (), out: str = "_rank",
-                 digits: int = 4, keep_hash: bool = False) -> DataFrame:
-    """Append ``out`` = 1-based rank inside ``group_cols`` by hash order."""
-    return rank_by_hash_with_counts(df, key_cols, seed, purpose, group_cols, out, digits,
-                                    keep_hash)[0]
-
-
-def rank_by_hash_with_counts(df: DataFrame, key_cols: Sequence[str], seed: int | str,
-                             purpose: str, group_cols: Sequence[str] = (), out: str = "_rank",
-                             digits: int = 4, keep_hash: bool = False
-                             ) -> tuple[DataFrame, dict]:
-    """``rank_by_hash`` plus the row count per group, read from the (cached)
-    bucket histogram, so callers need no separate counting pass."""
-    group_cols = list(group_cols)
-    h = hash_key(key_cols, seed, purpose)
-    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
-    hist = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    if group_cols:
-        # Histogram rows per group ≤ 16**digits, so this window's partitions are bounded.
-        w = Window.partitionBy(*group_cols).orderBy("_b")
-        offsets = hist.select(
-            *group_cols, "_b", "_cnt",
-            F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                       F.lit(0)).alias("_off")).cache()
-        n_rows = offsets.count()
-        totals = offsets.groupBy(*group_cols).agg(F.sum("_cnt").alias("n")).collect()
-        counts = {tuple(r[g] for g in group_cols) if len(group_cols) != 1
-                  else r[group_cols[0]]: int(r["n"]) for r in totals}
-    else:
-        # One group: the histogram has at most 16**digits rows by construction;
-        # its prefix sums are computed on the driver and broadcast back.
-        rows = sorted((r["_b"], int(r["_cnt"])) for r in hist.collect())
-        acc, table = 0, []
-        for b, n in rows:
-            table.append((b, n, acc))
-            acc += n
-        offsets = df.sparkSession.createDataFrame(table, "_b string, _cnt long, _off long")
-        n_rows = len(table)
-        counts = {(): acc} if table else {}
-    small = offsets.drop("_cnt")
-    if n_rows <= MAX_BROADCAST_ROWS:
-        small = F.broadcast(small)
-    joined = d.join(small, on=[*group_cols, "_b"], how="inner")
-    wb = Window.partitionBy(*group_cols, "_b").orderBy("_h", *[c(k) for k in key_cols])
-    ranked = joined.withColumn(out, (F.col("_off") + F.row_number().over(wb)).cast("long"))
-    drop = ["_b", "_off"] + ([] if keep_hash else ["_h"])
-    return ranked.drop(*drop), counts
-
-
-def rank_by_order(df: DataFrame, order_cols: Sequence[str], out: str = "_pos",
-                  partitions: int | None = None) -> DataFrame:
-    """Append ``out`` = 1-based global position under ``order_cols`` (must be unique)."""
+# ---------------------------------------------------------------------------
+# Rows at given ranks
+#
+# The hash is read as digits.  One narrow pass counts rows by a prefix; the
+# prefixes that hold a wanted rank stay open and are counted by longer prefixes
+# (only their rows), until the open ones hold two rows per wanted rank at most.
+# So however many rows there are, about as many as are wanted get shuffled.
+
+CODE_DIGITS = 15           # hex digits of the hash in one integer
+PREFIX_ROWS = 1 << 20      # prefixes counted in one pass, at most (they reach the driver)
+
+
+def _prefix(code: Column, digits: int) -> Column:
+    return F.shiftright(code, 4 * (CODE_DIGITS - digits))
+
+
+def _open_prefixes(coded: DataFrame, ranks: np.ndarray, n: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(digits, prefixes, rows before each): the prefixes that hold ``ranks`` (0-based, sorted)."""
+    digits = min(5, max(1, math.ceil(math.log(4 * max(n, 1), 16))))
+    held = None
+    while True:
+        rows = coded if held is None else coded.join(F.broadcast(held[0]), _prefix(F.col("_code"), held[1]) == F.col("_open"), "left_semi")
+        got = rows.groupBy(_prefix(F.col("_code"), digits).alias("p")).agg(F.count("*").alias("n")).toArrow()
+        order = np.argsort(got["p"].to_numpy())
+        prefix, count = got["p"].to_numpy()[order], got["n"].to_numpy()[order]
+        if held is None:
+            start = np.cumsum(count) - count
+            if ranks[-1] >= count.sum():
+                raise ValueError(f"rank {ranks[-1]} of {count.sum()} rows")
+        else:  # rows before a prefix: those before its parent, and its smaller siblings
+            parent = np.searchsorted(held[2], prefix >> (4 * (digits - held[1])))
+            run = np.cumsum(count) - count
+            start = held[3][parent] + run - run[np.searchsorted(parent, np.arange(len(held[2])))][parent]
+        at = np.unique(np.searchsorted(start, ranks, "right") - 1)
+        prefix, start, count = prefix[at], start[at], count[at]
+        if count.sum() <= 2 * len(ranks) or digits == CODE_DIGITS:
+            return digits, prefix, start
+        more = max(1, int(math.log(max(PREFIX_ROWS / len(prefix), 1), 16)))
+        table = coded.sparkSession.createDataFrame(pa.table({"_open": prefix}))
+        held, digits = (table, digits, prefix, start), min(CODE_DIGITS, digits + more)
+
+
+def rows_at(df: DataFrame, key_cols: Sequence[str], ranks: np.ndarray, n: int, seed: int | str, purpose: str,
+            out: str = "_rank") -> DataFrame:
+    """The rows at the given 0-based ``ranks`` (sorted, distinct) of the hash order, with their rank.
+
+    Keys must be unique: a prefix of 15 hash digits that still holds many rows is an error.
+    """
+    code = F.conv(F.substring("_h", 1, CODE_DIGITS), 16, 10).cast("long")
+    keyed = df.withColumn("_h", hash_key(key_cols, seed, purpose)).withColumn("_code", code)
+    digits, prefix, start = _open_prefixes(keyed.select("_code"), ranks, n)
     spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(parts, *[c(o) for o in order_cols])
-               .sortWithinPartitions(*[c(o) for o in order_cols])
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    # Range bounds come from sampling, so two evaluations may cut differently.
-    # A reliable checkpoint (shared folder) fixes the partitions once; both the
-    # counts and the numbering read the same files, also after executor loss.
-    ordered = cut_lineage(ordered)
-    # One row per partition (exactly ``parts`` rows): prefix sums on the driver,
-    # then broadcast back — a bound fixed here.
-    counts = sorted((int(r["_pid"]), int(r["_cnt"]), int(r["_mid0"])) for r in
-                    ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"),
-                                                F.min("_mid").alias("_mid0")).collect())
-    acc, table = 0, []
-    for pid, cnt, mid0 in counts:
-        table.append((pid, mid0, acc))
-        acc += cnt
-    offsets = spark.createDataFrame(table, "_pid int, _mid0 long, _off long")
-    joined = ordered.join(F.broadcast(offsets), on=["_pid"], how="inner")
-    return joined.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_mid0") + 1)
-                             .cast("long")).drop("_pid", "_mid", "_mid0", "_off")
+    opened = spark.createDataFrame(pa.table({"_open": prefix, "_start": start}))
+    wanted = spark.createDataFrame(pa.table({out: ranks}))
+    at = _prefix(F.col("_code"), digits)
+    # as many rows as are wanted, at most: bounded by the caller's parameters, not by n
+    near = keyed.join(F.broadcast(opened), at == F.col("_open"))
+    place = F.row_number().over(Window.partitionBy("_open").orderBy("_h", *[c(k) for k in key_cols]))
+    return near.withColumn(out, (F.col("_start") + place - 1).cast("long")).join(F.broadcast(wanted), out, "left_semi") \
+        .drop("_h", "_code", "_open", "_start")
 
 
 # ---------------------------------------------------------------------------
@@ -268,6 +243,7 @@ def cut_label(group_cols: Sequence[str], thresholds: dict, names) -> Column:
 
 SLICE_ROWS = 250_000        # keys collected for one exact slice (driver memory bound)
 SAMPLE_ROWS = 100_000
+MAX_DEPTH = 6               # narrowings by samples before a slice is sorted on Spark
 
 
 def _lex(cols: Sequence[str], values: Sequence, strict: bool) -> Column:
@@ -291,6 +267,24 @@ def lex_lt(cols: Sequence[str], values: Sequence) -> Column:
     return _lex(cols, values, strict=True)
 
 
+def _sorted_kth(keys: DataFrame, cols: list[str], wanted: list[int]) -> dict[int, tuple]:
+    """The keys at ``wanted`` positions by a distributed sort (samples were unlucky too often).
+
+    One count per partition and the wanted keys reach the driver, whatever the slice holds.
+    """
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut_lineage(keys.repartitionByRange(parts, *[c(x) for x in cols]).withColumn("_part", F.spark_partition_id()))
+    start, picks = 0, {}
+    for r in ordered.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        picks.update({(r["_part"], b - start): b for b in wanted if start < b <= start + r["n"]})
+        start += r["n"]
+    w = Window.partitionBy("_part").orderBy(*[c(x) for x in cols])
+    placed = ordered.withColumn("_at", F.row_number().over(w))
+    hit = F.struct("_part", F.col("_at").cast("long").alias("_at"))
+    wish = F.array(*[F.struct(F.lit(p).alias("_part"), F.lit(a).cast("long").alias("_at")) for p, a in picks])
+    return {picks[r["_part"], r["_at"]]: tuple(r[x] for x in cols) for r in placed.filter(F.array_contains(wish, hit)).collect()}
+
+
 def _select_kth(df: DataFrame, cols: list[str], wanted: list[int], n: int, lo, hi,
                 seed: int, depth: int = 0) -> dict[int, tuple]:
     """Keys of the rows at 1-based positions ``wanted`` among the rows of ``df``
@@ -301,7 +295,9 @@ def _select_kth(df: DataFrame, cols: list[str], wanted: list[int], n: int, lo, h
         base = base.filter(~lex_le(cols, lo))
     if hi is not None:
         base = base.filter(lex_le(cols, hi))
-    if n <= SLICE_ROWS or depth > 6:
+    if n > SLICE_ROWS and depth > MAX_DEPTH:
+        return _sorted_kth(base.select(*[c(x) for x in cols]), cols, wanted)
+    if n <= SLICE_ROWS:
         # the slice is small: order it exactly (bounded by SLICE_ROWS keys)
         keys = [tuple(r) for r in base.select(*[c(x) for x in cols]).orderBy(*cols).collect()]
         for b in wanted:

@@ -32,20 +32,6 @@ def class_counts(df: DataFrame, label: str = LABEL) -> dict:
     return {r["y"]: int(r["count"]) for r in rows}
 
 
-def _bounds_expr(rank: Column, label: Column, bounds: dict, names: Sequence[str]) -> Column:
-    """``bounds[y] = (b1, b2, ...)``: rank ≤ b1 → names[0], ≤ b2 → names[1], …"""
-    expr = None
-    for y, bs in bounds.items():
-        inner = None
-        for b, nm in zip(bs, names):
-            cond = rank <= F.lit(b)
-            inner = F.when(cond, F.lit(nm)) if inner is None else inner.when(cond, F.lit(nm))
-        inner = inner.otherwise(F.lit(names[len(bs)])) if len(names) > len(bs) else inner
-        term = label == F.lit(y)
-        expr = F.when(term, inner) if expr is None else expr.when(term, inner)
-    return expr if expr is not None else F.lit(None).cast("string")
-
-
 def novelty_counts(n: int, train_size: float, val_ratio: float) -> tuple[int, int, int]:
     """(train, val, test) for one class, with the floating-point rounding of the spec."""
     temp = math.ceil((1.0 - train_size) * n)

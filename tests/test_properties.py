@@ -134,16 +134,6 @@ def test_contamination_touches_train_only(spark):
                                                          (F.col("Label") == 1)).count())
 
 
-def test_rank_by_order_gives_dense_global_positions(spark):
-    from flowsentry.operators.rank import rank_by_order
-    df = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("k"),
-                                  (F.col("id") % 7).alias("day"))
-    got = {(r.day, r.k): r._pos for r in rank_by_order(df.repartition(13), ["day", "k"],
-                                                       partitions=5).collect()}
-    want = {key: i + 1 for i, key in enumerate(sorted((r.day, r.k) for r in df.collect()))}
-    assert got == want
-
-
 def test_standalone_filters_agree_with_fit_filters(spark):
     from flowsentry.operators.filters import duplicate_columns, fit_filters, low_variance
     rows = [(i, float(i % 7), 3.0, float(i % 7), float((i * i) % 11)) for i in range(60)]
