@@ -139,6 +139,22 @@ GROUPS: dict[str, list[Feature]] = {
 FEATURES: dict[str, Feature] = {f.name: f for fs in GROUPS.values() for f in fs}
 
 
+def register_group(group: str, features: Iterable[tuple[str, Iterable[str], Callable[[dict[str, Column]], Column]]]) -> None:
+    """Add a feature group: (name, source columns, builder) each, where the builder gets the
+    columns by name.  The group can then be requested like the package's own (D48)."""
+    own = [Feature(name, group, tuple(needs), build) for name, needs, build in features]
+    taken = [f.name for f in own if f.name in FEATURES] + [n for n in (group, *[f.name for f in own]) if n in GROUPS or n == "all"]
+    if taken or len({f.name for f in own}) < len(own):
+        raise ValueError(f"names in use already: {taken or 'repeated feature names'}")
+    GROUPS[group] = own
+    FEATURES.update({f.name: f for f in own})
+
+
+def unregister_group(group: str) -> None:
+    for f in GROUPS.pop(group):
+        del FEATURES[f.name]
+
+
 def feature_columns(group: str | None = None) -> list[str]:
     if group is None:
         return list(FEATURES)

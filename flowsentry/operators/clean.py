@@ -63,18 +63,24 @@ def drop_empty(df: DataFrame) -> DataFrame:
     return cleaned.na.drop(how="all")
 
 
-def trim_by_feature(df: DataFrame, feature: str, max_value: float | None) -> DataFrame:
+def trim_by_feature(df: DataFrame, feature: str, max_value: float | None, observe: bool = False
+                    ) -> DataFrame | tuple[DataFrame, Observation | None]:
     """Keep ``feature <= max_value``; no-op for None or an absent column.
 
-    Missing and NaN values fail the comparison and drop, as with pandas.
+    Missing and NaN values fail the comparison and drop, as with pandas.  ``observe`` as in
+    ``drop_invalid`` (no observation when nothing is trimmed).
     """
-    if max_value is None:
-        return df
-    if feature not in df.columns:
+    if max_value is not None and feature not in df.columns:
         log.warning("trim skipped: %s not in table", feature)
-        return df
+    if max_value is None or feature not in df.columns:
+        return (df, None) if observe else df
     x = c(feature)
-    return df.filter(x.isNotNull() & ~F.isnan(x) & (x <= F.lit(float(max_value))))
+    ok = F.coalesce(x.isNotNull() & ~F.isnan(x) & (x <= F.lit(float(max_value))), F.lit(False))
+    if not observe:
+        return df.filter(ok)
+    obs = Observation("trim_by_feature")
+    tagged = df.observe(obs, F.count_if(~ok).alias("removed"), F.count(F.lit(1)).alias("rows_in"))
+    return tagged.filter(ok), obs
 
 
 def whitelist(df: DataFrame, columns: Sequence[str], label: str = LABEL,

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from .. import registry
 from ..config import ExperimentConfig
 from ..functions import features as feat
 from ..functions.safe import c
@@ -36,18 +37,31 @@ class Prepared:
     scaler: Scaler | None
     counts: dict = field(default_factory=dict)   # rows per split
     unscaled: DataFrame | None = None            # the table before scaling, for refits
+    removed: dict = field(default_factory=dict)  # rows dropped by P1 ("invalid") and P4 ("trimmed")
+    kept: list = field(default_factory=list)     # persisted tables
 
+    def release(self) -> None:
+        """Free the persisted tables; what is computed later from this result is recomputed."""
+        while self.kept:
+            self.kept.pop().unpersist()
 
-def feature_table(df: DataFrame, cfg: ExperimentConfig) -> DataFrame:
-    """P1 → P4 → D48 → P5: the cleaned flow table with engineered features."""
-    d = clean.drop_invalid(df)
-    d = clean.trim_by_feature(d, "Active Max", cfg.max_active_time)
+
+def feature_table(df: DataFrame, cfg: ExperimentConfig) -> tuple[DataFrame, dict]:
+    """P1 → P4 → D48 → P5: the cleaned flow table with engineered features, and the
+    observations of P1 and P4 (filled by the first job that reads the whole table)."""
+    d, invalid = clean.drop_invalid(df, observe=True)
+    d, trimmed = clean.trim_by_feature(d, "Active Max", cfg.max_active_time, observe=True)
     d = feat.add_domain_features(d, cfg.domain_features, whitelist=cfg.feature_whitelist,
                                  strict=True)
     if cfg.feature_whitelist:
         d = clean.whitelist(d, list(cfg.feature_whitelist), cfg.label,
                             keep=[k for k in cfg.meta_cols if k in d.columns])
-    return d
+    return d, {"invalid": invalid, "trimmed": trimmed}
+
+
+def removed_counts(observed: dict) -> dict:
+    """Removed rows by step, once a job has read the table (no job of its own)."""
+    return {step: int(obs.get["removed"]) if obs is not None else 0 for step, obs in observed.items()}
 
 
 def split_counts(s: DataFrame, cfg: ExperimentConfig) -> dict:
@@ -96,7 +110,8 @@ def prepare(df: DataFrame, cfg: ExperimentConfig, scale: bool = True) -> Prepare
     # The cleaned feature table feeds the split's histogram, its boundary rows
     # and every fitting pass: persisted once.  The split itself is a narrow
     # projection over it.
-    d = materialize(feature_table(df, cfg), cfg)
+    d, observed = feature_table(df, cfg)
+    d = materialize(d, cfg)
     features = clean.feature_names(d, cfg.label, exclude=cfg.meta_cols)
     s = split_table(d, cfg)
     train = s.filter(c("split") == "train")
@@ -113,7 +128,7 @@ def prepare(df: DataFrame, cfg: ExperimentConfig, scale: bool = True) -> Prepare
         scaler = Scaler.fit(p.filter(c("split") == "train"), feats, "robust")
         p = scaler.transform(p)
     p = p.withColumn("y_det", clean.detector_label(c(cfg.label)))
-    return Prepared(p, feats, prep, scaler, counts, unscaled)
+    return Prepared(p, feats, prep, scaler, counts, unscaled, removed_counts(observed), [d])
 
 
 @dataclass
@@ -125,6 +140,15 @@ class DetectionResult:
     confusion: DataFrame        # A12 per split
     params: dict                # what the detector was fitted with (searched, if asked for)
 
+    @property
+    def removed(self) -> dict:
+        """Rows that cleaning and trimming dropped: {"invalid": n, "trimmed": m}."""
+        return self.prepared.removed
+
+    def release(self) -> None:
+        self.prepared.release()
+        self.confusion.unpersist()
+
 
 def evaluate(det: FittedDetector, prepared: Prepared, cfg: ExperimentConfig,
              splits_: tuple[str, ...] = ("val", "test")) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -164,10 +188,18 @@ class ClassificationResult:
     f1: dict                   # macro F1 per split and the train/test gap (A17)
     params: dict | None = None  # what the model was fitted with
 
+    @property
+    def removed(self) -> dict:
+        return self.prepared.removed
+
+    def release(self) -> None:
+        self.prepared.release()
+
 
 def classifier_prepare(df: DataFrame, cfg: ExperimentConfig) -> Prepared:
     """S1/P1 → D48 → X2 (or X3) → filters + imputer fitted on train (no scaling)."""
-    d = materialize(feature_table(df, cfg), cfg)
+    d, observed = feature_table(df, cfg)
+    d = materialize(d, cfg)
     features = clean.feature_names(d, cfg.label, exclude=cfg.meta_cols)
     keys = list(cfg.key_cols)
     if cfg.temporal_split:
@@ -181,19 +213,20 @@ def classifier_prepare(df: DataFrame, cfg: ExperimentConfig) -> Prepared:
                          pca_components=cfg.pca_reduce)
     p = prep.transform(s, keep=[*keys, cfg.label, "split"])
     counts = split_counts(s, cfg)
-    return Prepared(p, list(prep.output_columns), prep, None, counts)
+    return Prepared(p, list(prep.output_columns), prep, None, counts, None, removed_counts(observed), [d])
 
 
 def fit_classifier(train: DataFrame, features, cfg: ExperimentConfig, params: dict | None,
                    use_smote: bool = True):
     """M9 (fit time only) then M8."""
-    from ..operators.boost import fit_boost
     from ..operators.smote import oversample
     key = cfg.key_cols[0]
     fit_rows = (oversample(train, key, features, cfg.label, seed=cfg.random_state)
                 if use_smote else train).persist(StorageLevel.MEMORY_AND_DISK)
     n = fit_rows.count()
-    return fit_boost(fit_rows, features, cfg.label, params, seed=cfg.random_state, n_rows=n)
+    model = registry.classifier(cfg.classifier).fit(fit_rows, features, cfg.label, params, seed=cfg.random_state, n_rows=n)
+    fit_rows.unpersist()
+    return model
 
 
 def classifier_metrics(model, rows: DataFrame, cfg: ExperimentConfig, split_name: str):

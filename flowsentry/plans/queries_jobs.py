@@ -209,3 +209,14 @@ def h1_search_svm(spark, sf):
     cfg = ExperimentConfig(algorithm="svm", domain_features=FLAGSHIP_FEATURES)
     prepared = jobs.prepare(fixtures.flows(spark, sf), cfg)
     return svm_search(prepared, cfg)["table"]
+
+
+@register("h3_classifier_search")
+def h3_classifier_search(spark, sf):
+    """H3 over the shape of the full grid (2 round counts x 2 depths x 2 rates), with 8 and 20
+    rounds: four fits, of which each holds its smaller one."""
+    from ..config import CLASSIFIER_GRID
+    from .search import classifier_search
+    cfg = ExperimentConfig(novelty=False, domain_features=FLAGSHIP_FEATURES)
+    prepared = jobs.classifier_prepare(fixtures.flows(spark, sf), cfg)
+    return classifier_search(prepared, cfg, {**CLASSIFIER_GRID, "n_estimators": [8, 20]})["table"]

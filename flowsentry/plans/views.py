@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from typing import Sequence
 
@@ -10,10 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import c
 from ..operators import splits
+from ..operators.clean import drop_empty
 from ..operators.pca import fit_pca, project
 from ..operators.prep import PrepModel, Scaler
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass
 class PCAView:
     points: DataFrame           # key, group columns, pc1..pck
@@ -39,13 +44,23 @@ def pca_view(rows: DataFrame, features: Sequence[str], key: str, label: str = "L
 
 def cross_domain_view(train_domain: DataFrame, target: DataFrame, prep: PrepModel, key: str,
                       label: str = "Label", per_set: int = 5000, seed: int = 42
-                      ) -> tuple[PCAView, DataFrame]:
+                      ) -> tuple[PCAView, DataFrame] | None:
     """four sets (train-domain normal/attack, target normal/attack), ≤ ``per_set``
     each, the target through the fitted prep, joint standard scaling and PCA.
 
     Also returns each set's centroid distance (in the 2-D view) to the
     train-domain normal centroid, a one-number drift summary per set.
+
+    A target without labels, or without a row that has a value (P3), has no view: None, with a
+    warning.
     """
+    if label not in target.columns:
+        log.warning("cross-domain view skipped: the target has no %s column", label)
+        return None
+    target = drop_empty(target)
+    if target.isEmpty():
+        log.warning("cross-domain view skipped: the target has no rows")
+        return None
     feats = prep.output_columns
     a = prep.transform(train_domain, keep=[key, label]).withColumn("domain", F.lit("train"))
     b = prep.transform(target, keep=[key, label]).withColumn("domain", F.lit("target"))
