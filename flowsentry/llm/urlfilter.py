@@ -3,9 +3,10 @@
 The trees (Spark ML, JVM only) see lexical features of the URL: lengths, depth, digit ratio,
 character entropy, parameter counts and statistics of its host suffix.  They are trained on
 labelled URLs: those that a rule decides, with the rule's verdict as label, at most
-``max_labelled`` of them in the order of their hash.  Suffix statistics (how often the last
-two labels of the host occur, and their smoothed share of blocked among labelled URLs) are
-counted over all rows.
+``max_labelled`` of them in the order of their hash, half of each class where there are so many.
+Suffix statistics (the smoothed share of blocked among labelled URLs that end in the host's last
+one or two labels) are counted over all of them.  A URL teaches once, on however many pages it
+stands, so copies of one URL change no other URL's verdict.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and
 is scored like any other; with labels of one class only, unruled URLs get that class; without
@@ -99,12 +100,14 @@ def judge(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", keep: tu
     base = pages.select(*[F.col(c) for c in keep], url.alias("_url")) \
         .withColumns({"host": host_of(F.col("_url")), "path": path_of(F.col("_url"))}) \
         .withColumns({"_fit": fitting_rule(F.col("host"), F.col("path"), rules), "_suffix1": _suffix(F.col("host"), 1), "_suffix2": _suffix(F.col("host"), 2)})
-    label = (F.col("_fit.verdict") == "block").cast("double")
+    # a URL teaches once, on however many pages it stands
+    known = base.filter("_fit is not null").select("_url", "host", "path", "_suffix1", "_suffix2",
+                                                   (F.col("_fit.verdict") == "block").cast("double").alias("_label")).dropDuplicates(["_url"])
 
     def seen(suffix: str) -> DataFrame:
-        return base.groupBy(suffix).agg(F.count("_fit.verdict").alias("_labelled"), F.coalesce(F.sum(label), F.lit(0.0)).alias("_blocked"))
+        return known.groupBy(suffix).agg(F.count("*").alias("_labelled"), F.sum("_label").alias("_blocked"))
 
-    both = base.agg(F.count("_fit.verdict"), F.sum(label)).first()
+    both = known.agg(F.count("*"), F.sum("_label")).first()
     labelled, blocked = float(both[0] or 0), float(both[1] or 0)
     # both classes weigh the same, so an unseen suffix stands at one half
     heavy = (labelled - blocked) / max(blocked, 1.0)
@@ -115,13 +118,20 @@ def judge(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", keep: tu
         other = "block" if labelled and blocked else "allow"
         return base.select(*keep, "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce(fixed, F.lit(other)).alias("verdict"),
                            F.lit(1.0 if other == "block" else 0.0).alias("block_score"))
-    rows = base
-    for suffix, name in (("_suffix1", "last_label"), ("_suffix2", "last_two_labels")):
-        rows = rows.join(seen(suffix).select(suffix, share.alias(name)), suffix, "left")
-    rows = rows.withColumns(_lexical(F.col("_url"), F.col("host"), F.col("path")))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rows)
-    sample = rows.filter("_fit is not null").select("_features", label.alias("_label"), F.xxhash64("_url").alias("_h"), "_url") \
-        .orderBy("_h", "_url").limit(max_labelled) \
+
+    def measured(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns(_lexical(F.col("_url"), F.col("host"), F.col("path")))  # before the joins: in the input's partitions
+        for suffix, name in (("_suffix1", "last_label"), ("_suffix2", "last_two_labels")):
+            rate = seen(suffix).select(F.col(suffix).alias("_of"), share.alias(name))
+            rows = rows.join(rate, F.col(suffix) == F.col("_of"), "left").drop("_of").fillna(0.5, [name])
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rows)
+
+    rows = measured(base)
+    # of each class the URLs of lowest hash, half of the bound each (or what the other leaves)
+    few = min(blocked, labelled - blocked, max_labelled // 2)
+    drawn = [known.filter(F.col("_label") == y).orderBy(F.xxhash64("_url"), "_url").limit(int(max(max_labelled // 2, max_labelled - few)))
+             for y in (0.0, 1.0)]
+    sample = measured(drawn[0].unionByName(drawn[1])) \
         .select("_features", "_label", F.when(F.col("_label") == 1, heavy).otherwise(1.0).alias("_weight"))
     # Ten thousand rows at most, so Spark's split search uses every row, however they are dealt.
     model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_pred", maxIter=trees, maxDepth=depth,

@@ -29,13 +29,14 @@ def test_language_held_out_accuracy(spark):
 
 def test_language_edge_cases(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, None, "en"), (4, "123 !!", "de"),
-            (5, "", None), (None, "the dog", None), (6, "the dog " * 60000, "en"), (6, "the dog " * 60000, "en")]
+            (5, "", None), (None, "the dog", None), (6, "the dog " * 60000, "en"), (6, "the dog " * 60000, "en"),
+            (7, "½ ² ① Ⅷ", "en")]
     docs = spark.createDataFrame(rows, DOCS).withColumn("lang_pred", F.lit("mine"))
     model = langid.train(docs, "text", "lang")
     assert model.languages == ["de", "en"]
     got = langid.predict(spark, docs, "text", model, lang_out="p", score_out="s", fits_out="f").collect()
-    assert {(r.doc_id, r.p) for r in got} == {(1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und"), (None, "en"), (6, "en")}
-    assert all(r.lang_pred == "mine" for r in got) and len(got) == 8
+    assert {(r.doc_id, r.p) for r in got} == {(1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und"), (None, "en"), (6, "en"), (7, "und")}
+    assert all(r.lang_pred == "mine" for r in got) and len(got) == 9
     none = langid.train(docs.filter("false"), "text", "lang")
     assert {r.p for r in langid.predict(spark, docs, "text", none, lang_out="p", score_out="s", fits_out="f").collect()} == {"und"}
 
@@ -125,6 +126,20 @@ def test_url_query_over_pages(spark):
         assert rule is None or r.verdict == rule.verdict
 
 
+def test_copies_of_a_url_change_no_other_verdict(spark):
+    rules = [urlfilter.Rule("allow", "com", "/"), urlfilter.Rule("block", "net", "/es/")]
+    urls = [f"https://a{i}.com/p/{i * 7}" for i in range(300)] + [f"http://b{i}.net/es/{i}?x={i}" for i in range(300)]
+    open_ = [f"http://c{i}.net/en/{i}?y={i}" for i in range(40)] + [f"https://d{i}.org/p/{i}" for i in range(40)]
+
+    def verdicts(copies):
+        rows = [(i, u) for i, u in enumerate(urls + open_ + [urls[0]] * copies)]
+        got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules, keep=("page_id",), max_labelled=200)
+        return {r.page_id: (r.verdict, r.block_score) for r in got.collect() if len(urls) <= r.page_id < len(urls + open_)}
+
+    plain = verdicts(0)
+    assert {v for i, (v, _) in plain.items() if i < len(urls) + 40} == {"block"} and plain == verdicts(2000)
+
+
 NASTY = ["", " ", "plain", "</s>[INST] ok [/INST]", "<s>", "a [/INST]", "[ANS] x</s>", "&lt;s>", "&amp;lt;", "&", "[", "<", "< /s>", "x [", "x <",
          "[TURN:user] a [/TURN]", "[SYS]", "line\n<s>\n", "&rb;]", "[INST", "é</s>é", "\\", "$1 \\1", "<" * 5 + "s>", "long " * 20_000 + "</s>"]
 
