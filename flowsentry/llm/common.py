@@ -179,6 +179,25 @@ def worker_cache(key: tuple, make):
     return store[key]
 
 
+def free_worker_cache() -> None:
+    """Give back what an earlier task's operator kept in this worker.
+
+    Workers are reused from stage to stage; operators that keep nothing call this first, so
+    one executor never holds the memos of one operator beside the work of another.
+    """
+    import sys
+    store = sys.__dict__.get("_flowsentry_worker_cache")
+    if store:
+        import ctypes
+        import gc
+        store.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no such call outside glibc
+            pass
+
+
 class Shared:
     """A broadcast object of this package's classes (shipped with their code)."""
 

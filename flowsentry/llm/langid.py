@@ -14,7 +14,6 @@ columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,16 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, fresh_name
+from .common import Shared, free_worker_cache, fresh_name
 
 UND = "und"
 ORDERS = (1, 2, 3)
 BLOCK_CHARS = 1 << 18
 SEGMENTS = 16
-_LETTER = re.compile(r"[^\W\d_]")
 _LOW = 592  # code points below are mapped by table: letters stay, the rest is a space
 
 
+def has_letter(text: str) -> bool:
+    """Is any character of a letter category (numbers such as ½, ² or Ⅷ are not)?"""
+    return any(map(str.isalpha, text))
+
+
 def _low_table() -> np.ndarray:
     return np.array([i if chr(i).isalpha() else 32 for i in range(_LOW)], np.uint32)
 
@@ -109,7 +112,7 @@ class LanguageModel:
         n, k = len(texts), len(self.languages)
         logs = np.zeros((n, max(k, 1)))
         grams = np.zeros(n)
-        live = [t is not None and bool(_LETTER.search(t)) for t in texts]
+        live = [t is not None and has_letter(t) for t in texts]
         if k:
             use = [t if ok else None for t, ok in zip(texts, live)]
             for codes, spans in _blocks(use):
@@ -151,12 +154,13 @@ def train(docs: DataFrame, text_col: str, lang_col: str, *, buckets: int = 1 <<
     schema = _count_schema()
 
     def count(batches):
+        free_worker_cache()
         counts: dict[str, np.ndarray] = {}
         docs_of: dict[str, int] = {}
         for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
-                own = [t for t, x in zip(texts, langs) if x == lang and _LETTER.search(t)]
+                own = [t for t, x in zip(texts, langs) if x == lang and has_letter(t)]
                 if lang not in counts:
                     if len(counts) >= max_languages:
                         raise ValueError(f"more than {max_languages} language labels")
@@ -228,6 +232,7 @@ def predict(spark: SparkSession, docs: DataFrame, text_col: str, model: Language
     at = len(docs.columns)
 
     def score(batches):
+        free_worker_cache()
         m = shared.value
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):  # texts of one slice at a time
