@@ -180,22 +180,21 @@ def worker_cache(key: tuple, make):
 
 
 def free_worker_cache() -> None:
-    """Give back what an earlier task's operator kept in this worker.
+    """Give back what earlier tasks kept in this worker: memos, and memory that is free already.
 
-    Workers are reused from stage to stage; operators that keep nothing call this first, so
-    one executor never holds the memos of one operator beside the work of another.
+    Workers are reused from stage to stage.  An operator that calls this first (or last) does not
+    hold the memos of another operator beside its own work.
     """
+    import ctypes
+    import gc
     import sys
-    store = sys.__dict__.get("_flowsentry_worker_cache")
-    if store:
-        import ctypes
-        import gc
-        store.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # no such call outside glibc
-            pass
+    sys.__dict__.get("_flowsentry_worker_cache", {}).clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call outside glibc
+        pass
 
 
 class Shared:

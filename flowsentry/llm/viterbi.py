@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, worker_cache
+from .common import free_worker_cache, fresh_name, worker_cache
 
 SPACE = "▁"
 _START = (1 << 31) - 1  # number of the text's start
@@ -283,9 +283,11 @@ class Coder:
 
 
 def with_ids(docs: DataFrame, text_col: str, model_path: str, *, out: str = "ids", only: tuple[str, ...] | None = None,
-             digests: bool = False, limit: int = 1_000_000) -> DataFrame:
+             digests: bool = False, limit: int = 1_000_000, keep_memo: bool = True) -> DataFrame:
     """``only`` columns (default all) plus ``out`` (array of ids); with ``digests``, instead of the
-    ids: n_tokens, ids_crc32 (ids as little-endian 32-bit integers), decoded_chars, round_trip."""
+    ids: n_tokens, ids_crc32 (ids as little-endian 32-bit integers), decoded_chars, round_trip.
+
+    ``limit`` bounds the remembered words; ``keep_memo`` keeps them in the worker between tasks."""
     keep = list(docs.columns if only is None else only)
     plain = fresh_name(docs, "_text")
     staged = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias(plain))
@@ -296,7 +298,13 @@ def with_ids(docs: DataFrame, text_col: str, model_path: str, *, out: str = "ids
     schema = T.StructType(staged.schema.fields[:at] + extra)
 
     def run(batches):
-        coder = worker_cache(("pieces", model_path, limit), lambda: Coder(PieceModel.load(model_path), limit))
+        if keep_memo:
+            yield from coded(batches, worker_cache(("pieces", model_path, limit), lambda: Coder(PieceModel.load(model_path), limit)))
+        else:
+            yield from coded(batches, Coder(PieceModel.load(model_path), limit))
+            free_worker_cache()
+
+    def coded(batches, coder):
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
