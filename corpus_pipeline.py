@@ -66,14 +66,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each kept document: doc_id, n_tokens, ids."""
-    coded = viterbi.with_ids(docs, "text", vocabulary("piece_bpe_32k.model"), only=("doc_id",))
+    coded = viterbi.with_ids(docs, "text", vocabulary("piece_bpe_32k.model"), only=("doc_id",), limit=200_000, keep_memo=False)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("language_id", language_id), ("quality_classifier", quality_filter), ("ngram_jaccard", near_duplicates),
           ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
 
-#: Two stages are trained models; SQL cannot state them (see tests/llm/test_pipeline.py).
+#: Two stages are trained models; SQL cannot state them (see tests/llm/test_texts.py).
 ORACLE_SQL = None
 
 
