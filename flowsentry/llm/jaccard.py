@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_WORDS, WordHasher, Workspace, mix, slices, utf8
+from .common import SPACE_WORDS, WordHasher, Workspace, free_worker_cache, mix, slices, utf8
 
 BLOCK_BYTES = 1 << 20
 SKETCH = 16          # minimum hashes per set
@@ -138,6 +138,7 @@ class Join:
         n, names = self.n, ["id", "n", "fa", "fb", "mins", "marks", "bits", "tok"]
 
         def run(batches):
+            free_worker_cache()
             words, seen = WordHasher(SPACE_WORDS), {}
             for batch in batches:
                 for i, j, x, edges in _blocks(batch, words, n):
@@ -178,6 +179,7 @@ class Join:
         n, percent = self.n, self.percent
 
         def run(batches):
+            free_worker_cache()
             words = WordHasher(SPACE_WORDS)
             known, rank = heavy.value
             for batch in batches:
@@ -215,6 +217,7 @@ class Join:
                               & (F.call_function("shiftrightunsigned", F.col("bits"), (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)).select("id", "text")
 
         def run(batches):
+            free_worker_cache()
             words = WordHasher(SPACE_WORDS)
             for batch in batches:
                 for i, j, x, edges in _blocks(batch, words, n):
