@@ -106,9 +106,9 @@ def duplicate_columns(df: DataFrame, columns: Sequence[str], key_cols: Sequence[
 
 def centered_moments(df: DataFrame, exprs: Sequence[Column], shift: Sequence[float]):
     """(n, mean vector, C = Σ (x−x̄)(x−x̄)ᵀ) of the given column expressions, in
-    one pass.  Each Arrow batch contributes its row count, Σ(x−a) and the upper
-    triangle of Σ(x−a)(x−a)ᵀ (BLAS); ``posexplode`` + ``groupBy(pos).sum`` adds
-    the partial vectors (partial aggregation leaves ≤ L rows per task).  The
+    one pass.  Each task adds up its row count, Σ(x−a) and Σ(x−a)(x−a)ᵀ (BLAS) over
+    all its Arrow batches and hands on one vector with the upper triangle, whatever
+    its rows; ``posexplode`` + ``groupBy(pos).sum`` adds the tasks' vectors.  The
     shift ``a`` (an approximate mean) keeps the sums well conditioned."""
     import numpy as np
     import pandas as pd
@@ -119,10 +119,13 @@ def centered_moments(df: DataFrame, exprs: Sequence[Column], shift: Sequence[flo
     sub = df.select(*[e.alias(nm) for e, nm in zip(exprs, names)])
 
     def run(batches):
+        n, s1, S2 = 0.0, np.zeros(d), np.zeros((d, d))
         for pdf in batches:
             X = pdf[names].to_numpy(dtype=float, na_value=0.0) - a
-            vec = np.concatenate([[float(len(X))], X.sum(axis=0), (X.T @ X)[iu]])
-            yield pd.DataFrame({"v": [vec.tolist()]})
+            n += len(X)
+            s1 += X.sum(axis=0)
+            S2 += X.T @ X
+        yield pd.DataFrame({"v": [np.concatenate([[n], s1, S2[iu]])]})
 
     parts = sub.mapInPandas(run, "v array<double>")
     rows = (parts.select(F.posexplode("v").alias("pos", "x")).groupBy("pos")
