@@ -2,13 +2,15 @@
 
 Rows are range-partitioned and sorted by (hash of the text, id); each partition numbers its
 rows and sums their sizes; the partitions' totals (one row each) give every row its global
-position.  Shard boundaries are the multiples of total / shards, moved to the nearest row
-boundary, or to the nearest boundary of a group of equal texts when that group is smaller
-than ``max_group_share`` of a shard.  Only the rows at the boundaries and one total per
-partition reach the driver; nothing is shuffled but (id, size, checksum, hash).
-
-A larger group of equal texts (it may hold a third of all rows) is cut like any other rows,
-since the id is part of the order.  Defined cases: a null text has 0 bytes and checksum 0;
+position.  Shard boundaries are the multiples of total / shards, moved to the nearest edge of
+the group of equal texts they fall into.  Such a move is made when it costs at most
+``max_shift`` of a shard (or less than half a row), so a group of up to twice that share
+always stays whole, and a shard is off its equal size by twice that share at most.  Only the
+rows at the boundaries and one total per partition reach the driver; nothing is shuffled but
+(id, size, checksum, hash).
+
+Inside a larger group of equal texts (it may hold a third of all rows) a boundary goes to the
+nearest row, since the id is part of the order.  Defined cases: a null text has 0 bytes and checksum 0;
 repeated rows are placed each; null ids sort first; an empty table gives an empty result.
 """
 
@@ -60,7 +62,7 @@ def positions(ws: Workspace, docs: DataFrame, id_col: str, text_col: str) -> tup
     return placed, start
 
 
-def cut_points(placed: DataFrame, total: int, shards: int, max_group_share: float) -> list[int]:
+def cut_points(placed: DataFrame, total: int, shards: int, max_shift: float) -> list[int]:
     """The shards - 1 byte offsets at which a new shard begins."""
     targets = sorted({-(-total * j // shards) for j in range(1, shards)})
     if total == 0:
@@ -72,7 +74,7 @@ def cut_points(placed: DataFrame, total: int, shards: int, max_group_share: floa
     groups = {r["grp"]: (r["a"], r["b"]) for r in placed
               .filter(F.col("grp").isin([r["grp"] for r in edge])).groupBy("grp")
               .agg(F.min("start").alias("a"), F.max(F.col("start") + F.col("size")).alias("b")).collect()}
-    limit = max_group_share * total / shards
+    limit = max_shift * total / shards
     cuts = []
     for j in range(1, shards):
         t = -(-total * j // shards)
@@ -81,18 +83,18 @@ def cut_points(placed: DataFrame, total: int, shards: int, max_group_share: floa
             cuts.append(total)
             continue
         a, b = groups[row["grp"]]
-        if b - a > limit:
+        if min(t - a, b - t) > limit:
             a, b = row["start"], row["start"] + row["size"]
         cuts.append(a if t - a <= b - t else b)
     return cuts
 
 
 def assign(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, *, shards: int = 24,
-           max_group_share: float = 0.01) -> DataFrame:
+           max_shift: float = 0.05) -> DataFrame:
     """(id, size, crc, shard, slot): slot counts from 0 within each shard, in order."""
     ws = Workspace(spark, "shards")
     placed, total = positions(ws, docs, id_col, text_col)
-    cuts = cut_points(placed, total, shards, max_group_share)
+    cuts = cut_points(placed, total, shards, max_shift)
     shard = sum((F.when(F.col("start") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     sharded = placed.withColumn("shard", shard)
     first = {r["shard"]: r["i"] for r in sharded.groupBy("shard").agg(F.min("index").alias("i")).collect()}
