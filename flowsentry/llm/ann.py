@@ -238,7 +238,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, *, id_col: str, vector_col: str, k: int = 20,
-            sample_rows: int = 10_000, part_rows: int = 1000, max_parts: int = 512, mass: float = 0.95,
+            sample_rows: int = 10_000, part_rows: int = 1000, min_parts: int = 8, max_parts: int = 512, mass: float = 0.95,
             least_parts: int = 4, first_parts: int = 8, graph_k: int = 20) -> DataFrame:
     """The k nearest rows found for each query row: query_id, rank, vec_id, score, parts.
 
@@ -263,7 +263,7 @@ def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, *, id_col:
     sample = np.array([r["vec"] for r in head], float)
     asked = clean_vectors(queries, id_col, vector_col, sample.shape[1])
     sample = np.unique(sample, axis=0)
-    parts = int(min(max_parts, max(1, total // part_rows), max(1, len(sample) // 8)))
+    parts = int(min(max_parts, max(min_parts, total // part_rows), max(1, len(sample) // 8)))
     if parts > 1:
         graph = neighbour_graph(spark, sample, min(graph_k, len(sample) - 1))
         part = balanced_parts(sample, graph, parts)
