@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -100,26 +101,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+SEGMENT = 1 << 16  # powers of the base start anew every so many bytes
+LONG_WORD = 64     # longer words are hashed by a digest
+
+
 class WordHasher:
     """Hashes of all words of a byte buffer in a few vector operations.
 
-    ``table`` maps each byte to the byte it counts as; 0 marks a separator.  A word's hash
-    is a polynomial over its mapped bytes modulo 2^64 (prefix sums give every word at once),
-    then mixed.
+    ``table`` maps each byte to the byte it counts as; 0 marks a separator.  A word of up to
+    ``LONG_WORD`` bytes is hashed as a polynomial over its mapped bytes modulo 2^64 (prefix
+    sums give every word at once), then mixed.  Long words, among which such polynomials are
+    known to collide, take 64 bits of BLAKE2b instead.  Powers repeat per segment, so their
+    tables do not grow with the text; the few words across a segment's edge are summed alone.
     """
 
     def __init__(self, table: np.ndarray):
         self.table = table
         self.values = mix(table.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-        self._grow(1 << 16)
+        self.power, self.inverse = self._powers(_BASE & _M64), self._powers(_INVERSE)
 
-    def _grow(self, n: int) -> None:
-        ones = np.full(n, _BASE & _M64, np.uint64)
-        ones[0] = 1
-        self.power = np.cumprod(ones)
-        ones = np.full(n, _INVERSE & _M64, np.uint64)
-        ones[0] = 1
-        self.inverse = np.cumprod(ones)
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        factors = np.full(SEGMENT, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors)
 
     def words(self, data: np.ndarray, offsets: np.ndarray):
         """(hash, start, end, row) of every word; a word never spans two rows."""
@@ -139,14 +144,24 @@ class WordHasher:
         np.logical_not(inside[1:], out=last[:-1])
         last[cuts[(cuts > 0) & (cuts <= n)] - 1] = True
         end = np.flatnonzero(inside & last) + 1
-        if n > len(self.power):
-            self._grow(1 << int(n).bit_length())
+        terms = self.values[data]
+        for i in range(0, n, SEGMENT):
+            terms[i:i + SEGMENT] *= self.power[:min(SEGMENT, n - i)]
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values[data] * self.power[:n], out=sums[1:])
-        h = mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        np.cumsum(terms, out=sums[1:])
+        length = end - start
+        h = mix((sums[end] - sums[start]) * self.inverse[start % SEGMENT] + length.astype(np.uint64))
+        for i in np.flatnonzero((length > LONG_WORD) | (start // SEGMENT != (end - 1) // SEGMENT)).tolist():
+            h[i] = self._alone(data[start[i]:end[i]])
         row = np.searchsorted(offsets, start, "right") - 1
         return h, start, end, row
 
+    def _alone(self, word: np.ndarray) -> np.uint64:
+        if len(word) > LONG_WORD:
+            return np.uint64(int.from_bytes(blake2b(self.table[word].tobytes(), digest_size=8).digest(), "little"))
+        total = np.cumsum(self.values[word] * self.power[:len(word)])[-1:]
+        return mix(total + np.uint64(len(word)))[0]
+
 
 def byte_table(is_word) -> np.ndarray:
     """Byte map of a word class: A-Z count as a-z, bytes outside the class as 0."""

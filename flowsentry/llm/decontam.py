@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, WordHasher, Workspace, slices, utf8
+from .common import ALNUM_WORDS, WordHasher, Workspace, free_worker_cache, slices, utf8
 
 _by_name = lambda item: (item is None, item or "")
 
@@ -42,6 +42,7 @@ def _index_blocks(docs: DataFrame, id_col: str, text_col: str, terms) -> DataFra
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def build(batches):
+        free_worker_cache()
         hasher, seq = WordHasher(ALNUM_WORDS), 0
         wanted = terms.value if terms is not None else None
         for batch in batches:
@@ -69,6 +70,7 @@ def _index_blocks(docs: DataFrame, id_col: str, text_col: str, terms) -> DataFra
                      one(np.append(edge, len(h)).astype(np.int32), pa.int32()), one(pos.astype(np.int32), pa.int32())],
                     names=["block", "ids", "words", "first", "terms", "edges", "positions"])
                 seq += 1
+        free_worker_cache()
 
     return rows.mapInArrow(build, f"block string, ids array<{kind}>, words array<int>, first array<long>, "
                                   "terms array<long>, edges array<int>, positions array<int>")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_WORDS, Shared, WordHasher, fresh_name, low_hashes, mix, slices, utf8
+from .common import SPACE_WORDS, Shared, WordHasher, free_worker_cache, fresh_name, low_hashes, mix, slices, utf8
 
 BLOCK_BYTES = 1 << 20
 FEATURES = ("chars", "words", "mean_word", "long_word", "upper", "digit", "punct", "symbol",
@@ -198,6 +198,7 @@ def with_statistics(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     schema = T.StructType(docs.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches):
+        free_worker_cache()
         words, lines = WordHasher(SPACE_WORDS), WordHasher(_LINES)
         for batch in batches:
             x = statistics(batch.column(at), words, lines)
@@ -206,6 +207,7 @@ def with_statistics(docs: DataFrame, text_col: str, out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(at)] + [pa.ListArray.from_arrays(edges, flat)],
                 names=[*batch.schema.names[:at], out])
+        free_worker_cache()
 
     return staged.mapInArrow(run, schema)
 
