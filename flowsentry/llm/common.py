@@ -111,8 +111,8 @@ class WordHasher:
     ``table`` maps each byte to the byte it counts as; 0 marks a separator.  A word of up to
     ``LONG_WORD`` bytes is hashed as a polynomial over its mapped bytes modulo 2^64 (prefix
     sums give every word at once), then mixed.  Long words, among which such polynomials are
-    known to collide, take 64 bits of BLAKE2b instead.  Powers repeat per segment, so their
-    tables do not grow with the text; the few words across a segment's edge are summed alone.
+    known to collide, take 64 bits of BLAKE2b instead.  Powers and sums start anew per segment,
+    so neither grows with the text; the few words across a segment's edge are summed alone.
     """
 
     def __init__(self, table: np.ndarray):
@@ -144,13 +144,16 @@ class WordHasher:
         np.logical_not(inside[1:], out=last[:-1])
         last[cuts[(cuts > 0) & (cuts <= n)] - 1] = True
         end = np.flatnonzero(inside & last) + 1
-        terms = self.values[data]
-        for i in range(0, n, SEGMENT):
-            terms[i:i + SEGMENT] *= self.power[:min(SEGMENT, n - i)]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(terms, out=sums[1:])
         length = end - start
-        h = mix((sums[end] - sums[start]) * self.inverse[start % SEGMENT] + length.astype(np.uint64))
+        h = np.empty(len(start), np.uint64)
+        sums = np.zeros(SEGMENT + 1, np.uint64)
+        bounds = np.searchsorted(start, np.arange(0, n + SEGMENT, SEGMENT))
+        for base, lo, hi in zip(range(0, n, SEGMENT), bounds, bounds[1:]):
+            piece = data[base:base + SEGMENT]
+            m = len(piece)
+            np.cumsum(self.values[piece] * self.power[:m], out=sums[1:m + 1])
+            a, z = start[lo:hi] - base, np.minimum(end[lo:hi] - base, m)
+            h[lo:hi] = mix((sums[z] - sums[a]) * self.inverse[a] + length[lo:hi].astype(np.uint64))
         for i in np.flatnonzero((length > LONG_WORD) | (start // SEGMENT != (end - 1) // SEGMENT)).tolist():
             h[i] = self._alone(data[start[i]:end[i]])
         row = np.searchsorted(offsets, start, "right") - 1
