@@ -1,0 +1,75 @@
+"""One-class SVM: the solver against a long run in numpy, its stopping rule, its edges."""
+import warnings
+
+import numpy as np
+import pytest
+
+from flowsentry.operators.ocsvm import fit_ocsvm, fit_ocsvm_grid, lbfgs, rff
+
+
+def objective(P, w, rho, nu):
+    return w @ w / 2 + np.maximum(rho - P @ w, 0).sum() / (nu * len(P)) - rho
+
+
+def long_run(P, nu, steps=40_000):
+    """Averaged subgradient steps on the exact hinge; the best averaged objective."""
+    w, rho, best = P.mean(axis=0), 0.0, np.inf
+    mw, mr, weight = w * 0, 0.0, 0.0
+    for t in range(1, steps + 1):
+        low = P @ w < rho
+        gw, gr = w - P[low].sum(axis=0) / (nu * len(P)), low.sum() / (nu * len(P)) - 1
+        w, rho = w - 2 / (t + 20) * gw, rho - 2 / (t + 20) * gr
+        mw, mr, weight = mw + t * w, mr + t * rho, weight + t
+        if t % 1000 == 0:
+            best = min(best, objective(P, mw / weight, mr / weight, nu))
+    return best
+
+
+def flows(spark, n=300, d=3, seed=11):
+    X = np.random.default_rng(seed).normal(size=(n, d))
+    names = [f"x{i}" for i in range(d)]
+    return X, names, spark.createDataFrame([tuple(map(float, r)) for r in X], ", ".join(f"{c} double" for c in names))
+
+
+@pytest.mark.parametrize("nu", [0.05, 0.3])
+def test_objective_equals_a_long_run(spark, nu):
+    X, names, df = flows(spark)
+    m = fit_ocsvm(df.repartition(3), names, [], nu=nu, gamma=0.5, n_components=24)
+    assert m.residual <= 1e-2 and 3 < m.evaluations < 200
+    P = rff(X, m.W, m.b)
+    # at the optimum of the hinge, ρ is a ν-quantile of the decision values
+    mine = min(objective(P, m.w, r, nu) for r in np.quantile(P @ m.w, [nu - 0.01, nu, nu + 0.01]))
+    assert mine <= long_run(P, nu) + 1e-4
+    assert abs((P @ m.w < m.rho).mean() - nu) <= 1 / len(X)
+
+
+def test_configurations_close_one_by_one(spark):
+    X, names, df = flows(spark)
+    grid = [{"nu": 0.5, "gamma": 0.1}, {"nu": 0.02, "gamma": 2.0}, {"nu": 0.5, "gamma": 0.1}]
+    a, b, again = fit_ocsvm_grid(df, names, grid, n_components=24)
+    assert max(a.residual, b.residual) <= 1e-2 and a.evaluations < b.evaluations
+    assert np.allclose(a.w, again.w, atol=1e-12) and a.rho == pytest.approx(again.rho, abs=1e-12)
+    with pytest.warns(UserWarning, match="1 of 1"):
+        short = fit_ocsvm(df, names, [], nu=0.02, gamma=2.0, n_components=24, n_iter=4)
+    assert short.evaluations == 4 and short.residual > 1e-2
+
+
+def test_no_rows_and_equal_rows(spark):
+    _, names, df = flows(spark)
+    none = fit_ocsvm(df.limit(0), names, [], gamma=1.0, n_components=8)
+    assert none.rho == 0 and not none.w.any()
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        same = fit_ocsvm(spark.createDataFrame([(1.0, 2.0, 3.0)] * 50, df.schema), names, [], nu=0.2, gamma=1.0, n_components=8)
+    assert same.score(spark.createDataFrame([(1.0, 2.0, 3.0)], df.schema)).first().score == pytest.approx(0, abs=1e-12)
+
+
+def test_lbfgs_on_a_quadratic():
+    A = np.diag([1.0, 10.0, 100.0])
+    run, goal = lbfgs(np.zeros(3), 1e-9, 500), np.array([3.0, -2.0, 0.5])
+    x = next(run)
+    with pytest.raises(StopIteration) as end:
+        while True:
+            x = run.send(((x - goal) @ A @ (x - goal) / 2, A @ (x - goal)))
+    best, norm, evals = end.value.value
+    assert np.allclose(best, goal, atol=1e-8) and norm <= 1e-9 and evals < 60
