@@ -42,3 +42,13 @@ def test_forest_search_scores_each_row_once(spark, monkeypatch):
     grid = {"contamination": [0.1], "max_features": [1.0, 0.5], "max_samples": [32], "n_estimators": [3, 6], "bootstrap": [False]}
     table = search.iforest_search(jobs.prepare(fixtures.flows(spark, SF_SMALL), cfg), cfg, grid)["table"]
     assert len(calls) == 2 and table.count() == 4   # train and val, whatever the grid
+
+
+def test_thresholds_of_many_scores_equal_single_sweeps(spark):
+    from flowsentry.operators import metrics
+    rows = [(float(a), float(b), 1 if i % 4 else -1) for i, (a, b) in enumerate(np.random.default_rng(1).normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    asked = {"a": [0.1, 0.3], "b": [0.2]}
+    got = {(r.score, r.contamination): (r.offset, r.macro_f1) for r in metrics.sweeps(df, asked, "y", df).collect()}
+    want = {(n, r.contamination): (r.offset, r.macro_f1) for n, v in asked.items() for r in metrics.sweep(df, n, "y", df, v).collect()}
+    assert got == want
