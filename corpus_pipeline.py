@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.llm import decontam, jaccard, langid, quality, viterbi
-from flowsentry.llm.common import Workspace, fresh_name, held_out
+from flowsentry.llm.common import Workspace, arrow_rows, fresh_name, held_out
 from flowsentry.llm.queries import QUALITY_THRESHOLD, quality_model, table, vocabulary
 
 
@@ -73,6 +73,9 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [("language_id", language_id), ("quality_classifier", quality_filter), ("ngram_jaccard", near_duplicates),
           ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
 
+#: Rows of a batch that a task's Python worker gets at once (all stages hand over whole texts).
+BATCH_ROWS = 1000
+
 #: Two stages are trained models; SQL cannot state them (see tests/llm/test_texts.py).
 ORACLE_SQL = None
 
@@ -80,6 +83,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = ws.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+    with arrow_rows(spark, BATCH_ROWS):
+        for k, (name, stage) in enumerate(STAGES):
+            docs = ws.save(stage(spark, docs, sf_dir), f"{k}-{name}")
     return docs

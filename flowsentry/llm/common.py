@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
@@ -215,6 +216,21 @@ def free_worker_cache() -> None:
         pass
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Python tasks planned and run inside get batches of at most ``rows`` rows (Spark's default is 10,000).
+
+    A batch of whole texts is held by the JVM and by the Python worker of every task at once.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(usual)) if int(usual) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 class Shared:
     """A broadcast object of this package's classes (shipped with their code)."""
 

@@ -33,6 +33,7 @@ from .common import ALNUM_WORDS, WordHasher, Workspace, free_worker_cache, slice
 _by_name = lambda item: (item is None, item or "")
 
 BLOCK_BYTES = 1 << 22
+PIECE_BYTES = 1 << 19  # of a block's text that are split into words at once
 GAP = 64  # empty positions between documents; windows plus slop must be shorter
 
 
@@ -48,16 +49,23 @@ def _index_blocks(docs: DataFrame, id_col: str, text_col: str, terms) -> DataFra
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in slices(offsets, BLOCK_BYTES):
-                part = offsets[i:j + 1] - offsets[i]
-                h, _, _, row = hasher.words(data[offsets[i]:offsets[j]], part)
-                h = h.view(np.int64)
-                words = np.bincount(row, minlength=j - i)
+                words, done = np.zeros(j - i, np.int64), 0
+                terms_of, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for a, z in slices(offsets[i:j + 1] - offsets[i], PIECE_BYTES):
+                    part = offsets[i + a:i + z + 1]
+                    h, _, _, row = hasher.words(data[part[0]:part[-1]], part - part[0])
+                    h = h.view(np.int64)
+                    words[a:z] = np.bincount(row, minlength=z - a)
+                    pos = np.arange(done, done + len(h)) + (row + a) * GAP
+                    done += len(h)
+                    if wanted is not None:
+                        at = np.searchsorted(wanted, h)
+                        keep = wanted[np.minimum(at, len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
+                        h, pos = h[keep], pos[keep]
+                    terms_of.append(h)
+                    places.append(pos)
                 first = np.concatenate([[0], np.cumsum(words + GAP)])[:-1]
-                pos = np.arange(len(h)) + row * GAP
-                if wanted is not None:
-                    at = np.searchsorted(wanted, h)
-                    keep = wanted[np.minimum(at, len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
-                    h, pos = h[keep], pos[keep]
+                h, pos = np.concatenate(terms_of), np.concatenate(places)
                 order = np.argsort(h, kind="stable")
                 h, pos = h[order], pos[order]
                 edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)

@@ -22,7 +22,7 @@ links.  Pairs inside a group are never listed:
    stars are linked or no such member is left.  So no link between components is missed.
 
 The order of shingles (heavy ones last) affects speed only.  Every table between steps is
-written to the shared folder; joins on hot keys are sort-merge joins that Spark can split.
+written to the shared folder and removed once no later step reads it; joins on hot keys are sort-merge joins that Spark can split.
 
 Defined cases: a document without words has an empty set and is linked with nothing; with
 fewer than ``n`` words its whole sequence is one shingle; null texts are empty; rows with a
@@ -129,7 +129,7 @@ class Join:
         self.ws = Workspace(spark, "jaccard")
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         self.kind = dict(self.docs.dtypes)["id"]
-        self.round = 0
+        self.round, self.names = 0, {}
 
     # ------------------------------------------------------------ passes over the texts
 
@@ -234,7 +234,12 @@ class Join:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.round += 1
-        return self.ws.save(df, f"{name}-{self.round}")
+        self.names[self.round] = f"{name}-{self.round}"
+        return self.ws.save(df, self.names[self.round])
+
+    def spent(self, first: int, last: int) -> None:
+        """Remove the tables saved as number ``first`` to ``last``, which no later step reads."""
+        self.ws.drop(*[self.names.pop(i) for i in range(first, last + 1) if i in self.names])
 
     def compare(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b, na, nb, overlap) of pairs of classes (a, b).
@@ -243,6 +248,7 @@ class Join:
         elsewhere it is the upper bound that the tables give, which is too small for a link.
         Only the classes that occur in pairs are shuffled with their tables.
         """
+        before = self.round
         pairs = self.save(pairs, "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         classes = self.save(classes.select("cid", "n", "rep", "fa", "fb", "bits").join(ids, "cid", "left_semi"), "sides")
@@ -265,7 +271,9 @@ class Join:
             "a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"),
             F.size(F.array_intersect("sa", "sb")).cast("long").alias("overlap"))
         rest = bounded.filter(~reaches(F.col("overlap"), F.col("na"), F.col("nb"), self.percent))
-        return self.save(exact.unionByName(rest), "compared")
+        compared = self.save(exact.unionByName(rest), "compared")
+        self.spent(before + 1, self.round - 1)
+        return compared
 
     def linked(self, compared: DataFrame) -> DataFrame:
         return compared.filter(reaches(F.col("overlap"), F.col("na"), F.col("nb"), self.percent))
@@ -401,9 +409,12 @@ class Join:
         """``comps`` (cid, comp) after adding links between classes."""
         to = lambda x: comps.select(F.col("cid").alias(x), F.col("comp").alias("c" + x))
         edges = links.join(to("a"), "a").join(to("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b")
+        before = self.round
         labels = self.components(edges).withColumnRenamed("comp", "to")
-        return self.save(comps.join(labels, comps["comp"] == labels["node"], "left")
-                         .select("cid", F.coalesce("to", "comp").alias("comp")), "comps")
+        comps = self.save(comps.join(labels, comps["comp"] == labels["node"], "left")
+                          .select("cid", F.coalesce("to", "comp").alias("comp")), "comps")
+        self.spent(before + 1, self.round - 1)
+        return comps
 
     def run(self) -> DataFrame:
         rows = self.save(self.signatures(), "signatures")
@@ -415,16 +426,22 @@ class Join:
         order = np.argsort(tok)
         heavy = self.spark.sparkContext.broadcast((tok[order], rank[order]))
         classes = self.classes(documents)
+        documents = self.save(documents.select("id", "n", "fa", "fb"), "documents")
+        self.spent(1, 1)
         ids = documents.filter("n > 0 and id is not null").agg(F.count("id"), F.count_distinct("id")).first()
         self.repeats = ids[0] != ids[1]
         member, links = self.stars(classes)
+        before = self.round
         labels = self.components(links)
         comps = self.save(classes.select("cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
                           .select("cid", F.coalesce("comp", "cid").alias("comp")), "comps")
+        self.spent(before + 1, self.round - 1)
         comps = self.attach(classes, comps)
         info = self.save(classes.select("cid", "n").join(member, "cid", "left").join(comps, "cid").select(
             "cid", "n", F.coalesce("star", "cid").alias("star"), F.coalesce("off", F.lit(0)).cast("long").alias("off"), "comp"), "info")
+        before = self.round
         met = self.compare(self.lists(classes, info, heavy), classes)
+        self.spent(before + 1, self.round - 1)
         comps = self.unite(comps, self.linked(met).select("a", "b"))
         comps = self.members(met, info, comps, classes)
         smallest = classes.join(comps, "cid").groupBy("comp").agg(F.min("rep").alias("component"))
@@ -433,6 +450,7 @@ class Join:
             .select("id", "n", "component")
         alone = documents.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
         out = self.save(linked.unionByName(alone), "result")
+        self.spent(1, self.round - 1)
         return out
 
 
