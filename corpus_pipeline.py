@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's input.  All but the last return the columns of ``docs``.
+
+Each stage lowers the session's Arrow batch size (``small_batches``), and a task of it has one
+Python worker at a time: workers that a task chains stay beside the next stages' own.
 """
 
 from __future__ import annotations
@@ -14,12 +17,23 @@ from flowsentry.llm.common import Workspace, arrow_rows, fresh_name, held_out
 from flowsentry.llm.queries import QUALITY_THRESHOLD, quality_model, table, vocabulary
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python tasks of this session get ``BATCH_ROWS`` rows at most from here on (fewer, if set so).
+
+    This stays after a stage has returned, as its tasks run when the caller writes the result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(BATCH_ROWS, usual) if usual > 0 else BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that read like one of the learned languages.
 
     Rejected: texts without a letter (and null texts), texts less likely under their language
     than under a uniform choice of n-grams, and texts whose language is below one half.
     """
+    small_batches(spark)
     model = langid.train(docs.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id")), "text", "lang")
     lang, score, fits = (fresh_name(docs, n) for n in ("lang_pred", "lang_score", "lang_fits"))
     judged = langid.predict(spark, docs, "text", model, lang_out=lang, score_out=score, fits_out=fits)
@@ -28,11 +42,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose quality score reaches the threshold."""
+    small_batches(spark)
     ws = Workspace(spark, "pipeline-quality")
     measured = ws.save(quality.with_statistics(docs.select("doc_id", "text"), "text", "x").select("doc_id", "x"), "statistics")
     model = quality_model(measured, table(spark, sf_dir, "labels"), "x")
-    x, score = fresh_name(docs, "statistics"), fresh_name(docs, "quality_score")
-    scored = quality.with_scores(spark, quality.with_statistics(docs, "text", x), x, score, model)
+    score = fresh_name(docs, "quality_score")
+    scored = quality.with_scores(spark, docs, None, score, model, text_col="text")
     return scored.filter(F.col(score) >= QUALITY_THRESHOLD).drop(score)
 
 
@@ -41,6 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat an id and its text are one document; rows without an id are all kept.
     """
+    small_batches(spark)
     found = jaccard.groups(spark, docs, "doc_id", "text", n=5, percent=80)
     first = found.filter("id is not null and id = component").groupBy("id").agg(F.count("*").alias("rows"))
     again, key = fresh_name(docs, "rows"), fresh_name(docs, "kept_id")
@@ -56,16 +72,20 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are matched by a digest of id and text, so null and repeated ids are judged by row.
     """
+    small_batches(spark)
+    ws = Workspace(spark, "pipeline-decontamination")
     key, bad = fresh_name(docs, "row_digest"), fresh_name(docs, "bad_digest")
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.coalesce("text", F.lit(""))))
     found = decontam.contamination(spark, docs.select(digest.alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key",
                                    text_col="text", item_id="item_id", item_text="text", window=10, unnamed=True)
-    hit = found.filter(F.size("items") > 0).select(F.col("id").alias(bad)).distinct()
+    with arrow_rows(spark, 1):  # a row of the index is a block of texts
+        hit = ws.save(found.filter(F.size("items") > 0).select(F.col("id").alias(bad)).distinct(), "hit")
     return docs.withColumn(key, digest).join(hit, F.col(key) == F.col(bad), "left_anti").drop(key)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each kept document: doc_id, n_tokens, ids."""
+    small_batches(spark)
     coded = viterbi.with_ids(docs, "text", vocabulary("piece_bpe_32k.model"), only=("doc_id",), limit=200_000, keep_memo=False)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

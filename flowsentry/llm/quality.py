@@ -229,21 +229,35 @@ def fit_sample(rows: DataFrame, features: str, label: str, key: str, *, max_rows
     return fit(x, np.array([r["_y"] for r in got], int), **options)
 
 
-def with_scores(spark: SparkSession, rows: DataFrame, features: str, out: str, model: QualityModel) -> DataFrame:
-    """Replace the feature column by its score ``out``."""
+def with_scores(spark: SparkSession, rows: DataFrame, features: str | None, out: str, model: QualityModel,
+                text_col: str | None = None) -> DataFrame:
+    """Replace the feature column by its score ``out``.
+
+    With ``text_col``, keep all columns and score that text: its statistics are taken in the same
+    task, which so needs one Python worker instead of two and hands the rows over once.
+    """
     shared = Shared(spark, model)
-    keep = [c for c in rows.columns if c != features]
-    staged = rows.select(*[F.col(f"`{c}`") for c in keep], F.col(features))
+    keep = [c for c in rows.columns if c != features or text_col is not None]
+    given = F.col(features) if text_col is None else F.col(text_col).cast("string").alias(fresh_name(rows, "_text"))
+    staged = rows.select(*[F.col(f"`{c}`") for c in keep], given)
     at = len(keep)
     schema = T.StructType(staged.schema.fields[:at] + [T.StructField(out, T.DoubleType())])
 
     def run(batches):
         m = shared.value
+        if text_col is not None:
+            free_worker_cache()
+            words, lines = WordHasher(SPACE_WORDS), WordHasher(_LINES)
         for batch in batches:
-            x = np.asarray(batch.column(at).flatten().to_numpy(zero_copy_only=False), float)
-            s = m.score(x.reshape(batch.num_rows, len(FEATURES)))
+            if text_col is None:
+                x = np.asarray(batch.column(at).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, len(FEATURES))
+            else:
+                x = statistics(batch.column(at), words, lines)
+            s = m.score(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(at)] + [pa.array(s, pa.float64())],
                 names=[*batch.schema.names[:at], out])
+        if text_col is not None:
+            free_worker_cache()
 
     return staged.mapInArrow(run, schema)

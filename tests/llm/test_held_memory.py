@@ -54,3 +54,40 @@ def test_python_tasks_get_small_batches(spark):
     with arrow_rows(spark, 10):
         assert max(r["n"] for r in spark.range(100).coalesce(1).mapInArrow(sizes, "n long").collect()) == 10
     assert spark.conf.get(name) == usual
+
+
+def test_stages_bound_batches_whoever_writes_their_result(spark, tmp_path, monkeypatch):
+    """Python tasks get BATCH_ROWS rows at most and have one worker, also if a stage's result is written later."""
+    import corpus_pipeline
+    from pyspark.sql.classic.dataframe import DataFrame
+    rng = np.random.default_rng(5)
+    words = "the of and to in that with from which their about river house stone paper under after".split()
+    rows = [(i, " ".join(rng.choice(words, 40)) + ".", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    sf = str(tmp_path)
+    spark.createDataFrame([("x", " ".join(words[:12])), ("y", rows[7][1])], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+    spark.createDataFrame([(i, float(i % 2)) for i in range(300)], "doc_id long, quality double").write.parquet(f"{sf}/labels.parquet")
+    plain, name = DataFrame.mapInArrow, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+
+    def checked(self, func, *args, **kwargs):
+        def run(batches):
+            def bounded():
+                for b in batches:
+                    assert b.num_rows <= 50, f"{b.num_rows} rows in a batch"
+                    yield b
+            return func(bounded())
+        return plain(self, run, *args, **kwargs)
+
+    monkeypatch.setattr(corpus_pipeline, "BATCH_ROWS", 50)
+    monkeypatch.setattr(DataFrame, "mapInArrow", checked)
+    try:
+        for step, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            assert str(out._jdf.queryExecution().executedPlan()).count("MapInArrow") <= 1, step
+            found = {r.doc_id for r in out.select("doc_id").collect()}
+            out.write.format("noop").mode("overwrite").save()
+            if step == "decontamination":
+                assert 7 not in found and found
+    finally:
+        spark.conf.set(name, usual)
