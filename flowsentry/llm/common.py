@@ -231,6 +231,18 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, usual)
 
 
+@contextmanager
+def spent_shuffles(spark: SparkSession):
+    """Shuffle files of a query run inside go when it has ended, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 class Shared:
     """A broadcast object of this package's classes (shipped with their code)."""
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE_WORDS, WordHasher, Workspace, free_worker_cache, mix, slices, utf8
+from .common import SPACE_WORDS, WordHasher, Workspace, free_worker_cache, mix, slices, spent_shuffles, utf8
 
 BLOCK_BYTES = 1 << 20
 SKETCH = 16          # minimum hashes per set
@@ -121,6 +121,21 @@ def reaches(overlap: Column, a: Column, b: Column, percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (a + b)
 
 
+def agreement(x: str, y: str) -> Column:
+    """Number of equal minimum hashes, by their kept bits."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, e: s + e)
+
+
+def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without nearly all whose ``key`` is not in ``wanted``; a bit table of 2^24 bits, so its broadcast is bounded."""
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << 24))
+    cell = F.floor(bit / 64).cast("int")
+    table = wanted.groupBy(cell.alias("cell")) \
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("cell_bits"))
+    return rows.join(F.broadcast(table), (cell == F.col("cell"))
+                     & (F.call_function("shiftrightunsigned", F.col("cell_bits"), (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)).select(*rows.columns)
+
+
 class Join:
     """The steps of one join; ``ws`` holds the tables between them."""
 
@@ -205,16 +220,10 @@ class Join:
     def sets_of(self, classes: DataFrame) -> DataFrame:
         """(cid, set) of the given classes, computed anew from their first documents' texts.
 
-        A bit table of the wanted ids (2^24 bits, so its broadcast is bounded) first drops
-        nearly all other texts.
+        A bit table of the wanted ids first drops nearly all other texts.
         """
         n = self.n
-        bit = F.pmod(F.xxhash64("id"), F.lit(1 << 24))
-        cell = F.floor(bit / 64).cast("int")
-        bits = classes.select(F.col("rep").alias("id")).groupBy(cell.alias("cell")) \
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
-        near = self.docs.join(F.broadcast(bits), (cell == F.col("cell"))
-                              & (F.call_function("shiftrightunsigned", F.col("bits"), (bit % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)).select("id", "text")
+        near = among(self.docs, classes.select(F.col("rep").alias("id")), "id")
 
         def run(batches):
             free_worker_cache()
@@ -235,7 +244,8 @@ class Join:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.round += 1
         self.names[self.round] = f"{name}-{self.round}"
-        return self.ws.save(df, self.names[self.round])
+        with spent_shuffles(self.spark):
+            return self.ws.save(df, self.names[self.round])
 
     def spent(self, first: int, last: int) -> None:
         """Remove the tables saved as number ``first`` to ``last``, which no later step reads."""
@@ -251,7 +261,7 @@ class Join:
         before = self.round
         pairs = self.save(pairs, "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        classes = self.save(classes.select("cid", "n", "rep", "fa", "fb", "bits").join(ids, "cid", "left_semi"), "sides")
+        classes = self.save(among(classes.select("cid", "n", "rep", "fa", "fb", "bits"), ids, "cid").join(ids, "cid", "left_semi"), "sides")
         side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits_" + x))
         half = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2 + 1).cast("int"), (F.size(c) / 2).cast("int")),
                                     lambda x, y: x.bitwiseXOR(y))
@@ -317,9 +327,8 @@ class Join:
             .select("k", "m", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.cid") for i in range(CENTRES)]))).alias("a"))
         pairs = band.join(heads, ["k", "m"]).filter("cid <> a").select("a", F.col("cid").alias("b"), "n", "marks")
         centre = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma"))
-        agree = F.aggregate(F.zip_with("marks", "ma", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         near = pairs.dropDuplicates(["a", "b"]).join(centre, "a") \
-            .filter((100 * F.least("n", "na") >= self.percent * F.greatest("n", "na")) & (agree >= AGREE)).select("a", "b")
+            .filter((100 * F.least("n", "na") >= self.percent * F.greatest("n", "na")) & (agreement("marks", "ma") >= AGREE)).select("a", "b")
         met = self.linked(self.compare(near, classes))
         member = met.groupBy(F.col("b").alias("cid")).agg(F.min(F.struct((F.col("nb") - F.col("overlap")).alias("off"), "a")).alias("s")) \
             .select("cid", F.col("s.a").alias("star"), F.col("s.off").alias("off"))
@@ -329,18 +338,19 @@ class Join:
         """``comps`` after comparing components of a common minimum with the largest one there.
 
         Of each component four members, picked by hash, stand for it; so a list of c components
-        gives 4 (c - 1) pairs at most, whatever the sizes.  Rounds with other picks follow as
-        long as one joins a hundredth of the components that share lists.
+        gives 4 (c - 1) pairs at most, whatever the sizes.  Those whose sizes or minimum hashes
+        differ too much are not compared.  Rounds with other picks follow as long as one joins a
+        hundredth of the components that share lists.
         """
-        band = classes.select("cid", F.posexplode(F.slice("mins", BANDS + 1, BANDS)).alias("k", "m")).join(comps, "cid")
+        band = classes.select("cid", "n", "marks", F.posexplode(F.slice("mins", BANDS + 1, BANDS)).alias("k", "m")).join(comps, "cid")
         mixed = band.groupBy("k", "m").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("k", "m")
-        band = self.save(band.join(mixed, ["k", "m"]).select("k", "m", "cid"), "band")
+        band = self.save(band.join(mixed, ["k", "m"]).select("k", "m", "cid", "n", "marks"), "band")
         left, turn = None, 0
         while True:
             salts = [F.xxhash64("k", F.lit(4 * turn + i)) for i in range(4)]
             part = band.join(comps, "cid").groupBy("k", "m", "comp").agg(
-                F.count("*").alias("c"), *[F.min(F.col("cid").bitwiseXOR(x)).alias(f"p{i}") for i, x in enumerate(salts)])
-            part = self.save(part.select("k", "m", "comp", "c", F.array(*[F.col(f"p{i}").bitwiseXOR(x) for i, x in enumerate(salts)]).alias("some")), "parts")
+                F.count("*").alias("c"), *[F.min(F.struct(F.col("cid").bitwiseXOR(x).alias("h"), "cid", "n", "marks")).alias(f"p{i}") for i, x in enumerate(salts)])
+            part = self.save(part.select("k", "m", "comp", "c", F.array(*[F.col(f"p{i}").dropFields("h") for i in range(4)]).alias("some")), "parts")
             big = part.groupBy("k", "m").agg(F.max(F.struct("c", "comp", "some")).alias("big"), F.count("*").alias("parts")).filter("parts > 1")
             met = self.save(part.join(big, ["k", "m"]), "met")
             waiting = met.agg(F.count_distinct("comp")).first()[0]
@@ -348,7 +358,8 @@ class Join:
                 return comps
             pairs = met.filter("comp <> big.comp") \
                 .select(F.explode(F.arrays_zip(F.col("big.some").alias("x"), F.col("some").alias("y"))).alias("p")) \
-                .select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).distinct()
+                .filter((100 * F.least("p.x.n", "p.y.n") >= self.percent * F.greatest("p.x.n", "p.y.n")) & (agreement("p.x.marks", "p.y.marks") >= AGREE)) \
+                .select(F.least("p.x.cid", "p.y.cid").alias("a"), F.greatest("p.x.cid", "p.y.cid").alias("b")).distinct()
             comps = self.unite(comps, self.linked(self.compare(pairs, classes)).select("a", "b"))
             left, turn = waiting, turn + 1
 
@@ -359,6 +370,7 @@ class Join:
         around = Window.partitionBy("tok").orderBy("cid")
         shared = posting.withColumns({"before": F.lag("cid").over(around), "after": F.lead("cid").over(around)}) \
             .filter("before <> cid or after <> cid").select("tok", "cid", "pos")  # most lists hold one class
+        shared = self.save(shared, "shared")  # so the shuffles of all postings are gone before the next
         entry = self.save(shared.join(info.select("cid", "n", "star", "comp"), "cid").groupBy("tok", "star", "comp").agg(
             F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest")), "entries")
         mixed = entry.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("tok")

@@ -1,6 +1,7 @@
 """What the pipeline's operators hold at once: tables on disk, texts in memory."""
 
 import os
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,29 @@ def test_jaccard_keeps_no_table_that_is_spent(spark):
     assert {r["id"]: r["component"] for r in out.collect()} == dict(enumerate(comp))
 
 
+def test_jaccard_steps_leave_no_shuffle_files(spark):
+    from flowsentry.llm import jaccard
+    docs = spark.createDataFrame([(i, f"a b c {i}") for i in range(200)], "doc_id long, text string")
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: {f for f in (files.apply(i).getName() for files in [disk.getAllFiles()] for i in range(files.size())) if f.startswith("shuffle_")}
+    join = jaccard.Join(spark, docs, "doc_id", "text", 4, 85)
+    before = held()
+    kept = join.save(docs.repartition(5, "text").groupBy("text").count(), "counted")
+    ends = time.time() + 20
+    while held() - before and time.time() < ends:
+        time.sleep(0.2)
+    assert not held() - before and kept.count() == 200
+
+
+def test_only_wanted_classes_reach_the_shuffle(spark):
+    from flowsentry.llm import jaccard
+    rows = spark.range(5000).selectExpr("id as cid", "id % 7 as n")
+    got = jaccard.among(rows, rows.filter("cid % 100 = 3").select("cid"), "cid")
+    assert got.columns == rows.columns
+    found = {r["cid"] for r in got.collect()}
+    assert found >= {i for i in range(5000) if i % 100 == 3} and len(found) < 100
+
+
 def test_texts_are_indexed_in_pieces(spark, monkeypatch):
     from flowsentry.llm import decontam
     monkeypatch.setattr(decontam, "PIECE_BYTES", 64)
