@@ -260,8 +260,9 @@ class Join:
         """
         before = self.round
         pairs = self.save(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        classes = self.save(among(classes.select("cid", "n", "rep", "fa", "fb", "bits"), ids, "cid").join(ids, "cid", "left_semi"), "sides")
+        ids = self.save(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ids")
+        # no semi-join: Spark would put it before the bit table and shuffle all classes
+        classes = self.save(among(classes.select("cid", "n", "rep", "fa", "fb", "bits"), ids, "cid").join(ids, "cid"), "sides")
         side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits_" + x))
         half = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2 + 1).cast("int"), (F.size(c) / 2).cast("int")),
                                     lambda x, y: x.bitwiseXOR(y))
